@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from .bagminhash import op1_minhash
+from .langid import op4_language
+from .packing import op6_packing
+from .simhash import op8_simhash
+from .toxicity import op2_toxicity
 
-QUERIES = {"op1_minhash": op1_minhash}
+QUERIES = {"op1_minhash": op1_minhash, "op2_toxicity": op2_toxicity, "op4_language": op4_language, "op6_packing": op6_packing, "op8_simhash": op8_simhash}
 ORACLE: dict[str, str] = {}
