@@ -1,14 +1,15 @@
 """Toxic passages: all maximal scoring segments of token log-odds, kept when extreme-value statistics call them significant.
 
 Model: for each word of toxic labelled documents the log-odds of toxic against clean, with an informative Dirichlet
-prior of ALPHA words spread like the corpus. A word enters if its log-odds is Z standard deviations above 0 and it
-occurs in MIN_CONTEXTS different contexts (neighbouring words), so that copies of one document don't make a word toxic;
-all other words share one score, their common log-odds. DRIFT is taken from every token's score, which ends passages.
+prior of ALPHA words spread like the corpus. Toxic words are counted once per context (pair of neighbouring words other
+than itself), so that copies of one document or a run of one word don't make it toxic. A word enters if its log-odds is
+Z standard deviations above 0 and it has MIN_CONTEXTS contexts; all other words share one score, their common log-odds.
+DRIFT is taken from every token's score, which ends passages. Of a word's occurrences in a text the k-th counts 1/k.
 
 Search: the linear-time algorithm for all maximal scoring subsequences, over whole texts. A segment of score S in n
 tokens is expected K n exp(-lambda S) times by chance: lambda solves E[exp(lambda s)] = 1 over clean words. K is the
-least that covers the clean labelled documents held out of the model (one of HELD by hash): at no score do they have
-more segments than expected, but for one. A document is toxic if P = 1 - exp(-that), of its best segment, is at
+least that covers the clean labelled documents held out of the model (one of HELD by hash), wherever LEVEL of them or
+more reach a score. A document is toxic if P = 1 - exp(-that), of its best segment, is at
 most LEVEL; each of its segments that is itself significant is returned.
 
 * null doc_id, null, empty or wordless text: no row. Labels that are null or of unknown documents don't count; a
@@ -52,7 +53,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             toxic = np.repeat(batch.column("toxic").to_numpy(zero_copy_only=False).astype(bool), np.diff(offsets))
             with np.errstate(over="ignore"):
                 context = mix(np.concatenate([[U(0)], h[:-1]]) * U(3) + np.concatenate([h[1:], [U(0)]]))
-            context = np.where(toxic, context | U(1), U(0))
+            own = (np.concatenate([[U(0)], h[:-1]]) == h) | (np.concatenate([h[1:], [U(0)]]) == h)
+            context = np.where(toxic, np.where(own, U(1), (context | U(1)) ^ U(2)), U(0))
             order = np.lexsort((context, h))
             w, c = h[order], context[order]
             first = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (c[1:] != c[:-1])]))
@@ -83,7 +85,7 @@ def log_odds(labelled: DataFrame, *, alpha: float = ALPHA, z: float = Z, min_con
     """((word, score) of the significant words, score of the others, lambda). labelled has text and toxic."""
     counts = labelled.mapInArrow(_count, "word long, context long, clean long, toxic long")
     counts = counts.groupBy("word", "context").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    counts = counts.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.count_if(F.col("toxic") > 0).alias("contexts"))
+    counts = counts.groupBy("word").agg(F.sum("clean").alias("clean"), F.count_if(F.col("toxic") > 0).alias("toxic"), F.count_if((F.col("toxic") > 0) & (F.col("context") != 1)).alias("contexts"))
     counts = scratch.keep(counts.withColumn("clean", F.col("clean").cast("double")), "counts")
     n0, n1 = (float(x or 0) for x in counts.agg(F.sum("clean"), F.sum("toxic")).first())
     prior = F.lit(alpha / max(n0 + n1, 1)) * (F.col("clean") + F.col("toxic"))
@@ -130,6 +132,19 @@ def maximal_segments(scores: list[tuple[int, float]], n: int, other: float) -> l
     return [(start, end, after - before) for start, end, before, after, _ in stack]
 
 
+def fade(h: np.ndarray, scores: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The scores, divided by how often the word has occurred in its text so far."""
+    at = np.flatnonzero(~np.isnan(scores))
+    if len(at):
+        doc = np.searchsorted(offsets, at, "right")
+        order = np.lexsort((at, h[at], doc))
+        d, w = doc[order], h[at][order]
+        first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (w[1:] != w[:-1])]))
+        nth = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at)))) + 1
+        scores[at[order]] /= nth
+    return scores
+
+
 def _digest(h: np.ndarray) -> int:
     with np.errstate(over="ignore"):
         return int(np.sum(mix(h ^ mix(np.arange(len(h), dtype=U))), dtype=U).astype(np.int64)) if len(h) else 0
@@ -158,7 +173,7 @@ def _segments(model):
                 batch = whole.slice(k, BATCH)
                 texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
                 offsets, h = word_hashes(texts)
-                s = m.of(h)
+                s = fade(h, m.of(h), offsets)
                 hit = np.unique(np.searchsorted(offsets, np.flatnonzero(~np.isnan(s)), "right") - 1)
                 yield _table([r for i in hit.tolist() for r in _rows(ids[i], texts[i], h[offsets[i] : offsets[i + 1]], s[offsets[i] : offsets[i + 1]], m.other)])
 
@@ -193,7 +208,7 @@ def segments(spark: SparkSession, docs: DataFrame, words: DataFrame, other: floa
             for r in batch.to_pylist():
                 own = Model(np.array([x["word"] for x in r["own"]], np.int64).view(U), np.array([x["score"] for x in r["own"]]), other, 0)
                 _, h = word_hashes([r["text"]])
-                s = own.of(h)
+                s = fade(h, own.of(h), np.array([0, len(h)]))
                 if not np.isnan(s).all():
                     rows += _rows(r["doc_id"], r["text"], h, s, other)
             yield _table(rows)
@@ -212,15 +227,15 @@ def toxic_passages(
     words, other, rate = log_odds(docs.join(labels.filter(~held), "doc_id").select("text", (F.col("toxic") > 0).alias("toxic")), alpha=alpha, z=z, drift=drift, scratch=scratch)
     found = scratch.keep(segments(spark, docs, words, other, broadcast_words=broadcast_words).distinct(), "segments")
     clean = labels.filter(held).select("doc_id")
-    tokens = docs.join(clean, "doc_id").agg(F.sum(words_in("text"))).first()[0] or 1
-    # the segments of a score or more, by classes of the score of width 1 / CLASSES: a bounded number of rows
-    tail = found.join(clean, "doc_id", "left_semi").groupBy(F.floor(F.col("score") * CLASSES).alias("class")).count().orderBy(F.desc("class")).collect()
-    k, above = 0.0, 1
-    for r in tail:
+    tokens, size = docs.join(clean, "doc_id").agg(F.coalesce(F.sum(words_in("text")), F.lit(0)), F.count("*")).first()
+    # documents by the class of their best score, of width 1 / CLASSES: a bounded number of rows
+    best = found.join(clean, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("score").alias("score"))
+    k, above, least = 0.0, 0, words.agg(F.min("score")).first()[0] or 0.0
+    for r in best.groupBy(F.floor(F.col("score") * CLASSES).alias("class")).count().orderBy(F.desc("class")).collect():
         above += r["count"]
-        k = max(k, above / tokens * exp(min(rate * (r["class"] + 1) / CLASSES, 600.0)))
-    if not tail and (least := words.agg(F.min("score")).first()[0]) is not None:
-        k = exp(min(rate * least, 600.0)) / tokens
+        if above >= level * size:
+            k = max(k, above / max(tokens, 1) * exp(min(rate * (r["class"] + 1) / CLASSES, 600.0)))
+    k = k or (above + 1) / max(tokens, 1) * exp(min(rate * least, 600.0))
     expected = F.lit(k) * F.col("n_tokens") * F.exp(-F.lit(rate) * F.col("score"))
     found = found.withColumn("expected", expected)
     best = F.min("expected").over(Window.partitionBy("doc_id"))
