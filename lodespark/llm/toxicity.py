@@ -1,7 +1,7 @@
 """Toxic passages: all maximal scoring segments of token log-odds, kept when extreme-value statistics call them significant.
 
 Model: for each word of toxic labelled documents the log-odds of toxic against clean, with an informative Dirichlet
-prior of ALPHA words spread like the corpus. Toxic words are counted once per context (pair of neighbouring words other
+prior spread like the corpus and worth ALPHA of its words. Toxic words are counted once per context (pair of neighbouring words other
 than itself), so that copies of one document or a run of one word don't make it toxic. A word enters if its log-odds is
 Z standard deviations above 0 and it has MIN_CONTEXTS contexts; all other words share one score, their common log-odds.
 DRIFT is taken from every token's score, which ends passages. Of a word's occurrences in a text the k-th counts 1/k.
@@ -32,7 +32,7 @@ from .common import Scratch, table
 from .common import words as words_in
 from .textkeys import U, mix, word_hashes
 
-ALPHA, Z, MIN_CONTEXTS, DRIFT, LEVEL, HELD = 10_000.0, 3.0, 3, 0.5, 0.005, 5
+ALPHA, Z, MIN_CONTEXTS, DRIFT, LEVEL, HELD = 0.01, 3.0, 3, 0.5, 0.005, 5
 #: Classes of a score of 1, in the fit of K.
 CLASSES = 8
 #: Words of a model that is broadcast (16 bytes each); a larger one is joined with the tokens.
@@ -88,8 +88,8 @@ def log_odds(labelled: DataFrame, *, alpha: float = ALPHA, z: float = Z, min_con
     counts = counts.groupBy("word").agg(F.sum("clean").alias("clean"), F.count_if(F.col("toxic") > 0).alias("toxic"), F.count_if((F.col("toxic") > 0) & (F.col("context") != 1)).alias("contexts"))
     counts = scratch.keep(counts.withColumn("clean", F.col("clean").cast("double")), "counts")
     n0, n1 = (float(x or 0) for x in counts.agg(F.sum("clean"), F.sum("toxic")).first())
-    prior = F.lit(alpha / max(n0 + n1, 1)) * (F.col("clean") + F.col("toxic"))
-    p1, p0 = (F.col("toxic") + prior) / (n1 + alpha), (F.col("clean") + prior) / (n0 + alpha)
+    prior, alpha = F.lit(alpha) * (F.col("clean") + F.col("toxic")), alpha * (n0 + n1)
+    p1, p0 = (F.col("toxic") + prior) / max(n1 + alpha, 1e-9), (F.col("clean") + prior) / max(n0 + alpha, 1e-9)
     odds = F.log(p1 / p0)
     spread = F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior))
     model = counts.filter((F.col("contexts") >= min_contexts) & (F.col("toxic") > 0)).select("word", odds.alias("odds"), p1.alias("p1"), p0.alias("p0"), (odds / spread).alias("z"))
