@@ -14,7 +14,7 @@ most LEVEL; each of its segments that is itself significant is returned.
 
 * null doc_id, null, empty or wordless text: no row. Labels that are null or of unknown documents don't count; a
   doc_id labelled both ways counts as toxic. Repeated rows (doc_id, text) are scored once.
-* no toxic label, or an empty table: nothing is toxic, the result is empty. Other columns are not read.
+* labels beyond FIT are not used. No toxic label, or an empty table: nothing is toxic, the result is empty. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ from .common import words as words_in
 from .textkeys import U, mix, word_hashes
 
 ALPHA, Z, MIN_CONTEXTS, DRIFT, LEVEL, HELD = 0.01, 3.0, 3, 0.5, 0.005, 5
+#: Labelled documents, by hash, that the model and K are fitted on at most; their labels (12 bytes each) are broadcast.
+FIT = 200_000
 #: Classes of a score of 1, in the fit of K.
 CLASSES = 8
 #: Words of a model that is broadcast (16 bytes each); a larger one is joined with the tokens.
@@ -217,16 +219,17 @@ def segments(spark: SparkSession, docs: DataFrame, words: DataFrame, other: floa
 
 
 def toxic_passages(
-    spark: SparkSession, docs: DataFrame, labels: DataFrame, *, level: float = LEVEL, alpha: float = ALPHA, z: float = Z, drift: float = DRIFT, broadcast_words: int = BROADCAST_WORDS, scratch: Scratch | None = None
+    spark: SparkSession, docs: DataFrame, labels: DataFrame, *, level: float = LEVEL, alpha: float = ALPHA, z: float = Z, drift: float = DRIFT, fit: int = FIT, broadcast_words: int = BROADCAST_WORDS, scratch: Scratch | None = None
 ) -> DataFrame:
     """(doc_id, start_token, end_token, score, expected, p_value, passage): the significant passages of toxic documents, p_value being the document's."""
     scratch = scratch or Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null and text is not null")
     labels = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
+    labels = scratch.keep(labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit), "labels")  # of at most fit rows, hence the broadcasts
     held = (F.col("toxic") <= 0) & (F.pmod(F.xxhash64("doc_id"), F.lit(HELD)) == 0)
-    words, other, rate = log_odds(docs.join(labels.filter(~held), "doc_id").select("text", (F.col("toxic") > 0).alias("toxic")), alpha=alpha, z=z, drift=drift, scratch=scratch)
+    words, other, rate = log_odds(docs.join(F.broadcast(labels.filter(~held)), "doc_id").select("text", (F.col("toxic") > 0).alias("toxic")), alpha=alpha, z=z, drift=drift, scratch=scratch)
     found = scratch.keep(segments(spark, docs, words, other, broadcast_words=broadcast_words).distinct(), "segments")
-    clean = labels.filter(held).select("doc_id")
+    clean = F.broadcast(labels.filter(held).select("doc_id"))
     tokens, size = docs.join(clean, "doc_id").agg(F.coalesce(F.sum(words_in("text")), F.lit(0)), F.count("*")).first()
     # documents by the class of their best score, of width 1 / CLASSES: a bounded number of rows
     best = found.join(clean, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("score").alias("score"))
@@ -241,7 +244,7 @@ def toxic_passages(
     best = F.min("expected").over(Window.partitionBy("doc_id"))
     result = found.withColumn("p_value", -F.expm1(-best)).filter((F.col("p_value") <= level) & (F.col("expected") <= level))
     result = scratch.keep(result.select("doc_id", "start_token", "end_token", "score", "expected", "p_value", "passage"), "toxic")
-    scratch.drop("counts", "model", "segments")
+    scratch.drop("counts", "model", "segments", "labels")
     return result
 
 
