@@ -29,6 +29,13 @@ def selectors(capabilities: DataFrame) -> DataFrame:
     return out.filter("trim(selector) <> ''").distinct()
 
 
+def outside(classes: DataFrame, modules: DataFrame) -> DataFrame:
+    """The classes that lie in no module but the root; modules without a name or path don't count."""
+    nested = modules.filter("name <> ''").select(X.normal_path(F.col("path")).alias("nested")).filter("nested <> ''").distinct()
+    paths = classes.select("path", F.explode(X.ancestors(F.col("path"), "/")).alias("key"))
+    return classes.join(paths.join(nested, F.col("key") == F.col("nested"), "left_semi").select("path").distinct(), "path", "left_anti")
+
+
 def matches(classes: DataFrame, wanted: DataFrame, modules: DataFrame) -> DataFrame:
     """(capability, tier, kind, selector, name, tokens): every class that a selector matches. Prefix rules are equi-joins on the ancestors of a class's package and path."""
     facts = classes.select("name", "package", "module", "path", "tokens")
@@ -41,15 +48,12 @@ def matches(classes: DataFrame, wanted: DataFrame, modules: DataFrame) -> DataFr
     packages = wanted.filter("kind = 'package'").join(packages, F.trim("selector") == F.col("key")).select(*pick)
 
     known = modules.filter("name <> ''").groupBy(F.col("name").alias("module_name")).agg(F.max_by(X.normal_path(F.col("path")), "ord").alias("module_path"))
-    nested = modules.filter("name <> ''").select(X.normal_path(F.col("path")).alias("nested")).filter("nested <> ''").distinct()
     by_module = wanted.filter("kind = 'module'").withColumn("trimmed", F.trim("selector"))
     named = by_module.join(facts, F.col("trimmed") == F.col("module")).select(*pick)
     placed = by_module.join(known, F.col("trimmed") == F.col("module_name"), "left").withColumn("at", F.when(F.col("module_name").isNull(), X.normal_path(F.col("trimmed"))).otherwise(F.col("module_path")))
     paths = facts.select("name", "tokens", "path", F.explode(X.ancestors(F.col("path"), "/")).alias("key"))
     below = placed.filter("at <> ''").join(paths, F.col("at") == F.col("key")).select(*pick)
-    inside = paths.join(F.broadcast(nested), F.col("key") == F.col("nested"), "left_semi").select("name", "path").distinct()
-    outside = facts.join(inside, ["name", "path"], "left_anti")
-    root = placed.filter("at = '' and module_name is not null").crossJoin(outside.select("name", "tokens")).select(*pick)
+    root = placed.filter("at = '' and module_name is not null").crossJoin(outside(facts, modules).select("name", "tokens")).select(*pick)
     return types.unionByName(packages).unionByName(named).unionByName(below).unionByName(root)
 
 

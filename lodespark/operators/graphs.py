@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import lineage
+
 
 def mutual(edges: DataFrame) -> DataFrame:
     """(a, b) with a before b, of nodes that have an edge each way."""
@@ -22,19 +24,23 @@ def inverse(edges: DataFrame) -> DataFrame:
     return to.join(frm, "node", "full").select("node", F.coalesce("referenced_by", F.lit(0)).alias("referenced_by"), F.coalesce("references", F.lit(0)).alias("references"), F.coalesce("sources", F.lit("")).alias("sources"))
 
 
+def closure(edges: DataFrame) -> DataFrame:
+    """(src, dst) for every path of edges, by squaring: each round doubles the length of the paths, so rounds grow as the logarithm of the longest."""
+    pairs = lineage.cut(edges.select("src", "dst").distinct())
+    n = pairs.count()
+    while True:
+        x, y = pairs.alias("x"), pairs.alias("y")
+        longer = x.join(y, F.col("x.dst") == F.col("y.src")).select(F.col("x.src").alias("src"), F.col("y.dst").alias("dst"))
+        pairs = lineage.cut(pairs.union(longer).distinct())
+        before, n = n, pairs.count()
+        if n == before:
+            return pairs
+
+
 def on_cycles(edges: DataFrame) -> DataFrame:
-    """(node, reachable): nodes that reach themselves, and how many nodes they reach.
-
-    A recursive query over the pairs (start, node). Paths can be exponentially many, pairs can't: UNION keeps each once.
-    """
-    edges.select("src", "dst").distinct().createOrReplaceTempView("lodespark_edges")
-    return edges.sparkSession.sql("""
-        WITH RECURSIVE reach(start, node) AS (
-            SELECT src, dst FROM lodespark_edges
-            UNION
-            SELECT r.start, e.dst FROM reach r JOIN lodespark_edges e ON r.node = e.src
-        ), pairs AS (SELECT DISTINCT start, node FROM reach)
-        SELECT start AS node, count(*) AS reachable FROM pairs GROUP BY start HAVING bool_or(start = node)""")
+    """(node, reachable): nodes that reach themselves, and how many nodes they reach."""
+    reach = closure(edges).groupBy("src").agg(F.count("*").alias("reachable"), F.bool_or(F.col("src") == F.col("dst")).alias("back"))
+    return reach.filter("back").select(F.col("src").alias("node"), "reachable")
 
 
 def back_edges(groups: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ def _joined(capabilities: DataFrame, column: str, facts: DataFrame, key: str, va
     return facts.join(wanted, F.col(key) == F.col("selector")).select("id", F.col(value).alias("value"), "ord")
 
 
-def _matched(capabilities: DataFrame, column: str, facts: DataFrame, subject: Column, value: str) -> DataFrame:
+def globbed(capabilities: DataFrame, column: str, facts: DataFrame, subject: Column, value: str) -> DataFrame:
     """(id, value, ord) by a glob that matches the whole subject."""
     wanted = capabilities.select("id", F.explode(globs(column)).alias("glob")).distinct()
     wide = facts.select(F.col(value).alias("value"), "ord", subject.alias("subject"))
@@ -51,9 +51,9 @@ def matches(capabilities: DataFrame, modules: DataFrame, classes: DataFrame, tes
     parts = {
         "matchedModules": _joined(capabilities, "modules", modules, "name", "name"),
         "matchedPackages": _joined(capabilities, "packages", packaged, "package", "package"),
-        "matchedTypes": _joined(capabilities, "packages", packaged, "package", "name").union(_matched(capabilities, "typePatterns", classes, X.simple_name(F.col("name")), "name")),
-        "matchedTests": _joined(capabilities, "packages", tests.filter("package is not null"), "package", "name").union(_matched(capabilities, "testPatterns", tests, X.simple_name(F.col("name")), "name")),
-        "matchedDocs": _matched(capabilities, "docPatterns", docs, F.col("path"), "path"),
+        "matchedTypes": _joined(capabilities, "packages", packaged, "package", "name").union(globbed(capabilities, "typePatterns", classes, X.simple_name(F.col("name")), "name")),
+        "matchedTests": _joined(capabilities, "packages", tests.filter("package is not null"), "package", "name").union(globbed(capabilities, "testPatterns", tests, X.simple_name(F.col("name")), "name")),
+        "matchedDocs": globbed(capabilities, "docPatterns", docs, F.col("path"), "path"),
         "matchedEvidence": _joined(capabilities, "evidenceTypes", place, "type", "value"),
     }
     out = None

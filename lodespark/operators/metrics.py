@@ -231,8 +231,10 @@ def deltas(baseline: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def trend_violations(changes: DataFrame, limits: dict[str, float | None]) -> DataFrame:
-    """(metric, increase, threshold, message); a metric without a limit is not gated."""
-    out = changes.select("metric", F.col("absolute").alias("increase"), F.element_at(F.create_map(*[x for k, v in limits.items() if v is not None for x in (F.lit(k), F.lit(float(v)))]), "metric").alias("threshold"), "ord") if any(v is not None for v in limits.values()) else None
-    if out is None:
-        return changes.select("metric", F.col("absolute").alias("increase"), F.lit(None).cast("double").alias("threshold"), F.lit("").alias("message"), "ord").limit(0)
-    return out.filter("threshold is not null and increase > threshold").withColumn("message", X.lookup(F.col("metric"), TREND_GATES, "")).select("metric", "increase", "threshold", "message", "ord")
+    """(metric, increase, threshold, message, ord); a metric without a limit is not gated."""
+    threshold = F.lit(None).cast("double")
+    for k, v in limits.items():
+        if v is not None:
+            threshold = F.when(F.col("metric") == k, F.lit(float(v))).otherwise(threshold)
+    rows = changes.select("metric", F.col("absolute").alias("increase"), threshold.alias("threshold"), "ord").filter("increase > threshold")
+    return rows.withColumn("message", X.lookup(F.col("metric"), TREND_GATES, "")).select("metric", "increase", "threshold", "message", "ord")

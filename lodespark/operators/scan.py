@@ -74,9 +74,13 @@ def _links(text: str) -> list[tuple[str, str]]:
     return found
 
 
-@F.pandas_udf("array<struct<text:string,target:string>>")
-def links(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: [{"text": a, "target": b} for a, b in _links(t)])
+def _all_links(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: [{"text": a, "target": b} for a, b in _links(t or "")])
+
+
+def links(text: Column | str) -> Column:
+    """Made at the call, since a worker that imports this module has no session."""
+    return F.pandas_udf(_all_links, "array<struct<text:string,target:string>>")(text)
 
 
 def documents(files: DataFrame) -> DataFrame:

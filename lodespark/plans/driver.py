@@ -4,7 +4,554 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import exprs as X
+from ..operators import claims as C
+from ..operators import footprint, gates, graphs, links, metrics, packs
+from . import corpora
+from . import roles as R
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(*ctes: str, sql: str) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        ORACLE[f.__name__] = (f"with recursive {', '.join(ctes)} " if ctes else "") + sql
+        return f
+
+    return keep
+
+
+def _case(column: str, pairs: dict[str, str], otherwise: str) -> str:
+    return f"case {column} " + " ".join(f"when '{k}' then '{v}'" for k, v in pairs.items()) + f" else '{otherwise}' end"
+
+
+def _tokens(kind: str, lines: str = "lines") -> str:
+    per_line, unknown = X.TOKENS[kind]
+    return f"cast(case when {lines} > 0 then {lines} * {per_line} else {unknown} end as bigint)"
+
+
+def _up(x: str, digits: int) -> str:
+    return f"(floor(({x}) * {10.0**digits} + 0.5) / {10.0**digits})"
+
+
+# --- sizes and counts
+
+
+@query(R.DOCS, sql=f"select ord as doc_id, cast(lines as bigint) as line_count, {_tokens('doc')} as tokens from docs")
+def line_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return R.docs(spark, d).select(F.col("ord").alias("doc_id"), F.col("lines").cast("long").alias("line_count"), X.fact_tokens("doc", F.col("lines")).alias("tokens"))
+
+
+_COUNTED = {"classes": "part", "tests": "supplier", "docs": "documents", "dependencies": "nation", "evidence": "events"}
+
+
+@query(sql=" union all ".join(f"select '{k}' as fact, count(*) as rows from {t}" for k, t in _COUNTED.items()))
+def fact_index(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.counts(**{k: R.table(spark, d, t) for k, t in _COUNTED.items()})
+
+
+def _count_row(spark: SparkSession, d: str) -> DataFrame:
+    row = R.CAPABILITIES.df(spark).agg(F.count("*").alias("capabilities"))
+    for k in ("classes", "tests", "docs", "dependencies"):
+        row = row.crossJoin(R.table(spark, d, _COUNTED[k]).agg(F.count("*").alias(k)))
+    return row
+
+
+_COUNTS = "counts as (select (select count(*) from part) as classes, (select count(*) from supplier) as tests, (select count(*) from documents) as docs, (select count(*) from nation) as dependencies, (select count(*) from capabilities) as capabilities)"
+_T = "(260 * classes + 140 * tests + 180 * docs + 35 * dependencies + 80 * capabilities)"
+_D = "(cast(classes + tests + docs as double) / capabilities)"
+_COMPLEXITY = f"""select cast({_T} as bigint) as "estimatedContextTokens", cast(greatest(1, classes // greatest(1, capabilities)) as bigint) as "conceptRadius", dependencies as "dependencyRadius", {_D} as "knowledgeDensity",
+  greatest(0.0::double, 1.0::double - {_D} / 100.0::double) as "contextLocality", least(1.0::double, 12000.0::double / {_T}) as "compressionRatio", {_T} / 1000.0::double + dependencies * 0.5::double as "aiCognitiveComplexity",
+  greatest(0.0::double, {_T} / 1000.0::double + {_D} - tests / 10.0::double) as "aiCognitiveDebt", {_D} > 20 as "densityWarning", tests < greatest(1, classes // 4) as "testWarning" from counts"""
+
+
+@query(R.CAPABILITIES.sql, _COUNTS, sql=_COMPLEXITY)
+def complexity_summary(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.complexity(_count_row(spark, d))
+
+
+@query(R.CAPABILITIES.sql, _COUNTS, sql=" union all ".join(f"select '{k}' as driver, {k} as count, cast({w} as bigint) as token_weight, {k} * {w} as tokens from counts" for k, w in X.WEIGHTS.items()))
+def cost_drivers(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.cost_drivers(_count_row(spark, d))
+
+
+def _summary_sql() -> str:
+    out = ['count(*) as "methodCount"']
+    for name, most in (("Cyclomatic", 10), ("Cognitive", 15)):
+        c = name.lower()
+        out += [f'cast(sum({c}) as bigint) as "total{name}Complexity"', f'max({c}) as "maxMethod{name}Complexity"', f'{_up(f"cast(sum({c}) as double) / count(*)", 2)} as "averageMethod{name}Complexity"', f'count(*) filter ({c} > {most}) as "methodsAbove{name}Threshold"']
+    return "select " + ", ".join(out) + " from methods"
+
+
+@query(R.METHODS, sql=_summary_sql())
+def code_complexity(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.method_summary(R.methods(spark, d))
+
+
+_ADVICE = {"tokens": f"{_T} > 12000", "cognitive": "(select max(cognitive) from methods) > 15", "cyclomatic": "(select max(cyclomatic) from methods) > 10", "classes": "classes > 80", "docs": "docs > 40"}
+
+
+@query(R.CAPABILITIES.sql, _COUNTS, R.METHODS, sql="select advice from (" + " union all ".join(f"select {i} as i, '{metrics.COST_ADVICE[k]}' as advice from counts where {c}" for i, (k, c) in enumerate(_ADVICE.items())) + ")")
+def cost_advice(spark: SparkSession, d: str) -> DataFrame:
+    most = R.methods(spark, d).agg(F.max("cognitive").alias("cognitive"), F.max("cyclomatic").alias("cyclomatic"))
+    row = metrics.complexity(_count_row(spark, d)).select("estimatedContextTokens").crossJoin(_count_row(spark, d)).crossJoin(most)
+    return row.select(F.explode(metrics.cost_advice(*[F.col(c) for c in ("estimatedContextTokens", "cognitive", "cyclomatic", "classes", "docs")])).alias("advice"))
+
+
+@query(R.METHODS, sql="select * from (select 'cyclomatic' as metric, * from methods order by cyclomatic desc, type, signature limit 10) union all select * from (select 'cognitive' as metric, * from methods order by cognitive desc, type, signature limit 10)")
+def top_methods(spark: SparkSession, d: str) -> DataFrame:
+    rows = R.methods(spark, d)
+    return metrics.top_methods(rows, "cyclomatic").select(F.lit("cyclomatic").alias("metric"), "*").union(metrics.top_methods(rows, "cognitive").select(F.lit("cognitive").alias("metric"), "*"))
+
+
+_WEIGH = lambda k, t: f"select '{k}' as kind, name, path, cast(case when lines > 0 then lines * 12 else {X.WEIGHTS[t]} end as bigint) as tokens from {t}"
+
+
+@query(R.CLASSES, R.TESTS, R.DOCS, sql="select * from (" + " union all ".join(_WEIGH(k, t) for k, t in (("class", "classes"), ("test", "tests"), ("doc", "docs"))) + ") order by tokens desc, path limit 10")
+def top_contributors(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.contributors(R.classes(spark, d), R.tests(spark, d), R.docs(spark, d)).orderBy(F.desc("tokens"), "path").limit(10)
+
+
+# --- footprint
+
+
+def _wanted(spark: SparkSession) -> DataFrame:
+    return footprint.selectors(R.CAPABILITIES.df(spark).withColumns({c: F.array().cast("array<string>") for c in ("matchedTypes", "matchedPackages", "matchedModules")}))
+
+
+def _found(spark: SparkSession, d: str) -> DataFrame:
+    return footprint.matches(footprint.sized(R.classes(spark, d), "class"), _wanted(spark), R.MODULES.df(spark))
+
+
+_SIZED = f"sized as (select *, {_tokens('class')} as tokens from classes)"
+_WANTED = """wanted as (select distinct * from (select id as capability, 1 as tier, 'type' as kind, unnest(classes) as selector from capabilities
+  union all select id, 1, 'package', unnest(packages) from capabilities union all select id, 2, 'module', unnest("ownerModules") from capabilities union all select id, 3, 'module', unnest(modules) from capabilities) where trim(selector) <> '')"""
+_PLACES = r"places as (select name as module_name, regexp_replace(regexp_replace(path, '^(\./)+', ''), '/+$', '') as at from modules)"
+_FOUND = """found as (select w.*, c.name, c.tokens from wanted w join sized c on w.kind = 'type' and c.name = w.selector
+  union all select w.*, c.name, c.tokens from wanted w join sized c on w.kind = 'package' and (c.package = w.selector or starts_with(c.package, w.selector || '.'))
+  union all select w.*, c.name, c.tokens from wanted w join sized c on w.kind = 'module' and c.module = w.selector
+  union all select w.*, c.name, c.tokens from wanted w join places p on p.module_name = w.selector and p.at <> '' join sized c on w.kind = 'module' and starts_with(c.path, p.at || '/')
+  union all select w.*, c.name, c.tokens from wanted w join places p on p.module_name = w.selector and p.at = '' join sized c on w.kind = 'module'
+    and not exists (select 1 from places n where n.at <> '' and starts_with(c.path, n.at || '/')))"""
+_SETS = "sets as (select capability, tier, cast(sum(tokens) as bigint) as tokens, count(*) as classes from (select distinct capability, tier, name, tokens from (select *, min(tier) over (partition by capability) as first from found) where tier = first) group by 1, 2)"
+_FOOT = (R.CLASSES, R.CAPABILITIES.sql, R.MODULES.sql, _SIZED, _WANTED, _PLACES, _FOUND, _SETS)
+
+
+@query(*_FOOT, sql="select * from sets")
+def working_sets(spark: SparkSession, d: str) -> DataFrame:
+    return footprint.working_sets(_found(spark, d))
+
+
+@query(*_FOOT, sql="select distinct capability, kind, selector, name from found")
+def module_membership(spark: SparkSession, d: str) -> DataFrame:
+    return _found(spark, d).select("capability", "kind", "selector", "name").distinct()
+
+
+@query(R.CLASSES, R.MODULES.sql, _PLACES, sql="select package, count(*) as classes from classes c where not exists (select 1 from places n where n.at <> '' and starts_with(c.path, n.at || '/')) group by package")
+def root_module_exclusion(spark: SparkSession, d: str) -> DataFrame:
+    return footprint.outside(R.classes(spark, d), R.MODULES.df(spark)).groupBy("package").agg(F.count("*").alias("classes"))
+
+
+@query(*_FOOT, sql="""select kind, count(*) as unresolved from wanted w left join (select capability, min(tier) as stop from found group by 1) using (capability)
+  where tier <= coalesce(stop, 3) and not exists (select 1 from found f where (f.capability, f.tier, f.kind, f.selector) = (w.capability, w.tier, w.kind, w.selector)) group by kind""")
+def unresolved_selectors(spark: SparkSession, d: str) -> DataFrame:
+    return footprint.unresolved(_wanted(spark), _found(spark, d))
+
+
+_E = "((test_tokens + doc_tokens) / production_tokens)"
+_DEBT = f"""totals as (select (select cast(sum(tokens) as bigint) from sized) as production_tokens, (select cast(sum({_tokens('test')}) as bigint) from tests) as test_tokens, (select cast(sum({_tokens('doc')}) as bigint) from docs) as doc_tokens,
+  (select cast(sum(greatest(lines, 0)) as bigint) from classes) as production_lines, (select cast(sum(greatest(lines, 0)) as bigint) from tests) as test_lines, (select cast(sum(lines) as bigint) from docs) as doc_lines,
+  (select quantile_disc(tokens, 0.5) from sets) as median_tokens, (select quantile_disc(tokens, 0.9) from sets) as p90_tokens, (select count(*) from sets) as samples),
+derived as (select *, production_tokens + test_tokens + doc_tokens as repository_tokens, production_lines + test_lines + doc_lines as total_lines, cast(test_tokens + doc_tokens as double) / cast(production_tokens as double) as evidence,
+  cast(p90_tokens as double) / cast(production_tokens + test_tokens + doc_tokens as double) as share from totals),
+debts as (select *, {_up("least(100.0::double, 100.0::double * share + 15.0::double * greatest(0.0::double, 0.25::double - least(0.25::double, evidence)) / 0.25::double)", 2)} as debt from derived)"""
+
+
+@query(*_FOOT, R.TESTS, R.DOCS, _DEBT, sql=f"""select 'MEASURED' as measurement_status, repository_tokens, production_tokens, test_tokens, doc_tokens, production_lines, total_lines, {_up("repository_tokens * 1000.0::double / total_lines", 2)} as tokens_per_kloc,
+  cast(median_tokens as bigint) as median_tokens, cast(p90_tokens as bigint) as p90_tokens, {_up("share", 4)} as p90_share, {_up("evidence", 4)} as evidence_ratio, debt, {_up("greatest(0.0::double, 100.0::double - debt)", 2)} as efficiency, samples from debts""")
+def context_footprint(spark: SparkSession, d: str) -> DataFrame:
+    return footprint.footprint(footprint.sized(R.classes(spark, d), "class"), footprint.sized(R.tests(spark, d), "test"), footprint.sized(R.docs(spark, d), "doc"), _found(spark, d))
+
+
+# --- linking
+
+
+def _glob_sql(glob: str) -> str:
+    return f"regexp_full_match({{}}, '{X.glob_regex(glob)[5:-3]}', 's')"
+
+
+_GLOBS = ("docs/src1/*", "docs/**/1*.md", "docs/src?/*", "**", "docs/*", "*.md")
+
+
+@query(R.DOCS, sql=" union all ".join(f"select '{g}' as glob, path from docs where {_glob_sql(g).format('path')}" for g in _GLOBS))
+def glob_select(spark: SparkSession, d: str) -> DataFrame:
+    wanted = R.Literal("wanted", "id string, docPatterns array<string>", *[(g, [g]) for g in _GLOBS]).df(spark)
+    return links.globbed(wanted, "docPatterns", R.docs(spark, d), F.col("path"), "path").select(F.col("id").alias("glob"), F.col("value").alias("path"))
+
+
+def _matched(spark: SparkSession, d: str) -> DataFrame:
+    return links.matches(R.CAPABILITIES.df(spark), R.MODULES.df(spark), R.classes(spark, d), R.tests(spark, d), R.docs(spark, d), R.evidence(spark, d))
+
+
+def _globs_sql(column: str, table: str, subject: str, value: str, name: str) -> str:
+    """Globs of the seeds as regular expressions, one branch for each."""
+    i = next(k for k, f in enumerate(R.CAPABILITIES.schema) if f.name == column)
+    return " union all ".join(f"select '{r[0]}' as id, '{name}' as list, {value} as value, ord from {table} where {_glob_sql(g).format(subject)}" for r in R.CAPABILITIES.rows for g in r[i])
+
+
+_MATCHES = "matched as (" + " union all ".join(
+    [
+        "select c.id, 'matchedModules' as list, m.name as value, m.ord from capabilities c join modules m on list_contains(c.modules, m.name)",
+        "select c.id, 'matchedPackages', f.package, f.ord from capabilities c join classes f on list_contains(c.packages, f.package)",
+        "select c.id, 'matchedTypes', f.name, f.ord from capabilities c join classes f on list_contains(c.packages, f.package)", "select c.id, 'matchedTests', f.name, f.ord from capabilities c join tests f on list_contains(c.packages, f.package)",
+        'select c.id, \'matchedEvidence\', f.path, f.ord from capabilities c join evidence f on list_contains(c."evidenceTypes", f.type)',
+        _globs_sql("typePatterns", "classes", "simple", "name", "matchedTypes"), _globs_sql("testPatterns", "tests", "simple", "name", "matchedTests"), _globs_sql("docPatterns", "docs", "path", "path", "matchedDocs"),
+    ]
+) + ")"
+_LINK = (R.CAPABILITIES.sql, R.MODULES.sql, R.CLASSES, R.TESTS, R.DOCS, R.EVIDENCE, _MATCHES)
+
+
+@query(*_LINK, sql="select distinct id, list, value from matched")
+def capability_link(spark: SparkSession, d: str) -> DataFrame:
+    return _matched(spark, d).select("id", "list", "value").distinct()
+
+
+_STATUS = """linked as (select id, coalesce(label, id) as label, ord, e, t, s, o, case when e > 0 then 'evidence-backed' when t > 0 and s > 0 then 'implemented-and-tested' when t > 0 then 'implemented' when s > 0 then 'partial' when o > 0 then 'documented' else 'unknown' end as status
+  from (select c.id, null as label, c.ord, count(distinct value) filter (list = 'matchedEvidence') as e, count(distinct value) filter (list = 'matchedTypes') as t, count(distinct value) filter (list = 'matchedTests') as s,
+  count(distinct value) filter (list = 'matchedDocs') as o from capabilities c left join matched m using (id) group by c.id, c.ord))"""
+
+
+def _linked(spark: SparkSession, d: str) -> DataFrame:
+    return links.linked(R.CAPABILITIES.df(spark).withColumn("warnings", F.array().cast("array<string>")), _matched(spark, d))
+
+
+@query(*_LINK, _STATUS, sql="select id, status, t as types, s as tests, o as docs, e as evidence, case when status = 'unknown' then 'no-evidence-found' else '' end as warnings from linked")
+def capability_status(spark: SparkSession, d: str) -> DataFrame:
+    size = lambda c, n: F.size(c).cast("long").alias(n)
+    return _linked(spark, d).select("id", "status", size("matchedTypes", "types"), size("matchedTests", "tests"), size("matchedDocs", "docs"), size("matchedEvidence", "evidence"), F.array_join("warnings", ",").alias("warnings"))
+
+
+_WORDS = R.Literal("words", "id string, ord long", ("the", 1), ("small", 2), ("Supplier-1", 3), ("e_n t", 4), ("no-such-word", 5))
+_KEY = lambda x: f"regexp_replace(lower({x}), '[-_ ]', '', 'g')"
+
+
+@query(R.CLASSES, R.TESTS, R.DOCS, _WORDS.sql, sql=f"""select id, case when c > 0 and t > 0 then 'implemented' when c > 0 or t > 0 then 'partial' when o > 0 then 'documented' else 'unknown' end as status, c as classes, t as tests, o as docs from (
+  select id, (select count(*) from classes where contains({_KEY('name')}, {_KEY('id')})) as c, (select count(*) from tests where contains({_KEY('name')}, {_KEY('id')})) as t, (select count(*) from docs where contains({_KEY('text')}, {_KEY('id')})) as o from words)""")
+def keyword_fallback(spark: SparkSession, d: str) -> DataFrame:
+    named = lambda df: df.select("name", F.col("name").alias("text"), "ord")
+    rows = links.keyword_capabilities(named(R.classes(spark, d)), named(R.tests(spark, d)), R.docs(spark, d).select("name", "text", "ord"), _WORDS.df(spark))
+    return rows.select("id", "status", *[F.size(c).cast("long").alias(c) for c in ("classes", "tests", "docs")])
+
+
+_SEEDS = R.Literal(
+    "seeds", "id string, key string, is_list boolean, vals array<string>, ord long",
+    ("a", "modules", True, ["x", "y", "x"], 1), ("a", "modules", True, ["y", "z", "z"], 2), ("a", "label", False, ["old"], 1), ("a", "label", False, ["new"], 3), ("b", "modules", False, ["s"], 1), ("b", "modules", True, ["t", "t"], 2),
+    ("b", "modules", True, ["u", "t"], 3), (None, "label", False, ["nobody"], 1), ("", "label", False, ["blank"], 2),
+)
+
+
+@query(_SEEDS.sql, sql="""select id, key, max_by(is_list, ord) as is_list, string_agg(v, ',' order by ord, i) as merged from (
+  select s.*, unnest(vals) as v, unnest(range(len(vals))) as i, coalesce((select max(p.ord) from seeds p where p.id = s.id and p.key = s.key and (not p.is_list or not exists
+    (select 1 from seeds q where q.id = p.id and q.key = p.key and q.ord < p.ord and q.is_list and q.ord = (select max(r.ord) from seeds r where r.id = p.id and r.key = p.key and r.ord < p.ord)))), 0) as base from seeds s where id <> '') t
+  where ord >= base and (ord = base or not exists (select 1 from seeds e where e.id = t.id and e.key = t.key and e.ord >= t.base and e.ord < t.ord and list_contains(e.vals, t.v)) and t.i = list_position(t.vals, t.v) - 1) group by id, key""")
+def seed_merge(spark: SparkSession, d: str) -> DataFrame:
+    rows = links.merged(_SEEDS.df(spark).withColumnRenamed("vals", "values"))
+    return rows.select("id", "key", "is_list", F.array_join("values", ",").alias("merged"))
+
+
+# --- graphs
+
+
+@query(R.EDGES, sql="select src as a, dst as b from edges e where src < dst and exists (select 1 from edges f where f.src = e.dst and f.dst = e.src)")
+def mutual_dependencies(spark: SparkSession, d: str) -> DataFrame:
+    return graphs.mutual(R.edges(spark, d))
+
+
+@query(R.EDGES, "reach(start, node) as (select src, dst from edges union select r.start, e.dst from reach r join edges e on r.node = e.src)", sql="select start as node, count(*) as reachable from reach group by start having bool_or(start = node)")
+def dependency_cycles(spark: SparkSession, d: str) -> DataFrame:
+    return graphs.on_cycles(R.edges(spark, d))
+
+
+@query(R.CLASSES, R.REFERENCES, "e as (select distinct name as src, target as dst from refs where name <> target)", sql="""select coalesce(a.node, b.node) as node, coalesce(referenced_by, 0) as referenced_by, coalesce("references", 0) as "references", coalesce(sources, '') as sources
+  from (select dst as node, count(*) as referenced_by, string_agg(src, ',' order by src) as sources from e group by 1) a full join (select src as node, count(*) as "references" from e group by 1) b on a.node = b.node""")
+def inverse_references(spark: SparkSession, d: str) -> DataFrame:
+    return graphs.inverse(R.references(spark, d).toDF("src", "dst"))
+
+
+@query("t as (select lower(p_type) || '.' || p_name as fqn, p_name as simple, lower(p_type) as package from part union all select 'other.' || p_brand, p_brand, 'other' from part)", """r as (select distinct p_name as name, lower(p_type) as package from part
+  union select distinct p_brand, lower(p_type) from part union select 'Missing', 'small')""", sql="""select name, package, case when (select count(distinct fqn) from t where simple = name) = 1 then (select min(fqn) from t where simple = name)
+  else (select min(fqn) from t where simple = name and t.package = r.package) end as resolved from r""")
+def type_resolution(spark: SparkSession, d: str) -> DataFrame:
+    part = R.table(spark, d, "part").withColumn("package", F.lower("p_type"))
+    types = part.select(F.concat_ws(".", "package", "p_name").alias("fqn"), F.col("p_name").alias("simple"), "package").union(part.select(F.concat(F.lit("other."), "p_brand"), "p_brand", F.lit("other")))
+    wanted = part.select(F.col("p_name").alias("name"), "package").union(part.select("p_brand", "package")).union(spark.createDataFrame([("Missing", "small")], "name string, package string")).distinct()
+    return graphs.resolved(wanted, types)
+
+
+# --- claims
+
+_CLAIM = (R.CLAIMS.sql, R.MODULES.sql, R.DEPENDENCIES.sql, R.CLASSES, R.TESTS, R.DOCS, R.EVIDENCE, R.REFERENCES, R.SCOPES)
+_SCOPED = """scoped as (select k.id, m.name, m.ord, d."projectDependencies" as p, d."externalDependencies" as e from claims k join modules m on len(k."scopeModules") = 0 or list_contains(k."scopeModules", m.name) join dependencies d on d.name = m.name),
+  inside as (select k.id, c.name, c.path from claims k join classes c on len(k."scopeModules") = 0 or exists (select 1 from scopes s where list_contains(k."scopeModules", s.name) and s.package = c.package))"""
+_FORBIDDEN = """select i.id, 'forbidden-reference:' || w || ' in ' || i.name || ' (' || i.path || ')' as text from inside i join refs r on r.name = i.name join (select id, unnest("forbiddenReferences") as w from claims) k on k.id = i.id where starts_with(r.target, w)"""
+_FORBIDDEN_DEPS = """select s.id, 'forbidden-dependency:' || w || ' in module:' || s.name || ' (' || s.dep || ')' as text from (select id, name, unnest(list_concat(e, p)) as dep from scoped) s join (select id, unnest("forbiddenDependencies") as w from claims) k on k.id = s.id where contains(dep, w)"""
+_ALLOW = """select s.id, 'disallowed-dependency:' || dep || ' in module:' || name as text from (select id, name, unnest(e) as dep from scoped) s join claims k on k.id = s.id where "allowedDependencies" is not null and not list_bool_or(list_transform("allowedDependencies", lambda a: contains(dep, a))) is true"""
+_TARGETS = """select s.id, 'disallowed-target-module:' || target || ' from module:' || name as text from (select id, name, regexp_extract(unnest(p), 'project\\([''"]:([^''"]*)[''"]\\)', 1) as target from scoped) s join claims k on k.id = s.id where "allowedTargetModules" is not null and target <> '' and not list_contains("allowedTargetModules", target)"""
+_NAMES = "known as (select name as value from tests union select simple from tests), types as (select distinct type as value from evidence)"
+
+
+def _required_sql(column: str, known: str, missing: str) -> str:
+    return f"""select id, '{missing}:' || w as text from (select id, unnest("{column}") as w from claims) where w not in (select value from {known})"""
+
+
+_DOC_ROWS = [(r[0], g) for r in R.CLAIMS.rows for g in r[13]]
+_MISSING_DOCS = " union all ".join(f"select '{i}' as id, 'missing-required-doc:{g}' as text where not exists (select 1 from docs where {_glob_sql(g).format('path')})" for i, g in _DOC_ROWS)
+_REQUIRED = " union all ".join([_required_sql("verifiedBy", "known", "missing-verifier-test"), _required_sql("requiredTests", "known", "missing-required-test"), _required_sql("requiredEvidenceTypes", "types", "missing-evidence-type"), _MISSING_DOCS])
+_BAD = f"bad as ({' union all '.join([_FORBIDDEN, _FORBIDDEN_DEPS, _ALLOW, _TARGETS, _REQUIRED])})"
+
+
+def _claims(spark: SparkSession) -> DataFrame:
+    return R.CLAIMS.df(spark).withColumns({"forbiddenImports": F.array().cast("array<string>"), "mustBeAcyclic": F.lit(False)})
+
+
+def _verified(spark: SparkSession, d: str) -> DataFrame:
+    return C.verified(_claims(spark), R.claim_modules(spark, d), R.importing_classes(spark, d), R.tests(spark, d), R.docs(spark, d), R.evidence(spark, d))
+
+
+@query(*_CLAIM, _SCOPED, sql=_FORBIDDEN)
+def forbidden_references(spark: SparkSession, d: str) -> DataFrame:
+    claims = _claims(spark)
+    return C.forbidden_references(claims, C.scoped_classes(claims, R.claim_modules(spark, d), R.importing_classes(spark, d)), "forbiddenReferences", "forbidden-reference", 1).select("id", "text")
+
+
+@query(*_CLAIM, _SCOPED, sql=_FORBIDDEN_DEPS)
+def forbidden_dependencies(spark: SparkSession, d: str) -> DataFrame:
+    claims = _claims(spark)
+    return C.forbidden_dependencies(claims, C.scoped_modules(claims, R.claim_modules(spark, d))).select("id", "text")
+
+
+@query(*_CLAIM, _SCOPED, sql=f"{_ALLOW} union all {_TARGETS}")
+def allow_list(spark: SparkSession, d: str) -> DataFrame:
+    claims = _claims(spark)
+    scoped = C.scoped_modules(claims, R.claim_modules(spark, d))
+    return C.disallowed_dependencies(claims, scoped).union(C.disallowed_targets(claims, scoped)).select("id", "text")
+
+
+@query(*_CLAIM, _NAMES, sql=_REQUIRED)
+def required_items(spark: SparkSession, d: str) -> DataFrame:
+    claims, names = _claims(spark), C.test_names(R.tests(spark, d))
+    types = R.evidence(spark, d).select(F.col("type").alias("value"))
+    parts = [C.required(claims, "verifiedBy", names, 6, "missing-verifier-test", "test"), C.required(claims, "requiredTests", names, 7, "missing-required-test", "test"), C.required(claims, "requiredEvidenceTypes", types, 8, "missing-evidence-type", "evidence-type")]
+    return parts[0][0].union(parts[1][0]).union(parts[2][0]).union(C.required_docs(claims, R.docs(spark, d))[0]).select("id", "text")
+
+
+_RULED = """(len("forbiddenReferences") + len("forbiddenDependencies") + len("requiredTests") + len("requiredEvidenceTypes") + len("requiredDocs") + len("verifiedBy") > 0 or "allowedDependencies" is not null or "allowedTargetModules" is not null)"""
+_CLAIM_STATUS = f"judged as (select k.*, n, case when not {_RULED} then coalesce(status, 'unverified') when n = 0 then 'passed' else 'failed' end as verdict from (select k.*, (select count(*) from bad b where b.id = k.id) as n from claims k) k)"
+
+
+@query(*_CLAIM, _SCOPED, _NAMES, _BAD, _CLAIM_STATUS, sql="select id, verdict as status, n as violations from judged")
+def claim_status(spark: SparkSession, d: str) -> DataFrame:
+    return _verified(spark, d).select("id", "status", F.size(F.coalesce("violations", F.array().cast("array<string>"))).cast("long").alias("violations"))
+
+
+@query(*_CLAIM, _SCOPED, _NAMES, _BAD, _CLAIM_STATUS, sql="select count(*) filter (verdict = 'failed' and coalesce(severity, 'error') = 'error') as \"claimFailureCount\" from judged")
+def claim_failures(spark: SparkSession, d: str) -> DataFrame:
+    return C.error_failures(_verified(spark, d))
+
+
+# --- smells, profiles, trends
+
+
+_TITLES = "titles as (select regexp_replace(lower(coalesce(title, '')), '[^a-z0-9]', '', 'g') as title_key, count(*) as count, min(ord) as ord from docs group by 1 having count(*) > 1 and title_key <> '')"
+
+
+@query(R.DOCS, _TITLES, sql="select title_key, count from titles")
+def duplicate_titles(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.duplicate_titles(R.docs(spark, d).select("title", "ord")).select("title_key", "count")
+
+
+def _owners(spark: SparkSession, d: str) -> DataFrame:
+    """The part types as capabilities (id, status, classes, ord)."""
+    rows = R.table(spark, d, "part").select(F.col("p_name").alias("id"), F.concat_ws(".", F.lower("p_type"), "p_name").alias("class"))
+    rows = rows.groupBy("id").agg(F.array_sort(F.collect_set("class")).alias("classes"), F.count("*").alias("n"))
+    status = F.when(F.col("n") % 3 == 0, "unknown").when(F.col("n") % 3 == 1, "partial").otherwise("implemented")
+    return rows.select("id", status.alias("status"), "classes", F.row_number().over(Window.orderBy("id")).cast("long").alias("ord"))
+
+
+_OWNERS = """owners as (select id, case n % 3 when 0 then 'unknown' when 1 then 'partial' else 'implemented' end as status, classes, row_number() over (order by id) as ord from
+  (select p_name as id, count(*) as n, count(distinct p_type) as classes from part group by 1))"""
+
+
+@query(_OWNERS, sql="select id, classes as packages from owners")
+def scattered(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.scattered(_owners(spark, d))
+
+
+_SMELLS = """smells as (select 'Hidden Concept' as type, id as subject, 300 as savings, 1 as r, ord as o from owners where status = 'unknown' union all select 'Weak Evidence', id, 200, 2, ord from owners where status = 'partial'
+  union all select 'Large Concept', id, (classes - 5) * 200, 3, ord from owners where classes > 5 union all select 'Scattered Capability', id, classes * 150, 4, ord from owners where classes >= 3
+  union all select 'Concept Cycle', src || ' <-> ' || dst, 400, 5, row_number() over (order by src, dst) from edges e where src < dst and exists (select 1 from edges f where f.src = e.dst and f.dst = e.src)
+  union all select 'Duplicate Knowledge', title_key, (count - 1) * 100, 6, ord from titles union all select 'Oversized Context Cluster', 'repository', 20 * count(*), 7, 0 from part having count(*) > 80)"""
+
+
+def _smells(spark: SparkSession, d: str) -> DataFrame:
+    mutual = graphs.mutual(R.edges(spark, d)).withColumn("ord", F.row_number().over(Window.orderBy("a", "b")))  # a row per pair of packages
+    one = R.table(spark, d, "part").agg(F.count("*").alias("classes"))
+    return metrics.smells(_owners(spark, d), mutual, metrics.duplicate_titles(R.docs(spark, d).select("title", "ord")), F.col("classes"), one)
+
+
+@query(_OWNERS, R.EDGES, R.DOCS, _TITLES, _SMELLS, sql=f"select 'Reduce ' || type || ' around ' || subject as title, {_case('type', X.ACTIONS, X.ANY_ACTION)} as action, cast(savings as bigint) as savings, row_number() over (order by savings desc, r, o) as place from smells")
+def smells_ranked(spark: SparkSession, d: str) -> DataFrame:
+    ranked = metrics.recommendations(_smells(spark, d)).withColumn("place", F.row_number().over(Window.orderBy(F.desc("savings"), "ord")).cast("long"))
+    return ranked.select("title", "action", "savings", "place")
+
+
+@query(R.CAPABILITIES.sql, _COUNTS, _OWNERS, R.EDGES, R.DOCS, _TITLES, _SMELLS, sql=f"select cast({_T} as bigint) as before, cast(greatest(0, {_T} - coalesce((select sum(savings) from smells), 0)) as bigint) as after from counts")
+def after_estimate(spark: SparkSession, d: str) -> DataFrame:
+    saved = _smells(spark, d).agg(F.coalesce(F.sum("savings"), F.lit(0)).alias("saved"))
+    before = metrics.complexity(_count_row(spark, d)).select(F.col("estimatedContextTokens").alias("before"))
+    return before.crossJoin(saved).select("before", F.greatest(F.lit(0), F.col("before") - F.col("saved")).cast("long").alias("after"))
+
+
+_PROFILES = R.Literal("profiles", "id string, practical long, hard long, ratio double, preference string, ord long", *[(*p, i) for i, p in enumerate(metrics.PROFILES)], ("tiny", 1, 2, 0.5, "least", 5), ("broken", -10, -20, 2.5, "none", 6), ("open", 64000, None, None, "any", 7))
+_PROFILE = f"""prof as (select id, ord, preference, tokens, case when practical > 0 then practical else 128000 end as p, hard, ratio from profiles, (select cast({_T} as bigint) as tokens from counts)),
+  prof2 as (select *, greatest(case when hard > 0 then hard else p end, p) as h, coalesce(ratio, least(1.0::double, cast(p as double) / greatest(1.0::double, cast(tokens as double)))) as r0 from prof),
+  prof3 as (select *, greatest(0.0::double, least(1.0::double, r0)) as r from prof2), prof4 as (select *, cast(greatest(0, floor(tokens * r + 0.5::double)) as bigint) as c from prof3),
+  prof5 as (select *, case when c > h then 3 when c > p then 2 else 1 end as b, case when r <= 0.4::double then 3 when r <= 0.7::double then 2 else 1 end as m from prof4)"""
+_RISK = lambda x: f"case {x} when 3 then 'high' when 2 then 'medium' else 'low' end"
+_PROF = (R.CAPABILITIES.sql, _COUNTS, _PROFILES.sql, _PROFILE)
+
+
+def _profiles(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.profile_metrics(_PROFILES.df(spark), metrics.complexity(_count_row(spark, d)).select(F.col("estimatedContextTokens").alias("tokens")))
+
+
+@query(*_PROF, sql=f"""select id as profile, p as practical_budget, h as hard_limit, r as compression_ratio, preference, tokens as raw_tokens, c as compressed_tokens, tokens <= p as fits_practical, tokens <= h as fits_hard, c <= p as compressed_fits_practical,
+  c <= h as compressed_fits_hard, {_RISK('b')} as budget_risk, {_RISK('m')} as missing_context_risk, {_RISK('greatest(b, m)')} as risk from prof5""")
+def profile_budget(spark: SparkSession, d: str) -> DataFrame:
+    return _profiles(spark, d).drop("warnings", "ord")
+
+
+@query(*_PROF, sql="select id as recommended from prof5 order by case when id = 'review' then 0 when greatest(b, m) = 1 then 1 else 2 end, ord limit 1")
+def profile_recommendation(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.recommended(_profiles(spark, d))
+
+
+def _year(spark: SparkSession, d: str, year: int) -> DataFrame:
+    """Of the orders of a year: as classes the orders, as tests the customers, as docs the priorities, as dependencies the days, as capabilities the statuses."""
+    rows = R.table(spark, d, "orders").filter(F.year("o_orderdate") == year)
+    return metrics.complexity(
+        rows.agg(F.count("*").alias("classes"), F.count_distinct("o_custkey").alias("tests"), F.count_distinct("o_orderpriority").alias("docs"), F.count_distinct(F.to_date("o_orderdate")).alias("dependencies"), F.count_distinct("o_orderstatus").alias("capabilities"))
+    )
+
+
+def _year_sql(year: int) -> str:
+    return f"(select count(*) as classes, count(distinct o_custkey) as tests, count(distinct o_orderpriority) as docs, count(distinct cast(o_orderdate as date)) as dependencies, count(distinct o_orderstatus) as capabilities from orders where year(o_orderdate) = {year})"
+
+
+_TREND = ", ".join(f"y{y} as ({_COMPLEXITY.replace('from counts', 'from ' + _year_sql(y))})" for y in (1997, 1998))
+_TREND += ", both_years as (" + " union all ".join(f"""select '{k}' as metric, cast(a."{k}" as double) as baseline, cast(b."{k}" as double) as current from y1997 a, y1998 b""" for k in metrics.TREND_KEYS) + ")"
+
+
+def _deltas(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.deltas(_year(spark, d, 1997), _year(spark, d, 1998))
+
+
+@query(_TREND, sql="select metric, baseline, current, current - baseline as absolute, case when baseline = 0 then case when current = 0 then 0.0::double else 100.0::double end else (current - baseline) * 100.0::double / abs(baseline) end as percent from both_years")
+def trend_deltas(spark: SparkSession, d: str) -> DataFrame:
+    return _deltas(spark, d).drop("ord")
+
+
+_LIMITS = {"aiCognitiveDebt": -1e9, "conceptRadius": 1e9, "estimatedContextTokens": -1e9}
+
+
+@query(_TREND, sql="select metric, increase, threshold, message from (" + " union all ".join(f"select metric, current - baseline as increase, {v}::double as threshold, '{metrics.TREND_GATES[k]}' as message from both_years where metric = '{k}'" for k, v in _LIMITS.items()) + ") where increase > threshold")
+def trend_violations(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.trend_violations(_deltas(spark, d), _LIMITS).drop("ord")
+
+
+def _fixtures(spark: SparkSession, d: str) -> DataFrame:
+    """Per user: the events' kinds as suggestions and features."""
+    rows = R.table(spark, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_list("event_type")).alias("suggestions"), F.count("*").alias("n"), F.array_sort(F.collect_set(F.when(F.col("value") < 50, F.col("event_type")))).alias("suggestedFeatures"))
+    return rows.select(F.col("user_id").alias("id"), F.lit(None).cast("string").alias("profile"), (F.col("n") * 100).alias("tokenUsage"), F.col("n").alias("latencyMs"), F.lit(0.75).alias("reviewQuality"), "suggestions", F.array(F.lit("view"), F.lit("purchase")).alias("existingFeatures"), "suggestedFeatures", F.lit(True).alias("taskSuccess"))
+
+
+_EMPIRICAL = """empirical as (select user_id as id, count(*) as n, count(*) - count(distinct event_type) as duplicates, list_filter(['view', 'purchase'], lambda x: not list_contains(coalesce(list(distinct event_type) filter (value < 50), []), x)) as missed from events group by 1)"""
+
+
+@query(_EMPIRICAL, sql="""select id, 'review' as profile, n * 100 as "tokenUsage", n as "latencyMs", duplicates as "duplicateSuggestions", array_to_string(missed, ',') as "missedExistingFeatures", len(missed) = 0 as "taskSuccess" from empirical""")
+def empirical_results(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.empirical(_fixtures(spark, d)).withColumn("missedExistingFeatures", F.array_join("missedExistingFeatures", ",")).drop("reviewQuality")
+
+
+@query(_EMPIRICAL, sql="""select count(*) as "fixtureCount", cast(floor(cast(sum(n) * 100 as double) / count(*) + 0.5) as bigint) as "averageTokenUsage", cast(floor(cast(sum(n) as double) / count(*) + 0.5) as bigint) as "averageLatencyMs", 0.75::double as "averageReviewQuality",
+  cast(sum(duplicates) as bigint) as "totalDuplicateSuggestions", cast(sum(len(missed)) as bigint) as "totalMissedExistingFeatures", cast(count(*) filter (len(missed) = 0) as double) / count(*) as "taskSuccessRate" from empirical""")
+def empirical_summary(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.empirical_summary(metrics.empirical(_fixtures(spark, d)))
+
+
+# --- gates and packs
+
+
+@query(*_LINK, _STATUS, sql="""select gate, count(violation) = 0 as passed, count(violation) as violations, coalesce(min(violation), '') as first from (select unnest(['requireCapabilityEvidence', 'minContextPackCount', 'maxContextPackTokens']) as gate) g left join (
+  select 'requireCapabilityEvidence' as gate, 'capability:' || id || ' (' || label || ') has no matched module/type/doc/evidence' as violation from linked where status = 'unknown'
+  union all select 'minContextPackCount', 'context pack count ' || count(*) || ' is below required minimum 100' from capabilities having count(*) < 100
+  union all select 'maxContextPackTokens', 'context-pack:' || id || ' token estimate ' || (t * 10) || ' exceeds maximum 100' from linked where t * 10 > 100) v using (gate) group by gate""")
+def gate_results(spark: SparkSession, d: str) -> DataFrame:
+    capabilities = _linked(spark, d).withColumn("label", F.col("id"))
+    sized = capabilities.select("id", "ord", (F.size("matchedTypes") * 10).alias("tokenEstimate"))
+    found = gates.capability_evidence(capabilities).union(gates.pack_count(R.CAPABILITIES.df(spark), 100)).union(gates.pack_tokens(sized, 100))
+    names = spark.createDataFrame([("requireCapabilityEvidence",), ("minContextPackCount",), ("maxContextPackTokens",)], "gate string")
+    return gates.results(names, found).select("gate", "passed", F.size("violations").cast("long").alias("violations"), F.coalesce(F.array_min("violations"), F.lit("")).alias("first"))
+
+
+_GATES = {"averageMethodCognitiveComplexity": ("maxAverageMethodCognitiveComplexity", 3.5), "maxMethodCyclomaticComplexity": ("maxMethodCyclomaticComplexity", 10), "methodsAboveCognitiveThreshold": ("maxMethodsAboveCognitiveThreshold", 1e12), "methodCount": ("maxMethods", None)}
+
+
+@query(R.METHODS, f"summary as ({_summary_sql()})", sql="select * from (" + " union all ".join(f"""select '{k}' as metric, cast("{k}" as double) as actual, '{n}' as "limit", {float(v)}::double as most from summary""" for k, (n, v) in _GATES.items() if v is not None) + ") where actual > most")
+def quality_gate(spark: SparkSession, d: str) -> DataFrame:
+    return gates.exceeded(metrics.method_summary(R.methods(spark, d)), _GATES).drop("ord")
+
+
+@query(R.CAPABILITIES.sql, R.CLAIMS.sql, sql="""select c.id as capability, k.id as claim from capabilities c join claims k on c.id = k.id or list_has_any(c.modules, k."scopeModules") or list_has_any(c.classes, k."implementedBy")""")
+def claim_relevance(spark: SparkSession, d: str) -> DataFrame:
+    return packs.relevant(R.CAPABILITIES.df(spark).select("id", "modules", F.col("classes").alias("types"), F.array().cast("array<string>").alias("tests")), R.CLAIMS.df(spark))
+
+
+@query(*_LINK, _STATUS, sql=f"""select l.id, l.status, {_case('l.status', X.INTENDED_USE, X.GENERAL_USE)} as "intendedUse", 'context-packs/' || l.id || '.json' as file, case when l.t > 0 then l.t else len(c.classes) end as types, l.o as docs from linked l join capabilities c using (id)""")
+def context_packs(spark: SparkSession, d: str) -> DataFrame:
+    none = F.array().cast("array<string>")
+    capabilities = _linked(spark, d).withColumns({"label": F.col("id"), "tests": none, "docs": none})
+    claims = _claims(spark).withColumn("violations", none)
+    rows = packs.packs(capabilities, claims, R.classes(spark, d), R.tests(spark, d))
+    return rows.select("id", "status", "intendedUse", "file", F.size("pack.types").cast("long").alias("types"), F.size("pack.docs").cast("long").alias("docs"))
+
+
+@query(sql="select doc_id, cast((length(text) + (select count(*) from (select unnest(string_split(text, '')) as c) where unicode(c) > 65535)) // 4 as bigint) as tokens from documents")
+def token_estimate(spark: SparkSession, d: str) -> DataFrame:
+    return R.table(spark, d, "documents").select("doc_id", X.token_estimate(F.col("text")).alias("tokens"))
+
+
+# --- text fields of the driver's tables
+
+
+@query(sql="""select event_id, try_cast(nullif(regexp_extract(props, '"k"\\s*:\\s*([0-9]+)', 1), '') as bigint) as k from events""")
+def evidence_fields(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators import scan
+
+    return R.table(spark, d, "events").select("event_id", scan.json_number(F.col("props"), "k").alias("k"))
+
+
+@query(sql="""select page_id, target, count(*) as links from (select page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) as target from pages) group by all""")
+def html_links(spark: SparkSession, d: str) -> DataFrame:
+    rows = R.table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("target"))
+    return rows.groupBy("page_id", "target").agg(F.count("*").alias("links"))
+
+
+QUERIES |= corpora.QUERIES
+ORACLE |= corpora.ORACLE
