@@ -36,12 +36,19 @@ def _type(kind: T.DataType) -> str:
     return _type(kind.elementType) + "[]" if isinstance(kind, T.ArrayType) else _TYPES[type(kind)]
 
 
+def _parsed(kind: str) -> T.DataType:
+    """The type of a schema's word, without the session that Spark's own parser needs."""
+    if kind.startswith("array<"):
+        return T.ArrayType(_parsed(kind[6:-1]))
+    return {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType()}[kind]
+
+
 class Literal:
     """A small table that is written down: df() for Spark, sql as a common table expression."""
 
     def __init__(self, name: str, schema: str, *rows: tuple) -> None:
         self.name, self.rows = name, rows
-        self.schema: T.StructType = T.StructType.fromDDL(schema)
+        self.schema = T.StructType([T.StructField(n, _parsed(k)) for n, k in (c.split() for c in schema.split(", "))])
 
     def df(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(list(self.rows), self.schema)
