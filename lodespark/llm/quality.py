@@ -21,7 +21,7 @@ from math import exp, lgamma, log
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, words
+from .common import WORD_RE, table, words
 
 RISK, DELTA = 0.02, 0.05
 
@@ -87,7 +87,7 @@ def cutoffs(docs: DataFrame, labels: DataFrame, *, risk: float = RISK, delta: fl
     good = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality")).filter("quality > 0").select("doc_id")
     values = features()
     stratum = F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum")
-    rows = docs.filter("text is not null and trim(text) <> ''").select(F.col("doc_id").cast("long"), stratum, *[c.alias(name) for name, c in values.items()])
+    rows = docs.filter(F.col("text").rlike(WORD_RE)).select(F.col("doc_id").cast("long"), stratum, *[c.alias(name) for name, c in values.items()])
     at = F.array(*[position(r, F.col(r.name)) for r in RULES])  # after the join, which keeps the features from being computed anew for each cutoff
     counts = rows.join(good, "doc_id").distinct().select("stratum", F.posexplode(at).alias("rule", "at")).groupBy("stratum", "rule", "at").count().collect()  # strata x rules x grid rows
     strata = sorted({r.stratum for r in counts})
@@ -108,7 +108,7 @@ def judge(spark: SparkSession, docs: DataFrame, chosen: dict[str, dict[str, floa
     """(doc_id, stratum, failed, keep), one row per document; failed has the names of the rules that reject it."""
     values = features()
     stratum = F.coalesce(F.col("lang").cast("string"), F.lit(""))
-    failed = [F.when(F.trim(F.coalesce("text", F.lit(""))) == "", F.lit("empty"))]
+    failed = [F.when(~F.coalesce("text", F.lit("")).rlike(WORD_RE), F.lit("empty"))]
     for r in RULES:
         pairs = [x for s, own in chosen.items() if r.name in own for x in (F.lit(s), F.lit(own[r.name]))]
         if pairs:
