@@ -1,0 +1,231 @@
+"""Language, toxicity, quality, secrets and URLs."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+from fractions import Fraction
+from math import comb
+
+import duckdb
+import numpy as np
+from pyspark.sql import functions as F
+
+from lodespark.llm import langid, quality, secrets, toxicity, urls
+from lodespark.llm.common import table
+
+from .conftest import docs_of, prose
+
+SMALL = "/root/testdata/sf0.01"
+
+
+def test_held_out_languages(spark):
+    docs = table(spark, SMALL, "documents")
+    content = langid.dictionaries(docs, per_language=40)
+    rows = langid.classify(docs, content).join(docs.select("doc_id", "lang", F.length("text").alias("n")), "doc_id").collect()
+    kept = [r for r in rows if r.accepted]
+    assert len(kept) >= 0.9 * len(rows)
+    assert sum(r.language == r.lang for r in kept) >= 0.98 * len(kept)
+
+
+def test_the_smallest_frame_wins(spark):
+    content = {"a": b"lorem ipsum dolor sit amet " * 20, "b": b"quick brown fox jumps over lazy dogs " * 20}
+    c = langid.Classifier(content)
+    sizes = c.sizes("the quick brown fox jumps over lazy dogs again")
+    assert sizes[1] < sizes[0]
+    (row,) = langid.classify(docs_of(spark, [(1, "the quick brown fox jumps over lazy dogs again", None, None)]), content).collect()
+    assert (row.language, row.best_bytes, row.second_bytes, row.accepted) == ("b", sizes[1], sizes[0], True)
+    (tie,) = langid.classify(docs_of(spark, [(1, "0123", None, None)]), {"x": b"same same", "y": b"same same"}).collect()
+    assert tie.language == "x" and not tie.accepted
+
+
+def test_languages_of_hard_cases(spark, hard, nothing):
+    content = langid.dictionaries(hard)
+    rows = langid.classify(hard, content).collect()
+    assert len(rows) == hard.count()
+    assert not any(r.accepted for r in rows if r.doc_id in (3, 4, 5))
+    assert langid.accepted(hard, content).columns == hard.columns
+    assert langid.dictionaries(nothing) == {} and langid.classify(nothing, {}).count() == 0 == langid.accepted(nothing, {}).count()
+    assert langid.accepted(hard, {}).count() == 0
+
+
+def _brute_segments(scores):
+    """The definition: split at the best segment (the leftmost, shortest one of the greatest sum), then both rests."""
+    if not scores or max(scores) <= 0:
+        return []
+    best = max(((sum(scores[i:j]), -(j - i), -i) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)))
+    i = -best[2]
+    j = i - best[1]
+    return [*_brute_segments(scores[:i]), (i, j, best[0]), *[(a + j, b + j, s) for a, b, s in _brute_segments(scores[j:])]]
+
+
+def test_maximal_segments_match_their_definition():
+    rng = random.Random(2)
+    for _ in range(200):
+        n = rng.randrange(1, 14)
+        up = {k: rng.choice((0.37, 1.13, 2.71)) + rng.random() * 1e-3 for k in range(n) if rng.random() < 0.5}
+        scores = [up.get(k, -0.731) for k in range(n)]
+        found = toxicity.maximal_segments(sorted(up.items()), n, -0.731)
+        assert [(a, b) for a, b, _ in found] == [(a, b) for a, b, _ in _brute_segments(scores)]
+        assert np.allclose([s for *_, s in found], [s for *_, s in _brute_segments(scores)])
+
+
+def _toxic_corpus(spark):
+    rng = random.Random(4)
+    bad = ["blarg", "snorf", "grulk", "vlimp"]
+    rows, labels = [], []
+    for i in range(500):
+        words = prose(rng, 150).split()
+        if i % 4 == 0:
+            at = rng.randrange(140)
+            words[at : at + 8] = [rng.choice(bad) for _ in range(8)]
+        rows.append((i, " ".join(words), "en", "a"))
+        if i < 400:
+            labels.append((i, 1, int(i % 4 == 0)))
+    return docs_of(spark, rows), spark.createDataFrame([*labels, (None, 1, 1), (7000, 1, 1), (1, None, None)], "doc_id long, quality int, toxic int")
+
+
+def test_planted_toxic_passages_are_found(spark):
+    docs, labels = _toxic_corpus(spark)
+    found = toxicity.toxic_passages(spark, docs, labels).collect()
+    held = {r.doc_id for r in found if r.doc_id >= 400}
+    assert held == {i for i in range(400, 500) if i % 4 == 0}
+    assert not any(r.doc_id % 4 for r in found)
+    assert all(r.end_token - r.start_token <= 16 and re.search("blarg|snorf|grulk|vlimp", r.passage) for r in found)
+    joined = toxicity.toxic_passages(spark, docs, labels, broadcast_words=0).collect()
+    assert sorted(tuple(r)[:3] for r in found) == sorted(tuple(r)[:3] for r in joined)
+
+
+def test_toxicity_of_hard_cases(spark, hard, nothing):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    some = spark.createDataFrame([(1, 1, 1), (7, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int")
+    for docs in (hard, nothing):
+        assert toxicity.toxic_passages(spark, docs, none).count() == 0
+        toxicity.toxic_passages(spark, docs, some).count()
+
+
+def test_exact_binomial_bound():
+    def exact(n, risk, delta):
+        p, k, total = Fraction(risk), -1, Fraction(0)
+        while k < n:
+            total += comb(n, k + 1) * p ** (k + 1) * (1 - p) ** (n - k - 1)
+            if total > Fraction(delta):
+                return k
+            k += 1
+        return k
+
+    for n in (0, 1, 10, 100, 500):
+        for risk, delta in ((0.02, 0.01), (0.1, 0.05), (0.003, 0.0005)):
+            assert quality.allowed(n, risk, delta) == exact(n, risk, delta) or n == 0
+
+
+def test_cutoffs_reject_few_good_documents(spark):
+    docs, labels = table(spark, SMALL, "documents"), table(spark, SMALL, "labels")
+    chosen = quality.cutoffs(docs, labels, risk=0.3)
+    judged = quality.judge(spark, docs, chosen).join(labels, "doc_id").filter("quality = 1 and stratum <> ''")
+    rates = judged.groupBy("stratum").agg(F.avg((~F.col("keep")).cast("double")).alias("rate")).collect()
+    assert rates and all(r.rate <= 0.3 for r in rates)
+
+
+def test_quality_of_hard_cases(spark, hard, nothing):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality.cutoffs(hard, none) == {} == quality.cutoffs(nothing, none)
+    rows = quality.judge(spark, hard, {}).collect()
+    assert len(rows) == hard.count() and {r.doc_id for r in rows if not r.keep} == {None, 3, 4, 5}
+    assert quality.judge(spark, nothing, {"en": {"digits": 0.1}}).count() == 0
+    tie = quality.judge(spark, docs_of(spark, [(1, "abcd1", "en", "a")]), {"en": {"digits": 0.2}}).collect()
+    assert tie[0].keep  # a value at the cutoff is spared
+
+
+_KEY = "AKIA" + "A1B2C3D4E5F6G7H8"
+
+
+def _secret_docs(spark):
+    return docs_of(spark, [(1, f"key {_KEY} and {_KEY}", "en", "a"), (1, f"key {_KEY} and {_KEY}", "en", "a"), (2, f"key {_KEY} and {_KEY}", "en", "a"), (3, "password = hunter2hunter2", "en", "b"), (4, "nothing here", "en", "b"), (None, f"{_KEY}", None, None), (5, None, None, None), (6, "", "", "")])
+
+
+def test_secrets_match_plain_expressions(spark):
+    docs = _secret_docs(spark)
+    wanted = set()
+    for doc, text in {(r.doc_id, r.text) for r in docs.collect() if r.text is not None}:
+        for rule in secrets.RULES:
+            found = re.findall(rule.pattern, text)
+            wanted |= {(doc, hashlib.sha256(text.encode()).hexdigest(), rule.name, rule.version, hashlib.sha256(m.encode()).hexdigest(), found.count(m)) for m in found}
+    rows = [tuple(r) for r in secrets.findings_by_path(spark, docs).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == wanted
+
+
+def test_the_ledger_scans_only_what_is_new(spark, tmp_path):
+    docs, ledger = _secret_docs(spark), f"file://{tmp_path}/ledger"
+    rules = secrets.RULES
+    first = {tuple(r) for r in secrets.findings_by_path(spark, docs, rules=rules[:1], ledger=ledger).collect()}
+    assert first == {tuple(r) for r in secrets.findings_by_path(spark, docs, rules=rules[:1]).collect()}
+    seen = spark.read.parquet(f"{ledger}/seen").count()
+    again = {tuple(r) for r in secrets.findings_by_path(spark, docs, rules=rules[:1], ledger=ledger).collect()}
+    assert again == first and spark.read.parquet(f"{ledger}/seen").count() == seen
+    more = docs.union(docs_of(spark, [(9, "token: abcdefghijklmnop1234", "en", "a")]))
+    every = {tuple(r) for r in secrets.findings_by_path(spark, more, rules=rules, ledger=ledger).collect()}
+    assert every == {tuple(r) for r in secrets.findings_by_path(spark, more, rules=rules).collect()}
+    scanned = spark.read.parquet(f"{ledger}/seen").filter(F.array_contains("rules", rules[0].key)).count()
+    assert scanned == seen + 1  # the first rule met the one new blob only
+
+
+def test_secrets_are_redacted(spark, hard, nothing):
+    rows = {r.doc_id: r for r in secrets.redact(spark, _secret_docs(spark)).collect()}
+    assert rows[2].text == "key [aws_access_key] and [aws_access_key]" and rows[2].n_chars == len(rows[2].text)
+    assert rows[4].text == "nothing here" and rows[5].text is None and len(rows) == 7
+    out = secrets.redact(spark, hard)
+    assert out.columns == hard.columns and out.exceptAll(hard).count() == 0 == hard.exceptAll(out).count()
+    assert secrets.findings_by_path(spark, nothing).count() == 0 == secrets.redact(spark, nothing).count()
+
+
+def _plain_canonical(url):
+    if url is None:
+        return None
+    bare = url.strip(" ").split("#")[0]
+    front, _, query = bare.partition("?")
+    front = re.sub("^[A-Za-z][A-Za-z0-9+.-]*://", "", front)
+    host, slash, path = front.partition("/")
+    host = re.sub("^(www|m)[.]", "", re.sub(":(80|443)$", "", host.rpartition("@")[2].lower()))
+    kept = sorted(p for p in query.split("&") if p and not re.match("^(utm_[a-z]+|ref|fbclid|gclid)(=|$)", p.lower()))
+    return host + (slash + path).rstrip("/") + ("?" + "&".join(kept) if kept else "")
+
+
+def test_url_filter_both_ways(spark):
+    given = ["http://www.A.com/x/?b=2&a=1&utm_source=q#f", "https://a.com/x?a=1&b=2", "https://m.b.org:443/", "b.org", "", None, "http://user@c.net/p//", "c.net/q", "http://a.com/X", "::?&=", "https://a.com/x?a=1&b=2"]
+    given += [f"https://site{i}.org/p/{i % 7}/" for i in range(400)]
+    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(given)], "page_id long, url string, canonical_url string")
+    listed = [_plain_canonical(u) for u in given[:3:2]] + [f"site{i}.org/p/{i % 7}" for i in range(0, 400, 9)] + [None, "site0.org/p/0"]
+    blocklist = spark.createDataFrame([(u,) for u in listed], "canonical_url string")
+    wanted = {(i, _plain_canonical(u), u is not None and _plain_canonical(u) in listed) for i, u in enumerate(given)}
+    for largest in (urls.LARGEST, 0):
+        rows = urls.blocked(spark, pages, blocklist, largest=largest).collect()
+        assert len(rows) == len(given) and {(r.page_id, r.canonical_url, r.blocked) for r in rows} == wanted
+    none = blocklist.limit(0)
+    assert not any(r.blocked for r in urls.blocked(spark, pages, none).collect())
+    assert urls.blocked(spark, pages.limit(0), blocklist).count() == 0
+
+
+def test_the_bloom_filter_misses_nothing_and_passes_little(spark):
+    keys = spark.range(20_000).select(F.xxhash64("id").alias("h"))
+    blocks = 20_000 * urls.BITS // 256 + 1
+    cells = {r.block: r for r in urls.bloom(keys.filter("h is not null"), blocks).collect()}
+
+    def rate(df):
+        probe = df.select(urls._block(F.col("h"), blocks).alias("block"), *[b.alias(f"w{k}") for k, b in enumerate(urls._bits(F.col("h")))]).collect()
+        return sum(p.block in cells and all(cells[p.block][f"w{k}"] & p[f"w{k}"] for k in range(urls.WORDS)) for p in probe) / len(probe)
+
+    assert rate(keys.limit(3000)) == 1
+    assert rate(spark.range(50_000, 53_000).select(F.xxhash64("id").alias("h"))) < 0.02
+
+
+def test_sql_agrees_on_the_small_tables(spark):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
+    for sql, query in ((secrets.ORACLE, secrets.op5_secrets), (urls.ORACLE, urls.op10_urls)):
+        wanted = con.execute(sql)
+        names = [c[0] for c in wanted.description]
+        rows = sorted(map(str, wanted.fetchall()))
+        assert rows == sorted(str(tuple(r)) for r in query(spark, "/root/testdata/sf0.001").select(*names).collect())
