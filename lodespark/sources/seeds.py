@@ -18,8 +18,8 @@ SUFFIXES = (".seed.yaml", ".seed.yml", ".yaml", ".yml", ".json")
 def _bare(text: str) -> str:
     text = text.strip()
     if len(text) >= 2 and text[0] == text[-1] and text[0] in "\"'":
-        return text[1:-1]
-    return "" if text in ('"', "'") else text
+        return _unescape(text[1:-1]) if text[0] == '"' else text[1:-1]
+    return text
 
 
 def _uncommented(line: str) -> str:
