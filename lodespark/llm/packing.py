@@ -29,6 +29,8 @@ from .textkeys import U, bags, mix, word_hashes
 WINDOW, SHARD, K1, B = 2048, 512, 1.2, 0.75
 BATCH, BITS = 1024, 10
 COUNTERS, PART = 1 << 20, 1 << 12
+#: Split shards (16 bytes each) up to which their list is broadcast; beyond, it is joined by shuffle.
+BROADCAST_SHARDS = 1_000_000
 SCHEMA = "doc_id long, n_tokens long, key long, digest long, terms binary, counts binary"
 
 
@@ -172,7 +174,7 @@ def _pack(weights, average: float, window: int):
     return run
 
 
-def pack(spark: SparkSession, docs: DataFrame, *, window: int = WINDOW, shard: int = SHARD, scratch: Scratch | None = None) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, *, window: int = WINDOW, shard: int = SHARD, broadcast_shards: int = BROADCAST_SHARDS, scratch: Scratch | None = None) -> DataFrame:
     """(window, slot, doc_id, start, n_tokens, score): the pieces of each window; the seed, or a whole window of one text, is in slot 0 and has no score."""
     scratch = scratch or Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("text is not null")
@@ -183,9 +185,12 @@ def pack(spark: SparkSession, docs: DataFrame, *, window: int = WINDOW, shard: i
     number = F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long")
     rows = rows.withColumn("shard", number)
     # a shard of over twice the size, of equal keys mostly, is split further by document
-    large = rows.groupBy("shard").count().filter(F.col("count") > 2 * shard).select("shard", F.ceil(F.col("count") / shard).alias("parts"))
+    large = scratch.keep(rows.groupBy("shard").count().filter(F.col("count") > 2 * shard).select("shard", F.ceil(F.col("count") / shard).alias("parts")), "large")
+    few = large.count() <= broadcast_shards
     salt = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id", "digest"), "parts"))
-    rows = rows.join(large, "shard", "left").withColumn("salt", salt.cast("long")).drop("parts", "key")
+    rows = rows.join(F.broadcast(large) if few else large, "shard", "left").withColumn("salt", salt.cast("long")).drop("parts", "key")
+    if not few:  # else the groups would stay where the join put them, all parts of a shard in one task
+        rows = rows.repartition("shard", "salt")
     return rows.groupBy("shard", "salt").applyInArrow(_pack(weights, average, window), "window string, slot int, doc_id long, start long, n_tokens long, score double")
 
 
