@@ -145,6 +145,11 @@ def test_statistics_are_of_the_whole_corpus(spark, corpus):
     assert (df == np.bincount(term >> 12, minlength=packing.COUNTERS)).all()
 
 
+def test_split_shards_are_the_same_either_way(spark, corpus):
+    sets = [sorted(map(str, packing.pack(spark, corpus[0], shard=4, broadcast_shards=n).collect())) for n in (0, 1000)]
+    assert sets[0] == sets[1]
+
+
 def test_packing_brings_related_documents_together(spark):
     rng = random.Random(8)
     rows = [(i, prose(rng, 30) + " " + " ".join(f"topic{i % 50}word{k}" for k in range(30)), "en", "a") for i in range(400)]
