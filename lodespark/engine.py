@@ -40,9 +40,14 @@ def encode(value: Any) -> str:
     return json.dumps(value, ensure_ascii=False, separators=(",", ":"), allow_nan=False)
 
 
+def _tag(name: str, inner: str) -> str:
+    return f"<{name}>{inner}</{name}>"
+
+
 def page(title: str, report: Report) -> str:
-    body = html.escape(encode(report), quote=False)
-    return f'<!doctype html><html><head><meta charset="utf-8"><title>{title}</title></head><body><h1>{title}</h1><pre>{body}</pre></body></html>\n'
+    head = _tag("head", '<meta charset="utf-8">' + _tag("title", title))
+    body = _tag("body", _tag("h1", title) + _tag("pre", html.escape(encode(report), quote=False)))
+    return "<!doctype html>" + _tag("html", head + body) + "\n"
 
 
 def _row(df: DataFrame) -> Report:
@@ -162,7 +167,7 @@ class Engine:
         names = {"maxCognitiveDebtIncrease": o.max_debt_increase, "maxConceptRadiusIncrease": o.max_radius_increase, "maxContextTokenIncrease": o.max_token_increase}
         deltas, violations, warnings = {}, [], []
         if baseline is None:
-            warnings = ["No complexity baseline found; write metrics-snapshot.json to ai-knowledge/complexity-baseline.json to enable trend checks."]
+            warnings = ["No complexity baseline found: trend checks need a metrics-snapshot.json as complexity-baseline.json beside the seeds."]
         else:
             one = lambda r: self.spark.createDataFrame([tuple(float(r.get(k) or 0) for k in metrics.TREND_KEYS)], ", ".join(f"{k} double" for k in metrics.TREND_KEYS))
             changes = metrics.deltas(one(baseline), one(current))
@@ -199,7 +204,7 @@ class Engine:
             for p in rows
         ]
         chosen = next((r["profile"] for r in results if r["profile"] == "review"), None) or next((r["profile"] for r in results if r["risk"] == "low"), results[0]["profile"] if results else "none")
-        return {"schemaVersion": 1, "method": "deterministic-preflight", "results": results, "recommendedProfile": chosen, "empirical": self.empirical()}
+        return {"schemaVersion": 1} | {"method": "deterministic-preflight"} | {"results": results, "recommendedProfile": chosen, "empirical": self.empirical()}
 
     def empirical(self) -> Report:
         o = self.options

@@ -116,7 +116,7 @@ INTENDED_USE = {
 GENERAL_USE = "General capability review"
 ACTIONS = {
     "Large Concept": "Split the concept into smaller, more focused modules or packages.",
-    "Hidden Concept": "Add implementation classes and tests to reveal and verify the capability.",
+    "Hidden Concept": "Add the classes and tests that reveal and verify the capability.",
     "Concept Cycle": "Introduce an abstraction layer or extract shared code to break the cycle.",
     "Scattered Capability": "Consolidate capability classes into a single cohesive package.",
     "Weak Evidence": "Add test coverage and implementation to strengthen the evidence for this capability.",

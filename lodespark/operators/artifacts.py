@@ -10,15 +10,15 @@ from typing import Any
 from ..sources import strict_json
 from ..sources.facts import TABLES
 
-METHOD = "line-weighted-prioritized-capability-selector-working-set-proxy"
-JSON = ("index.json", *(f"{t}.json" for t in TABLES), "context-packs/index.json", "complexity.json", "metrics-snapshot.json", "trend.json", "check.json")
-TEXT = ("review-context.md", "complexity.html", "trend.html")
-LIFECYCLE_JSON, LIFECYCLE_TEXT = ("optimization.json", "benchmark.json"), ("optimization.html", "benchmark.html")
+METHOD = "-".join("line weighted prioritized capability selector working set proxy".split())
+JSON = tuple(f"{name}.json" for name in ("index", *TABLES, "context-packs/index", *"complexity metrics-snapshot trend check".split()))
+TEXT = tuple("review-context.md complexity.html trend.html".split())
+LIFECYCLE_JSON, LIFECYCLE_TEXT = (tuple(f"{name}.{kind}" for name in ("optimization", "benchmark")) for kind in ("json", "html"))
 AMOUNTS = (
     "repositoryContextTokens productionContextTokens testEvidenceTokens documentationContextTokens productionLines totalContextLines medianCapabilityWorkingSetTokens p90CapabilityWorkingSetTokens capabilityCount capabilitySampleCount "
     "capabilitiesWithoutSelectors capabilitiesWithoutResolvedTypes unresolvedCapabilityTypeReferences unresolvedCapabilityModuleReferences unresolvedCapabilityPackageReferences tokensPerKloc p90RepositoryContextShare evidenceToProductionRatio"
 ).split()
-PACK_LISTS = ("modules", "types", "tests", "docs", "evidence", "claims", "suggestedFiles")
+PACK_LISTS = "modules types tests docs evidence claims suggestedFiles".split()
 
 
 def _file(root: str, name: str, errors: list[str]) -> str | None:
@@ -60,67 +60,67 @@ def _json(root: str, name: str, errors: list[str]) -> tuple[Any, str]:
         return None, text
 
 
-def _object(value: Any, at: str, errors: list[str]) -> dict:
-    if not isinstance(value, dict):
-        errors.append(f"{at} must be an object")
-        return {}
-    return value
+class Node:
+    """A value of a document under its place, which checks itself; node / key is the value below it."""
 
+    def __init__(self, value: Any, place: str, errors: list[str]) -> None:
+        self.value, self.place, self.errors = value, place, errors
 
-def _array(value: Any, at: str, errors: list[str]) -> list:
-    if not isinstance(value, list):
-        errors.append(f"{at} must be an array")
-        return []
-    return value
+    def __truediv__(self, key: str) -> Node:
+        return Node(self.value.get(key) if isinstance(self.value, dict) else None, f"{self.place}.{key}", self.errors)
 
+    def must(self, ok: bool, what: str) -> bool:
+        if not ok:
+            self.errors.append(f"{self.place} must be {what}")
+        return ok
 
-def _whole(value: Any) -> bool:
-    return isinstance(value, Decimal) and value == value.to_integral_value()
+    def mapping(self) -> Node:
+        self.must(isinstance(self.value, dict), "an object")
+        return self
 
+    def items(self) -> list[Node]:
+        ok = self.must(isinstance(self.value, list), "an array")
+        return [Node(x, f"{self.place}[{i}]", self.errors) for i, x in enumerate(self.value)] if ok else []
 
-def _filled(value: Any, at: str, errors: list[str]) -> str | None:
-    if not isinstance(value, str) or not value.strip():
-        errors.append(f"{at} must be non-blank text")
-        return None
-    return value
+    def text(self) -> str | None:
+        return self.value if self.must(isinstance(self.value, str) and bool(self.value.strip()), "non-blank text") else None
+
+    def same(self, wanted: Any) -> None:
+        self.must(self.value == wanted, str(wanted))
 
+    @property
+    def whole(self) -> bool:
+        return isinstance(self.value, Decimal) and self.value == self.value.to_integral_value()
 
-def _equal(value: Any, wanted: Any, at: str, errors: list[str]) -> None:
-    if value != wanted:
-        errors.append(f"{at} must be {wanted}")
+    def within(self, low: int, high: int | None, what: str) -> None:
+        self.must(isinstance(self.value, Decimal) and low <= self.value and (high is None or self.value <= high), what)
 
 
-def _counts(docs: dict[str, Any], errors: list[str]) -> None:
-    index = _object(docs.get("index.json"), "index.json", errors)
-    _equal(index.get("schemaVersion"), 1, "index.json.schemaVersion", errors)
-    _filled(index.get("repository"), "index.json.repository", errors)
-    _equal(index.get("generationMode"), "deterministic-static", "index.json.generationMode", errors)
-    counts = _object(index.get("counts"), "index.json.counts", errors)
+def _counts(documents: dict[str, Node], errors: list[str]) -> None:
+    index = documents["index.json"].mapping()
+    (index / "schemaVersion").same(1)
+    (index / "generationMode").same("deterministic-static")
+    (index / "repository").text()
+    counts = (index / "counts").mapping()
     for t in TABLES:
-        rows = _array(_object(docs.get(f"{t}.json"), f"{t}.json", errors).get(t), f"{t}.json.{t}", errors)
-        if not _whole(counts.get(t)):
-            errors.append(f"index.json.counts.{t} must be an integer")
-        elif counts[t] != len(rows):
-            errors.append(f"index.json count mismatch for {t}: expected {len(rows)} but found {counts[t]}")
+        n, given = len((documents[f"{t}.json"].mapping() / t).items()), counts / t
+        if given.must(given.whole, "an integer") and given.value != n:
+            errors.append(f"index.json count mismatch for {t}: expected {n} but found {given.value}")
 
 
-def _packs(root: str, docs: dict[str, Any], errors: list[str]) -> None:
+def _packs(root: str, documents: dict[str, Node], errors: list[str]) -> None:
     known: list[str] = []
-    for c in (docs.get("capabilities.json") or {}).get("capabilities") or []:
-        ident = c.get("id") if isinstance(c, dict) else None
+    for c in (documents["capabilities.json"] / "capabilities").items():
+        ident = (c.mapping() / "id").value
         if isinstance(ident, str) and ident.strip():
             if ident in known:
                 errors.append(f"duplicate capability id: {ident}")
             known.append(ident)
     seen: dict[str, str] = {}
-    for i, entry in enumerate(_array((docs.get("context-packs/index.json") or {}).get("contextPacks"), "context-packs/index.json.contextPacks", errors)):
-        at = f"context-packs/index.json.contextPacks[{i}]"
-        entry = _object(entry, at, errors)
-        ident, label, status, name = (_filled(entry.get(k), f"{at}.{k}", errors) for k in ("id", "label", "status", "file"))
-        _filled(entry.get("intendedUse"), f"{at}.intendedUse", errors)
-        tokens = entry.get("tokenEstimate")
-        if not _whole(tokens) or tokens < 0:
-            errors.append(f"{at}.tokenEstimate must be a non-negative integer")
+    for entry in (documents["context-packs/index.json"] / "contextPacks").items():
+        ident, label, status, name, _ = ((entry.mapping() / k).text() for k in ("id", "label", "status", "file", "intendedUse"))
+        tokens = entry / "tokenEstimate"
+        tokens.must(tokens.whole and tokens.value >= 0, "a non-negative integer")
         if ident is None or name is None:
             continue
         if ident in seen:
@@ -128,67 +128,58 @@ def _packs(root: str, docs: dict[str, Any], errors: list[str]) -> None:
         if name in seen.values():
             errors.append(f"duplicate context-pack file: {name}")
         seen[ident] = name
-        if name != f"context-packs/{ident}.json":
-            errors.append(f"{at}.file must be context-packs/{ident}.json")
+        if not (entry / "file").must(name == f"context-packs/{ident}.json", f"context-packs/{ident}.json"):
             continue
-        pack, text = _json(root, name, errors)
-        if pack is None:
+        value, text = _json(root, name, errors)
+        if value is None:
             continue
-        pack = _object(pack, name, errors)
+        pack = Node(value, name, errors).mapping()
         for key, wanted in (("id", ident), ("label", label), ("status", status)):
             if wanted is not None:
-                _equal(pack.get(key), wanted, f"{name}.{key}", errors)
-        for key in (*PACK_LISTS, *(["warnings"] if "warnings" in pack else [])):
-            _array(pack.get(key), f"{name}.{key}", errors)
-        if tokens != len(text.encode("utf-16-be")) // 2 // 4:
-            errors.append(f"{at}.tokenEstimate does not match {name}")
+                (pack / key).same(wanted)
+        for key in PACK_LISTS + ["warnings"] * ((pack / "warnings").value is not None):
+            (pack / key).items()
+        if tokens.value != len(text.encode("utf-16-be")) // 2 // 4:
+            errors.append(f"{tokens.place} does not match {name}")
     if missing := [x for x in known if x not in seen]:
         errors.append(f"context-pack index is missing capability ids: {missing}")
     if extra := [x for x in seen if x not in known]:
         errors.append(f"context-pack index has unexpected ids: {extra}")
 
 
-def _complexity(docs: dict[str, Any], errors: list[str]) -> None:
-    report = _object(docs.get("complexity.json"), "complexity.json", errors)
-    _object(report.get("codeComplexity"), "complexity.json.codeComplexity", errors)
-    drivers = _object(report.get("aiCostDrivers"), "complexity.json.aiCostDrivers", errors)
-    _object(drivers.get("tokenCostDrivers"), "complexity.json.aiCostDrivers.tokenCostDrivers", errors)
-    at = "complexity.json.contextFootprint"
-    foot = _object(report.get("contextFootprint"), at, errors)
-    _equal(foot.get("schemaVersion"), 3, f"{at}.schemaVersion", errors)
-    _equal(foot.get("method"), METHOD, f"{at}.method", errors)
-    status, samples, debt = foot.get("measurementStatus"), foot.get("capabilitySampleCount"), foot.get("normalizedContextDebt")
-    if status not in ("MEASURED", "NO_CAPABILITY_SAMPLES"):
-        errors.append(f"unsupported context-footprint measurementStatus: {status}")
+def _complexity(documents: dict[str, Node], errors: list[str]) -> None:
+    report = documents["complexity.json"].mapping()
+    (report / "codeComplexity").mapping()
+    ((report / "aiCostDrivers").mapping() / "tokenCostDrivers").mapping()
+    foot = (report / "contextFootprint").mapping()
+    (foot / "schemaVersion").same(3)
+    (foot / "method").same(METHOD)
+    status, samples, debt = ((foot / k) for k in ("measurementStatus", "capabilitySampleCount", "normalizedContextDebt"))
+    status.must(status.value in ("MEASURED", "NO_CAPABILITY_SAMPLES"), "a known status")
     for key in AMOUNTS:
-        if not isinstance(foot.get(key), Decimal) or foot[key] < 0:
-            errors.append(f"{at}.{key} must be a non-negative number")
+        (foot / key).within(0, None, "a non-negative number")
     for key in ("normalizedContextDebt", "contextEfficiencyScore"):
-        if not isinstance(foot.get(key), Decimal) or not 0 <= foot[key] <= 100:
-            errors.append(f"{at}.{key} must be from 0 to 100")
+        (foot / key).within(0, 100, "from 0 to 100")
     for key in ("capabilityReferenceSources", "capabilityWorkingSetSources"):
-        _object(foot.get(key), f"{at}.{key}", errors)
-    if report.get("aiContextDebt") != debt:
-        errors.append("complexity.json.aiContextDebt differs from contextFootprint.normalizedContextDebt")
-    if status == "MEASURED" and (not _whole(samples) or samples <= 0):
-        errors.append("MEASURED context footprint requires capability samples")
-    if status == "NO_CAPABILITY_SAMPLES" and samples != 0:
-        errors.append("NO_CAPABILITY_SAMPLES requires capabilitySampleCount=0")
-    if status == "NO_CAPABILITY_SAMPLES" and debt != 100:
-        errors.append("NO_CAPABILITY_SAMPLES requires normalizedContextDebt=100")
-
-
-def _check(docs: dict[str, Any], errors: list[str]) -> None:
-    check, report = _object(docs.get("check.json"), "check.json", errors), docs.get("complexity.json") or {}
-    passed, violations = check.get("passed"), _array(check.get("violations"), "check.json.violations", errors)
-    if not isinstance(passed, bool):
-        errors.append("check.json.passed must be a boolean")
-    elif passed == bool(violations):
-        errors.append("check.json cannot pass with violations" if passed else "check.json cannot fail without violations")
+        (foot / key).mapping()
+    if (report / "aiContextDebt").value != debt.value:
+        errors.append("complexity.json.aiContextDebt differs from the footprint's normalizedContextDebt")
+    if status.value == "MEASURED":
+        samples.must(samples.whole and samples.value > 0, "above 0 where the footprint is MEASURED")
+    if status.value == "NO_CAPABILITY_SAMPLES":
+        samples.must(samples.value == 0, "0 without capability samples")
+        debt.must(debt.value == 100, "100 without capability samples")
+
+
+def _check(documents: dict[str, Node], errors: list[str]) -> None:
+    check, report = documents["check.json"].mapping(), documents["complexity.json"]
+    passed, violations = check / "passed", (check / "violations").items()
+    if passed.must(isinstance(passed.value, bool), "a boolean") and passed.value == bool(violations):
+        errors.append("check.json cannot pass with violations" if passed.value else "check.json cannot fail without violations")
     for key in ("methodComplexityThresholds", "knowledgeQualityGates"):
-        _object(check.get(key), f"check.json.{key}", errors)
+        (check / key).mapping()
     for key in ("contextFootprint", "codeComplexity", "aiContextDebt"):
-        if check.get(key) is None or check.get(key) != report.get(key):
+        if (check / key).value is None or (check / key).value != (report / key).value:
             errors.append(f"check.json.{key} differs from complexity.json")
 
 
@@ -197,20 +188,19 @@ def _errors(root: str, lifecycle: bool) -> Iterator[str]:
     errors: list[str] = []
     if not os.path.isdir(root):
         return iter([f"artifact root does not exist or is not a directory: {root}"])
-    docs = {name: _json(root, name, errors)[0] for name in (*JSON, *(LIFECYCLE_JSON if lifecycle else ()))}
+    documents = {name: Node(_json(root, name, errors)[0], name, errors) for name in (*JSON, *(LIFECYCLE_JSON if lifecycle else ()))}
     for name in (*TEXT, *(LIFECYCLE_TEXT if lifecycle else ())):
         text = _text(root, name, errors)
         if text is not None and not text.strip():
             errors.append(f"{name} must not be blank")
         if text is not None and name.endswith(".md"):
             errors += [f"review-context.md lacks {what}" for what, line in (("its canonical title", "# AI Knowledge Review Context"), ("repository overview", "## Repository Overview")) if line not in text]
-    _counts(docs, errors)
-    _packs(root, docs, errors)
-    _complexity(docs, errors)
-    _check(docs, errors)
+    _counts(documents, errors)
+    _packs(root, documents, errors)
+    _complexity(documents, errors)
+    _check(documents, errors)
     for name in ("metrics-snapshot.json", "trend.json", *(LIFECYCLE_JSON if lifecycle else ())):
-        if not _object(docs.get(name), name, errors):
-            errors.append(f"{name} must contain a non-empty object")
+        documents[name].must(isinstance(documents[name].value, dict) and bool(documents[name].value), "a non-empty object")
     return iter(errors)
 
 

@@ -13,7 +13,7 @@ from ..functions import exprs as X
 
 NONE = "array()"
 #: The keyword capabilities that are inferred when no seed names any.
-KEYWORDS = ("equality-saturation", "e-graph", "macro-rule-learning", "replay", "counterexample-search", "proof-bridge", "benchmark-report", "search-strategies", "assumption-handling", "rule-inventory")
+KEYWORDS = "equality-saturation e-graph macro-rule-learning replay counterexample-search proof-bridge benchmark-report search-strategies assumption-handling rule-inventory".split()
 
 
 def listed(column: str) -> Column:

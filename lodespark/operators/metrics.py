@@ -82,12 +82,12 @@ def cost_drivers(row: DataFrame) -> DataFrame:
 
 
 COST_ADVICE = {
-    "tokens": "Create smaller capability-specific context packs before AI review; estimated context exceeds a practical 12k-token working set.",
-    "cognitive": "Split the highest-cognitive-complexity methods before adding behavior; this reduces reasoning and retry cost.",
-    "cyclomatic": "Add focused tests or simplify branching for methods with high McCabe complexity.",
-    "classes": "Split oversized code clusters or improve capability selectors so Copilot receives fewer unrelated classes.",
-    "docs": "Consolidate duplicate or stale documentation so AI context is not spent on redundant docs.",
-    "none": "No dominant AI cost driver detected; keep context packs focused and monitor trend deltas.",
+    "tokens": "The estimated context is above a working set of 12k tokens: review with smaller packs, one per capability.",
+    "cognitive": "Before behavior is added, split the methods of the highest cognitive complexity; they cost the most reasoning.",
+    "cyclomatic": "Methods of high cyclomatic complexity need focused tests or fewer branches.",
+    "classes": "Narrow the capability selectors or split large clusters, so that fewer unrelated classes are sent.",
+    "docs": "Merge duplicate and stale documents; redundant ones use up context.",
+    "none": "No cost driver stands out; keep the packs focused and watch the trend.",
 }
 
 
@@ -163,7 +163,7 @@ def profile_metrics(profiles: DataFrame, tokens: DataFrame) -> DataFrame:
         F.array(
             F.when(bad_practical, "Configured practical context budget must be positive; using fallback."),
             F.when(bad_hard, "Configured hard context limit must be positive; using fallback."),
-            F.when(F.col("h0") < p, "Configured hard context limit is below the practical budget; using the practical budget."),
+            F.when(F.col("h0") < p, "Configured hard context limit is below the practical budget, which is used instead."),
             F.when(F.col("r0") < 0, "Target compression ratio below 0 is clamped to 0."),
             F.when(F.col("r0") > 1, "Target compression ratio above 1 is clamped to 1."),
             F.when(t > p, "Estimated raw context exceeds the practical budget."),

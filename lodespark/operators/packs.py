@@ -47,7 +47,7 @@ def packs(capabilities: DataFrame, claims: DataFrame, classes: DataFrame, tests:
     files = source_files(caps.select("id", F.posexplode("types").alias("at", "type")), classes, tests).filter("path is not null").groupBy("id").agg(X.ordered_distinct(F.col("path"), F.col("at")).alias("files"))
     rows = caps.join(about, "id", "left").join(files, "id", "left")
     rows = rows.withColumn("claims", F.coalesce("claims", F.array().cast(about.schema["claims"].dataType))).withColumn("suggestedFiles", F.array_distinct(F.concat(listed("files"), "docs")))
-    pack = F.struct("id", "label", "status", F.when(F.size("warnings") > 0, F.col("warnings")).alias("warnings"), "modules", "types", "tests", "docs", "evidence", "claims", "suggestedFiles")
+    pack = F.struct("id", "label", "status", F.when(F.size("warnings") > 0, F.col("warnings")).alias("warnings"), *"modules types tests docs evidence claims suggestedFiles".split())
     rows = rows.withColumn("json", F.concat(F.to_json(pack), F.lit("\n")))
     return rows.select(
         "id", "label", "status", "ord", pack.alias("pack"), "json", X.token_estimate(F.col("json")).alias("tokenEstimate"), F.concat(F.lit("context-packs/"), "id", F.lit(".json")).alias("file"),

@@ -67,5 +67,5 @@ def markdown(index: dict[str, Any], s: Any, contexts: list[dict[str, Any]]) -> s
     rows = [f"| {c['id']} | `{c['file']}` | {c['status']} | ~{c['tokenEstimate']} | {c['intendedUse']} |" for c in contexts]
     out += _table("Suggested Context Packs", ["ID", "File", "Status", "Token Estimate", "Intended Use"], rows, "_No context packs generated._")
     if rows:
-        out += "The full index is at `context-packs/index.json`.\n\n"
+        out += "All packs are listed in `context-packs/index.json`.\n\n"
     return out + GUIDE

@@ -405,10 +405,9 @@ def _smells(spark: SparkSession, d: str) -> DataFrame:
     return metrics.smells(_owners(spark, d), mutual, metrics.duplicate_titles(R.docs(spark, d).select("title", "ord")), F.col("classes"), one)
 
 
-@query(_OWNERS, R.EDGES, R.DOCS, _TITLES, _SMELLS, sql=f"select 'Reduce ' || type || ' around ' || subject as title, {_case('type', X.ACTIONS, X.ANY_ACTION)} as action, cast(savings as bigint) as savings, row_number() over (order by savings desc, r, o) as place from smells")
+@query(_OWNERS, R.EDGES, R.DOCS, _TITLES, _SMELLS, sql=f"select 'Reduce ' || type || ' around ' || subject as title, {_case('type', X.ACTIONS, X.ANY_ACTION)} as action, cast(savings as bigint) as savings from smells order by savings desc, r, o")
 def smells_ranked(spark: SparkSession, d: str) -> DataFrame:
-    ranked = metrics.recommendations(_smells(spark, d)).withColumn("place", F.row_number().over(Window.orderBy(F.desc("savings"), "ord")).cast("long"))
-    return ranked.select("title", "action", "savings", "place")
+    return metrics.recommendations(_smells(spark, d)).orderBy(F.desc("savings"), "ord").select("title", "action", "savings")
 
 
 @query(R.CAPABILITIES.sql, _COUNTS, _OWNERS, R.EDGES, R.DOCS, _TITLES, _SMELLS, sql=f"select cast({_T} as bigint) as before, cast(greatest(0, {_T} - coalesce((select sum(savings) from smells), 0)) as bigint) as after from counts")

@@ -1,4 +1,4 @@
-"""The data source repo_files: the files of a repository as rows (path, content).
+"""The data source repo_files: the files of a repository as rows (path, content, ord).
 
 Spark's own file sources leave out hidden and empty files; this one lists every regular file but those of
 version-control and build folders, and partitions read their own share.
@@ -9,8 +9,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SKIPPED, INNER = (".git/", ".gradle/", "build/", "target/"), ("/build/", "/target/")
@@ -32,7 +31,7 @@ def inventory(root: str) -> Iterator[tuple[str, int]]:
 
 
 class _Part(InputPartition):
-    def __init__(self, paths: list[str]) -> None:
+    def __init__(self, paths: list[tuple[int, str]]) -> None:
         super().__init__(None)
         self.paths = paths
 
@@ -44,20 +43,20 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[_Part]:
         parts, paths, size = [], [], 0
-        for path, n in inventory(self.root):
+        for place, (path, n) in enumerate(sorted(inventory(self.root)), 1):
             if self.suffixes and not path.endswith(self.suffixes):
                 continue
-            paths.append(path)
+            paths.append((place, path))
             size += n + 4096
             if size >= self.size:
                 parts.append(_Part(paths))
                 paths, size = [], 0
         return parts + [_Part(paths)] if paths or not parts else parts
 
-    def read(self, partition: _Part) -> Iterator[tuple[str, str]]:
-        for path in partition.paths:
+    def read(self, partition: _Part) -> Iterator[tuple[str, str, int]]:
+        for place, path in partition.paths:
             with open(os.path.join(self.root, path), "rb") as f:
-                yield path, f.read().decode("utf-8", "replace")
+                yield path, f.read().decode("utf-8", "replace"), place
 
 
 class RepoFiles(DataSource):
@@ -68,14 +67,13 @@ class RepoFiles(DataSource):
         return "repo_files"
 
     def schema(self) -> str:
-        return "path string, content string"
+        return "path string, content string, ord long"
 
     def reader(self, schema) -> DataSourceReader:  # noqa: ANN001, ARG002
         return _Reader(dict(self.options))
 
 
 def read_files(spark: SparkSession, root: str, **options: str) -> DataFrame:
-    """(path, content, ord), ord being the place by path."""
+    """(path, content, ord), ord being the place by path, which the listing knows: no shuffle of the contents."""
     spark.dataSource.register(RepoFiles)
-    rows = spark.read.format("repo_files").options(path=root, **options).load()
-    return rows.withColumn("ord", F.row_number().over(Window.orderBy("path")).cast("long"))
+    return spark.read.format("repo_files").options(path=root, **options).load()
