@@ -27,6 +27,8 @@ from .common import Scratch, table, words
 BLOCK, ROWS = 8192, 4096
 GOLDEN, TURN = 2654435769, 1 << 32
 SPARE = 64
+#: Sources (some 60 bytes each) up to which their intervals are broadcast; beyond, slots meet them in a join on CELLS cells of the interval.
+BROADCAST_SOURCES, CELLS = 100_000, 4096
 
 
 def _key(docs: DataFrame) -> tuple[Column, Column]:
@@ -45,14 +47,21 @@ def running(df: DataFrame, value: str, buckets: int) -> DataFrame:
     return df.withColumn("inside", inside).join(sums, ["source", "bucket"]).withColumn("before", F.col("base") + F.col("inside")).drop("inside", "base", "bucket")
 
 
-def schedule(spark: SparkSession, sources: DataFrame, slots: int, *, rows: int = ROWS) -> DataFrame:
+def schedule(spark: SparkSession, sources: DataFrame, slots: int, *, rows: int = ROWS, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
     """(slot, source, turn): turn counts the source's slots. sources: (source, weight), weights whole numbers above 0."""
     total = Window.orderBy("source").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row per source
     bounds = sources.withColumn("top", F.sum("weight").over(total)).withColumn("low", F.col("top") - F.col("weight")).withColumn("all", F.sum("weight").over(Window.partitionBy()))
     point = F.pmod(F.col("slot") * F.lit(GOLDEN), F.lit(TURN))
     slot = spark.range(slots).select(F.col("id").alias("slot")).withColumn("point", point)
-    hit = (F.col("point") * F.col("all") >= F.col("low") * TURN) & (F.col("point") * F.col("all") < F.col("top") * TURN)
-    given = slot.join(bounds, hit).select("slot", "source").withColumn("bucket", F.floor(F.col("slot") / rows))
+    wide = lambda c: (c if isinstance(c, Column) else F.col(c)).cast("decimal(19,0)")  # noqa: E731  # products of two longs don't fit in one
+    hit = (wide("point") * wide("all") >= wide("low") * TURN) & (wide("point") * wide("all") < wide("top") * TURN)
+    if sources.count() <= broadcast_sources:
+        given = slot.join(F.broadcast(bounds), hit)
+    else:
+        first, last = F.floor(F.col("low") * CELLS / F.col("all")), F.ceil(F.col("top") * CELLS / F.col("all"))  # rounded, hence a cell more on either side
+        cells = bounds.withColumn("cell", F.explode(F.sequence(first - 1, last + 1)))
+        given = slot.withColumn("cell", F.floor(F.col("point") / (TURN // CELLS))).join(cells, "cell").filter(hit)
+    given = given.select("slot", "source").withColumn("bucket", F.floor(F.col("slot") / rows))
     sums = given.groupBy("source", "bucket").agg(F.count("*").alias("own"))
     sums = sums.withColumn("base", F.sum("own").over(Window.partitionBy("source").orderBy("bucket")) - F.col("own")).drop("own")
     inside = F.row_number().over(Window.partitionBy("source", "bucket").orderBy("slot")) - 1
@@ -75,7 +84,7 @@ def place(spark: SparkSession, docs: DataFrame, *, weights: dict[str, int] | Non
         sizes = sizes.join(spark.createDataFrame(list(weights.items()), "source string, weight long").filter("weight > 0"), "source")
     sizes = scratch.keep(sizes.select("source", "blocks", "weight"), "sizes")
     # no interval is hit SPARE times less than its share, so this is enough for every source of more than one block
-    needed = F.ceil((F.col("blocks") + SPARE) * F.sum("weight").over(Window.partitionBy()) / F.col("weight"))
+    needed = F.ceil((F.col("blocks") + SPARE).cast("double") * F.sum("weight").over(Window.partitionBy()).cast("double") / F.col("weight"))
     slots = sizes.withColumn("needed", needed).agg(F.coalesce(F.max(F.when(F.col("blocks") > 1, F.col("needed"))), F.count("*"))).first()[0]
     turns = scratch.keep(schedule(spark, sizes.select("source", "weight"), slots).join(sizes.select("source", "blocks"), "source"), "turns")
     end = turns.filter("blocks > 1 and turn = blocks - 1").agg(F.max("slot")).first()[0]
