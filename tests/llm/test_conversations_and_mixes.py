@@ -52,6 +52,10 @@ def test_the_schedule_is_even(spark):
         assert r.turn == so_far[r.source]
         so_far[r.source] += 1
         assert all(abs(so_far[s] - n * w / 10) < 6 for s, w in weights.items())
+    sources = spark.createDataFrame([(f"s{i}", i * i + 1) for i in range(30)], "source string, weight long")
+    assert sorted(mixing.schedule(spark, sources, 3000).collect()) == sorted(mixing.schedule(spark, sources, 3000, broadcast_sources=0).collect())
+    huge = mixing.schedule(spark, spark.createDataFrame([("a", 1 << 40), ("b", 1 << 40)], "source string, weight long"), 1000).groupBy("source").count().collect()
+    assert all(abs(r["count"] - 500) < 6 for r in huge)
 
 
 def _sql(rows, query):
