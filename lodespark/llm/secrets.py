@@ -8,12 +8,16 @@ joined back to all paths. Secrets leave as their SHA-256 only.
 * an empty text is a blob without findings. An empty table gives an empty result; other columns are not read by scan().
 * a scan that dies between its two writes leaves findings without their ledger rows: the next scans those blobs again
   and the findings, equal to the old ones, count once.
+* redaction takes a private key from its BEGIN line through its END line, or to the end of a text that has none; a
+  finding of one has the SHA-256 of its BEGIN line, as in the SQL.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -43,6 +47,8 @@ RULES = (
     Rule("google_key", 1, "AIza[0-9A-Za-z_-]{35}"),
     Rule("jwt", 1, "eyJ[0-9A-Za-z_-]{8,}[.][0-9A-Za-z_-]{8,}[.][0-9A-Za-z_-]{8,}"),
 )
+#: What goes in redaction, by rule, where that is more than the match that identifies the secret: a key's whole block.
+WHOLE = {"private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?s:.)*?-----END [A-Z ]*PRIVATE KEY-----|(?s:.)*)"}
 FINDINGS = "blob_id string, rule string, rule_version int, secret_sha256 string, occurrences long"
 _MATCHES = "array<struct<rule:string,rule_version:int,secret_sha256:string>>"
 LEDGER = "blob_id string, rules array<string>"
@@ -108,9 +114,22 @@ def findings_by_path(spark: SparkSession, docs: DataFrame, **options) -> DataFra
 
 
 def redacted(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    for r in rules:
-        text = F.regexp_replace(text, r.pattern, f"[{r.name}]")
-    return text
+    """All rules' matches in the original text replaced; those that overlap go as one, under the name of the rule that starts first."""
+    patterns = [(r.name, re.compile(WHOLE.get(r.name, r.pattern))) for r in rules]
+
+    def one(value: str) -> str:
+        spans = sorted((m.start(), -m.end(), k) for k, (_, p) in enumerate(patterns) for m in p.finditer(value))
+        out, at, end = [], 0, 0
+        for start, stop, k in spans:
+            if start >= end:
+                out += [value[at:start], f"[{patterns[k][0]}]"]
+            at = end = max(end, -stop)
+        return "".join([*out, value[at:]])
+
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(one, na_action="ignore")
+
+    return F.pandas_udf(run, "string")(text)
 
 
 def redact(spark: SparkSession, docs: DataFrame, *, rules: tuple[Rule, ...] = RULES, ledger: str | None = None, scratch: Scratch | None = None) -> DataFrame:
@@ -119,7 +138,7 @@ def redact(spark: SparkSession, docs: DataFrame, *, rules: tuple[Rule, ...] = RU
     found = scratch.keep(scan(spark, docs, rules=rules, ledger=ledger, scratch=scratch).select("blob_id").distinct(), "blobs")
     mark = next(c for c in (f"__blob{k}" for k in range(len(docs.columns) + 1)) if c not in docs.columns)
     hit = docs.withColumn(mark, blob_id(F.col("text").cast("string"))).join(found.select(F.col("blob_id").alias(mark), F.lit(True).alias(f"{mark}_hit")), mark, "left")
-    hit = hit.withColumn(mark, F.when(F.col(f"{mark}_hit"), redacted(F.col("text"), rules)).otherwise(F.col("text")))
+    hit = hit.withColumn(mark, F.when(F.col(f"{mark}_hit"), redacted(F.when(F.col(f"{mark}_hit"), F.col("text")), rules)).otherwise(F.col("text")))
     changed = {"text": F.col(mark)} | ({"n_chars": F.when(F.col(f"{mark}_hit"), F.length(mark).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
     return hit.select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
