@@ -97,6 +97,20 @@ def test_fingerprints_within_the_radius(spark, corpus, radius):
     assert len(found) == len(set(found)) and set(found) == wanted
 
 
+def test_edited_copies_are_found(spark):
+    """One word in 50 changed: most of the copies' fingerprints differ by more than 3 bits."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(100):
+        words = prose(rng, 200).split()
+        copy = [f"edited{i}x{k}" if k % 50 == 25 else w for k, w in enumerate(words)]
+        rows += [(i, " ".join(words), "en", "a"), (1000 + i, " ".join(copy), "en", "a")]
+        assert jaccard(shingles(rows[-2][1], 3), shingles(rows[-1][1], 3)) >= 0.5
+    found = {(r.doc_a, r.doc_b) for r in simhash.within_radius(spark, docs_of(spark, rows)).collect()}
+    assert sum((i, 1000 + i) in found for i in range(100)) >= 95
+    assert all(b == 1000 + a for a, b in found)
+
+
 def test_a_fingerprint_is_the_vote_of_its_terms():
     text = "a b c a b d"
     offsets, hashes = word_hashes([text])
