@@ -2,7 +2,9 @@
 
 Texts are lower-cased. A dictionary is the whole texts of a bounded number of labelled documents (PER_LANGUAGE of at most LONGEST
 characters, by the hash of their doc_id), up to DICTIONARY bytes. A text is rejected when the runner-up's frame is not
-larger than the best by MARGIN of its own size and by MARGIN_BYTES.
+larger than the best by MARGIN of its own size and by MARGIN_BYTES. A dictionary saves a bounded number of bytes only, so a
+text of over PIECE bytes is compressed in pieces of so many that together cover it, each with the dictionary anew; a
+frame's size is then the sum over the pieces, and the margin doesn't depend on the text's length.
 
 * null, empty or blank text: rejected, no language. Null doc_id: classified like any other.
 * ties go to the language first in the alphabet, and are rejected, as the margin is 0.
@@ -23,6 +25,7 @@ from .common import table
 
 PER_LANGUAGE, LONGEST, DICTIONARY, LANGUAGES = 100, 8192, 112_000, 64
 LEVEL, MARGIN, MARGIN_BYTES = 6, 0.015, 1
+PIECE = 1 << 15
 
 
 def dictionaries(docs: DataFrame, *, per_language: int = PER_LANGUAGE, dictionary: int = DICTIONARY) -> dict[str, bytes]:
@@ -51,7 +54,8 @@ class Classifier:
 
     def sizes(self, text: str) -> list[int]:
         raw = text.lower().encode("utf-8", "replace")
-        return [len(c.compress(raw)) for c in self.compressors]
+        pieces = [raw[k : k + PIECE] for k in range(0, max(len(raw), 1), PIECE)]
+        return [sum(len(c.compress(p)) for p in pieces) for c in self.compressors]
 
 
 def _classify(content: dict[str, bytes], margin: float, margin_bytes: int):

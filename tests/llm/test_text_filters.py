@@ -50,6 +50,21 @@ def test_languages_of_hard_cases(spark, hard, nothing):
     assert langid.accepted(hard, {}).count() == 0
 
 
+def test_long_texts_are_judged_like_short_ones(spark):
+    """Clean texts that aren't in a dictionary, joined up to 1 MB without repeating any."""
+    docs = table(spark, "/root/testdata/sf0.1", "documents")
+    content = langid.dictionaries(docs)
+    found = langid.classify(docs, content).filter("accepted").select("doc_id", "language").distinct()
+    clean = docs.join(found, "doc_id").filter("language = lang").select("doc_id", "lang", "text").orderBy("doc_id").collect()
+    rows = []
+    for k, lang in enumerate(sorted(content)):
+        whole = "\n".join(t for t in dict.fromkeys(r.text for r in clean if r.lang == lang) if t.lower().encode() not in content[lang])
+        assert len(whole) >= 1_000_000
+        rows += [(10 * k + i, whole[:n], lang, "a") for i, n in enumerate((50_000, 200_000, 400_000, 1_000_000))]
+    found = langid.accepted(docs_of(spark, rows).withColumn("lang", F.lit("?")), content).collect()
+    assert len(content) == 4 and {r.doc_id: r.lang for r in found} == {r[0]: r[2] for r in rows}
+
+
 def _brute_segments(scores):
     """The definition: split at the best segment (the leftmost, shortest one of the greatest sum), then both rests."""
     if not scores or max(scores) <= 0:
