@@ -23,17 +23,17 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-PER_LANGUAGE, LONGEST, DICTIONARY, LANGUAGES = 100, 8192, 112_000, 64
+PER_LANGUAGE, LONGEST, DICTIONARY = 100, 8192, 112_000
 LEVEL, MARGIN, MARGIN_BYTES = 6, 0.015, 1
 PIECE = 1 << 15
 
 
 def dictionaries(docs: DataFrame, *, per_language: int = PER_LANGUAGE, dictionary: int = DICTIONARY) -> dict[str, bytes]:
-    """Raw dictionary content by language; the sample's size does not depend on the table's."""
+    """Raw dictionary content of every labelled language; the sample's size depends on the number of languages, not on the table's."""
     usable = docs.filter("lang is not null and text is not null and lang <> ''").select("doc_id", "lang", F.length("text").alias("n")).filter(F.col("n").between(1, LONGEST))
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("long")), "n")
     sample = usable.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_language).select("doc_id", "lang").distinct()
-    ids = [(r.doc_id, r.lang) for r in sample.limit(per_language * LANGUAGES).collect()]  # bounded by the parameters
+    ids = [(r.doc_id, r.lang) for r in sample.collect()]  # per_language at most of each language, and none without
     if not ids:
         return {}
     rows = docs.filter(F.col("doc_id").isin(sorted({i for i, _ in ids if i is not None})) & (F.length("text") <= LONGEST)).select("doc_id", "lang", "text").collect()

@@ -65,6 +65,12 @@ def test_long_texts_are_judged_like_short_ones(spark):
     assert len(content) == 4 and {r.doc_id: r.lang for r in found} == {r[0]: r[2] for r in rows}
 
 
+def test_every_labelled_language_has_a_dictionary(spark):
+    docs = docs_of(spark, [(100 * k + i, f"word{k} of text {i}", f"l{k:02}", "a") for k in range(70) for i in range(3)])
+    content = langid.dictionaries(docs, per_language=2)
+    assert sorted(content) == [f"l{k:02}" for k in range(70)] and all(c.count(b"\n") == 2 for c in content.values())
+
+
 def _brute_segments(scores):
     """The definition: split at the best segment (the leftmost, shortest one of the greatest sum), then both rests."""
     if not scores or max(scores) <= 0:
