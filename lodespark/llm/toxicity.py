@@ -4,7 +4,9 @@ Model: for each word of toxic labelled documents the log-odds of toxic against c
 prior spread like the corpus and worth ALPHA of its words. Toxic words are counted once per context (pair of neighbouring words other
 than itself), so that copies of one document or a run of one word don't make it toxic. A word enters if its log-odds is
 Z standard deviations above 0 and it has MIN_CONTEXTS contexts; all other words share one score, their common log-odds.
-DRIFT is taken from every token's score, which ends passages. Of a word's occurrences in a text the k-th counts 1/k.
+DRIFT is taken from every token's score, which ends passages. A word of score s that is the k-th of its own in reach
+scores s/k and 1 - 1/k of what another word does; its reach is the s over the common score tokens up to it, beyond which
+a word can't bridge the gap to itself. So a run of one word adds little, and a later passage counts in full.
 
 Search: the linear-time algorithm for all maximal scoring subsequences, over whole texts. A segment of score S in n
 tokens is expected K n exp(-lambda S) times by chance: lambda solves E[exp(lambda s)] = 1 over clean words. K is the
@@ -134,16 +136,20 @@ def maximal_segments(scores: list[tuple[int, float]], n: int, other: float) -> l
     return [(start, end, after - before) for start, end, before, after, _ in stack]
 
 
-def fade(h: np.ndarray, scores: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The scores, divided by how often the word has occurred in its text so far."""
+def fade(h: np.ndarray, scores: np.ndarray, offsets: np.ndarray, other: float) -> np.ndarray:
+    """The scores, less for a word that is repeated within its reach; those that are not above 0 any more are NaN."""
     at = np.flatnonzero(~np.isnan(scores))
     if len(at):
         doc = np.searchsorted(offsets, at, "right")
         order = np.lexsort((at, h[at], doc))
-        d, w = doc[order], h[at][order]
-        first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (w[1:] != w[:-1])]))
-        nth = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at)))) + 1
-        scores[at[order]] /= nth
+        d, w, place, s = doc[order], h[at][order], at[order], scores[at[order]]
+        group = np.cumsum(np.concatenate([[False], (d[1:] != d[:-1]) | (w[1:] != w[:-1])]))
+        far = len(h) + 1
+        reach = np.minimum(np.ceil(s / max(-other, 1e-9)), far - 1).astype(np.int64)
+        key = group * far + place
+        nth = np.arange(len(at)) - np.searchsorted(key, np.maximum(key - reach, group * far)) + 1
+        s = s / nth + other * (1 - 1 / nth)
+        scores[place] = np.where(s > 1e-9, s, np.nan)
     return scores
 
 
@@ -175,7 +181,7 @@ def _segments(model):
                 batch = whole.slice(k, BATCH)
                 texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
                 offsets, h = word_hashes(texts)
-                s = fade(h, m.of(h), offsets)
+                s = fade(h, m.of(h), offsets, m.other)
                 hit = np.unique(np.searchsorted(offsets, np.flatnonzero(~np.isnan(s)), "right") - 1)
                 yield _table([r for i in hit.tolist() for r in _rows(ids[i], texts[i], h[offsets[i] : offsets[i + 1]], s[offsets[i] : offsets[i + 1]], m.other)])
 
@@ -210,7 +216,7 @@ def segments(spark: SparkSession, docs: DataFrame, words: DataFrame, other: floa
             for r in batch.to_pylist():
                 own = Model(np.array([x["word"] for x in r["own"]], np.int64).view(U), np.array([x["score"] for x in r["own"]]), other, 0)
                 _, h = word_hashes([r["text"]])
-                s = fade(h, own.of(h), np.array([0, len(h)]))
+                s = fade(h, own.of(h), np.array([0, len(h)]), other)
                 if not np.isnan(s).all():
                     rows += _rows(r["doc_id"], r["text"], h, s, other)
             yield _table(rows)

@@ -118,6 +118,23 @@ def test_planted_toxic_passages_are_found(spark):
     assert sorted(tuple(r)[:3] for r in found) == sorted(tuple(r)[:3] for r in joined)
 
 
+def test_equal_passages_of_a_document_are_all_found(spark):
+    docs, labels = _toxic_corpus(spark)
+    rng = random.Random(9)
+    bad = "blarg snorf grulk vlimp grulk blarg vlimp snorf"
+    text = " ".join(f"{prose(rng, 120)} {bad}" for _ in range(12)) + " " + prose(rng, 120)
+    for broadcast_words in (toxicity.BROADCAST_WORDS, 0):
+        rows = toxicity.toxic_passages(spark, docs.union(docs_of(spark, [(9000, text, "en", "a")])), labels, broadcast_words=broadcast_words).filter("doc_id = 9000").collect()
+        assert sorted(r.start_token for r in rows) == [120 + 128 * k for k in range(12)]
+        assert all(abs(r.score - rows[0].score) < 1e-9 and r.passage == bad for r in rows)
+
+
+def test_a_run_of_one_word_adds_little():
+    h, other = np.zeros(2000, np.uint64), -0.6
+    scores = toxicity.fade(h, np.full(2000, 5.0), np.array([0, 2000]), other)
+    assert np.nansum(scores) < 5 * sum(1 / k for k in range(1, 20))
+
+
 def test_toxicity_of_hard_cases(spark, hard, nothing):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     some = spark.createDataFrame([(1, 1, 1), (7, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int")
