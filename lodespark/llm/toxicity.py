@@ -1,7 +1,7 @@
 """Toxic passages: all maximal scoring segments of token log-odds, kept when extreme-value statistics call them significant.
 
 Model: for each word of toxic labelled documents the log-odds of toxic against clean, with an informative Dirichlet
-prior spread like the corpus and worth ALPHA of its words. Toxic words are counted once per context (pair of neighbouring words other
+prior spread like the corpus and worth ALPHA of the labelled words. Toxic words are counted once per context (pair of neighbouring words other
 than itself), so that copies of one document or a run of one word don't make it toxic. A word enters if its log-odds is
 Z standard deviations above 0 and it has MIN_CONTEXTS contexts; all other words share one score, their common log-odds.
 DRIFT is taken from every token's score, which ends passages. A word of score s that is the k-th of its own in reach
@@ -16,7 +16,7 @@ most LEVEL; each of its segments that is itself significant is returned.
 
 * null doc_id, null, empty or wordless text: no row. Labels that are null or of unknown documents don't count; a
   doc_id labelled both ways counts as toxic. Repeated rows (doc_id, text) are scored once.
-* labels beyond FIT are not used. No toxic label, or an empty table: nothing is toxic, the result is empty. Other columns are not read.
+* all labels are used, however many; over BROADCAST_LABELS they are joined by shuffle. No toxic label, or an empty table: nothing is toxic, the result is empty. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from math import exp, log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,8 +36,8 @@ from .common import words as words_in
 from .textkeys import U, mix, word_hashes
 
 ALPHA, Z, MIN_CONTEXTS, DRIFT, LEVEL, HELD = 0.01, 3.0, 3, 0.5, 0.005, 5
-#: Labelled documents, by hash, that the model and K are fitted on at most; their labels (12 bytes each) are broadcast.
-FIT = 200_000
+#: Labels (12 bytes each) that are broadcast; more are joined by shuffle, with the same result.
+BROADCAST_LABELS = 200_000
 #: Classes of a score of 1, in the fit of K.
 CLASSES = 8
 #: Words of a model that is broadcast (16 bytes each); a larger one is joined with the tokens.
@@ -47,25 +48,30 @@ SEGMENTS = "doc_id long, digest long, n_tokens long, start_token long, end_token
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, context, clean, toxic): for toxic documents one row per word and pair of neighbours, else one per word."""
+    """(word, context, corpus, clean, toxic): for toxic documents one row per word and pair of neighbours, else one per word. toxic is null for those outside the fit."""
     for whole in batches:
         for k in range(0, len(whole), BATCH):
             batch = whole.slice(k, BATCH)
             offsets, h = word_hashes(batch.column("text").to_pylist())
             if not len(h):
                 continue
-            toxic = np.repeat(batch.column("toxic").to_numpy(zero_copy_only=False).astype(bool), np.diff(offsets))
+            label = batch.column("toxic")
+            toxic = np.repeat(pc.fill_null(label, False).to_numpy(zero_copy_only=False), np.diff(offsets))
+            clean = np.repeat(pc.fill_null(pc.invert(label), False).to_numpy(zero_copy_only=False), np.diff(offsets))
+            some = np.diff(offsets) > 0  # a text's first and last word have no neighbour in another text
+            before, after = np.concatenate([[U(0)], h[:-1]]), np.concatenate([h[1:], [U(0)]])
+            before[offsets[:-1][some]], after[offsets[1:][some] - 1] = U(0), U(0)
             with np.errstate(over="ignore"):
-                context = mix(np.concatenate([[U(0)], h[:-1]]) * U(3) + np.concatenate([h[1:], [U(0)]]))
-            own = (np.concatenate([[U(0)], h[:-1]]) == h) | (np.concatenate([h[1:], [U(0)]]) == h)
+                context = mix(before * U(3) + after)
+            own = (before == h) | (after == h)
             context = np.where(toxic, np.where(own, U(1), (context | U(1)) ^ U(2)), U(0))
             order = np.lexsort((context, h))
             w, c = h[order], context[order]
             first = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (c[1:] != c[:-1])]))
             n = np.diff(np.append(first, len(w)))
-            is_toxic = c[first] != 0
             yield pa.RecordBatch.from_arrays(
-                [pa.array(w[first].view(np.int64)), pa.array(c[first].view(np.int64)), pa.array(np.where(is_toxic, 0, n)), pa.array(np.where(is_toxic, n, 0))], names=["word", "context", "clean", "toxic"]
+                [pa.array(w[first].view(np.int64)), pa.array(c[first].view(np.int64)), pa.array(n), pa.array(np.add.reduceat(clean[order].astype(np.int64), first)), pa.array(np.where(c[first] != 0, n, 0))],
+                names=["word", "context", "corpus", "clean", "toxic"],
             )
 
 
@@ -85,14 +91,17 @@ class Model:
         return out
 
 
-def log_odds(labelled: DataFrame, *, alpha: float = ALPHA, z: float = Z, min_contexts: int = MIN_CONTEXTS, drift: float = DRIFT, scratch: Scratch) -> tuple[DataFrame, float, float]:
-    """((word, score) of the significant words, score of the others, lambda). labelled has text and toxic."""
-    counts = labelled.mapInArrow(_count, "word long, context long, clean long, toxic long")
-    counts = counts.groupBy("word", "context").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    counts = counts.groupBy("word").agg(F.sum("clean").alias("clean"), F.count_if(F.col("toxic") > 0).alias("toxic"), F.count_if((F.col("toxic") > 0) & (F.col("context") != 1)).alias("contexts"))
+def log_odds(docs: DataFrame, *, alpha: float = ALPHA, z: float = Z, min_contexts: int = MIN_CONTEXTS, drift: float = DRIFT, scratch: Scratch) -> tuple[DataFrame, float, float]:
+    """((word, score) of the significant words, score of the others, lambda). docs has text and toxic, null where a document is not fitted on."""
+    counts = docs.mapInArrow(_count, "word long, context long, corpus long, clean long, toxic long")
+    counts = counts.groupBy("word", "context").agg(*[F.sum(c).alias(c) for c in ("corpus", "clean", "toxic")])
+    counts = counts.groupBy("word").agg(
+        F.sum("corpus").alias("corpus"), F.sum("clean").alias("clean"), F.count_if(F.col("toxic") > 0).alias("toxic"), F.count_if((F.col("toxic") > 0) & (F.col("context") != 1)).alias("contexts")
+    )
     counts = scratch.keep(counts.withColumn("clean", F.col("clean").cast("double")), "counts")
-    n0, n1 = (float(x or 0) for x in counts.agg(F.sum("clean"), F.sum("toxic")).first())
-    prior, alpha = F.lit(alpha) * (F.col("clean") + F.col("toxic")), alpha * (n0 + n1)
+    n, n0, n1 = (float(x or 0) for x in counts.agg(F.sum("corpus"), F.sum("clean"), F.sum("toxic")).first())
+    alpha *= n0 + n1
+    prior = F.lit(alpha / max(n, 1)) * F.col("corpus")
     p1, p0 = (F.col("toxic") + prior) / max(n1 + alpha, 1e-9), (F.col("clean") + prior) / max(n0 + alpha, 1e-9)
     odds = F.log(p1 / p0)
     spread = F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior))
@@ -225,17 +234,18 @@ def segments(spark: SparkSession, docs: DataFrame, words: DataFrame, other: floa
 
 
 def toxic_passages(
-    spark: SparkSession, docs: DataFrame, labels: DataFrame, *, level: float = LEVEL, alpha: float = ALPHA, z: float = Z, drift: float = DRIFT, fit: int = FIT, broadcast_words: int = BROADCAST_WORDS, scratch: Scratch | None = None
+    spark: SparkSession, docs: DataFrame, labels: DataFrame, *, level: float = LEVEL, alpha: float = ALPHA, z: float = Z, drift: float = DRIFT, broadcast_labels: int = BROADCAST_LABELS, broadcast_words: int = BROADCAST_WORDS, scratch: Scratch | None = None
 ) -> DataFrame:
     """(doc_id, start_token, end_token, score, expected, p_value, passage): the significant passages of toxic documents, p_value being the document's."""
     scratch = scratch or Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null and text is not null")
     labels = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    labels = scratch.keep(labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit), "labels")  # of at most fit rows, hence the broadcasts
+    labels = scratch.keep(labels, "labels")
+    small = F.broadcast if labels.count() <= broadcast_labels else lambda df: df
     held = (F.col("toxic") <= 0) & (F.pmod(F.xxhash64("doc_id"), F.lit(HELD)) == 0)
-    words, other, rate = log_odds(docs.join(F.broadcast(labels.filter(~held)), "doc_id").select("text", (F.col("toxic") > 0).alias("toxic")), alpha=alpha, z=z, drift=drift, scratch=scratch)
+    words, other, rate = log_odds(docs.join(small(labels.filter(~held)), "doc_id", "left").select("text", (F.col("toxic") > 0).alias("toxic")), alpha=alpha, z=z, drift=drift, scratch=scratch)
     found = scratch.keep(segments(spark, docs, words, other, broadcast_words=broadcast_words).distinct(), "segments")
-    clean = F.broadcast(labels.filter(held).select("doc_id"))
+    clean = small(labels.filter(held).select("doc_id"))
     tokens, size = docs.join(clean, "doc_id").agg(F.coalesce(F.sum(words_in("text")), F.lit(0)), F.count("*")).first()
     # documents by the class of their best score, of width 1 / CLASSES: a bounded number of rows
     best = found.join(clean, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("score").alias("score"))

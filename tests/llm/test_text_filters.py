@@ -129,6 +129,14 @@ def test_equal_passages_of_a_document_are_all_found(spark):
         assert all(abs(r.score - rows[0].score) < 1e-9 and r.passage == bad for r in rows)
 
 
+def test_labels_of_unknown_documents_use_nothing_up(spark):
+    docs, labels = _toxic_corpus(spark)
+    rows = lambda more, **options: sorted((r.doc_id, r.start_token, r.end_token, round(r.score, 6)) for r in toxicity.toxic_passages(spark, docs, more, **options).collect())
+    wanted = rows(labels)
+    unknown = spark.range(10_000, 4_010_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    assert wanted and rows(labels.union(unknown)) == wanted == rows(labels, broadcast_labels=0)
+
+
 def test_a_run_of_one_word_adds_little():
     h, other = np.zeros(2000, np.uint64), -0.6
     scores = toxicity.fade(h, np.full(2000, 5.0), np.array([0, 2000]), other)
