@@ -1,37 +1,52 @@
 """Packing of documents into windows by lexical retrieval: a sharded BM25 index returns a seed's unused neighbours.
 
-Document frequencies and the average length are counted over the whole corpus (terms hashed to 2**20 counters of
-fixed size, so what is broadcast does not grow). The documents are split into shards of about SHARD documents, each
-with an inverted index of its own; the shard follows from a consistent sample of the terms weighted by idf, so
-documents that share rare terms tend to meet. In a shard the longest unused document is the seed of the next window;
-its neighbours by BM25 (exact within the shard, every term of the seed is searched) fill the window greedily, those
-that do not fit being passed over. Tokens are the words of textkeys.
+The seeds are the documents whose doc_id is divisible by EVERY. Their queries (every distinct term of the text) go in
+blocks of a bounded size to all shards of an inverted index over the whole corpus, and the DEPTH best neighbours of
+all shards come back: exact BM25, no candidate is left out before it is scored. A document is offered to the seed
+that scores it highest, and a seed takes its offers in order of score while they fit; what is refused goes to the next
+seed that has it in its list, until nothing moves. What the seeds don't take is packed within topical shards of about SHARD
+documents, each with an index of its own: first the seeds' windows are filled up, then the longest unused document is
+the seed of the next window and its neighbours by BM25 (exact within the shard) fill it, those that do not fit being
+passed over. A shard follows from a consistent sample of the terms weighted by idf; one that grows too large is split
+by a second sample, and only documents equal in both by hash. Tokens are the words of textkeys.
+
+Document frequencies and the average length are counted over the whole corpus. The seeds' are by 32-bit term; within
+shards terms share 2**20 counters, so what is broadcast does not grow.
 
 * a text longer than the window fills whole windows by itself; what is left of it is packed like a document.
-* null, empty or wordless texts have no tokens, hence no row. Null doc_id: packed, with a null doc_id in the result.
-* repeated rows are packed each. Ties in length or score go to the smaller doc_id, then to the row's digest.
+* null, empty or wordless texts have no tokens, hence no row. Null doc_id: packed, with a null doc_id in the result; it is no seed.
+* repeated rows are packed each, but a window never holds two pieces equal in doc_id and text. Ties in length or score
+  go to the smaller doc_id, then to the row's digest. Scores are rounded to three decimals.
 * a window has neighbours of a score above 0 only. An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
 from .textkeys import U, bags, mix, word_hashes
 
 WINDOW, SHARD, K1, B = 2048, 512, 1.2, 0.75
+#: A search's queries are the documents of every so many ids; so many neighbours come back for each.
+EVERY, DEPTH = 50, 32
+#: Most queries and most of their terms in a block, which is broadcast; scores that a task holds at once.
+QUERIES, POSTINGS, CELLS = 8192, 1 << 22, 1 << 20
+#: Terms in this share of the documents are scored by a matrix product, the others through posting lists.
+COMMON = 1 / 32
 BATCH, BITS = 1024, 10
-COUNTERS, PART = 1 << 20, 1 << 12
-#: Split shards (16 bytes each) up to which their list is broadcast; beyond, it is joined by shuffle.
-BROADCAST_SHARDS = 1_000_000
-SCHEMA = "doc_id long, n_tokens long, key long, digest long, terms binary, counts binary"
+COUNTERS = 1 << 20
+#: Split shards (some 40 bytes each) up to which their list is broadcast; beyond, it is joined by shuffle.
+BROADCAST_SHARDS = 100_000
+TERMS = "row long, doc_id long, ident long, n_tokens long, key long, second long, digest long, terms binary, counts binary"
+PIECES = "window string, slot int, doc_id long, start long, n_tokens long, score double, digest long"
 
 
 def _terms(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -41,35 +56,38 @@ def _terms(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return np.diff(offsets), doc, (term >> U(32 - BITS)).astype(np.uint32), count
 
 
+def _summed(term: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(term, kind="stable")
+    term, count = term[order], count[order]
+    first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
+    return term[first], np.add.reduceat(count, first) if len(first) else count
+
+
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Document frequencies of a partition by counter, as PART counters a row; row -1 has documents and words."""
-    df, docs, length = np.zeros(COUNTERS, np.int64), 0, 0
+    """(term, df) of a partition; terms -1 and -2 have its documents and words."""
+    term, df, fresh, docs, length = np.zeros(0, np.uint32), np.zeros(0, np.int64), [], 0, 0
     for whole in batches:
         for k in range(0, len(whole), BATCH):
-            n, _, term, _ = _terms(whole.slice(k, BATCH).column("text").to_pylist())
-            df += np.bincount(term >> 12, minlength=COUNTERS)
+            n, _, own, _ = _terms(whole.slice(k, BATCH).column("text").to_pylist())
             docs, length = docs + int((n > 0).sum()), length + int(n.sum())
+            fresh.append(own)
+            if sum(map(len, fresh)) > 1 << 21:
+                term, df = _summed(np.concatenate([term, *fresh]), np.concatenate([df, np.ones(sum(map(len, fresh)), np.int64)]))
+                fresh = []
+    term, df = _summed(np.concatenate([term, *fresh]), np.concatenate([df, np.ones(sum(map(len, fresh)), np.int64)]))
     if docs:
-        rows = df.reshape(-1, PART)
-        use = np.flatnonzero(rows.any(axis=1))
-        yield pa.RecordBatch.from_pydict({"part": pa.array([-1, *use], pa.int32()), "sums": pa.array([np.array([docs, length]).tobytes(), *[rows[i].tobytes() for i in use]], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"term": pa.array(np.concatenate([[-1, -2], term]).astype(np.int64)), "df": pa.array(np.concatenate([[docs, length], df]))})
 
 
-def _add(group: pa.Table) -> pa.Table:
-    rows = [np.frombuffer(x, np.int64) for x in group.column("sums").to_pylist()]
-    return pa.table({"part": group.column("part").slice(0, 1), "sums": pa.array([np.sum(rows, axis=0).tobytes()], pa.binary())})
-
-
-def corpus_statistics(docs: DataFrame) -> tuple[int, float, np.ndarray]:
-    """(documents, average length, document frequency by counter): of a size that does not depend on the corpus."""
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(_count_terms, "part int, sums binary").groupBy("part").applyInArrow(_add, "part int, sums binary").collect()
-    df, n, length = np.zeros(COUNTERS, np.int64), 0, 0
-    for r in rows:
-        if r.part < 0:
-            n, length = np.frombuffer(r.sums, np.int64).tolist()
-        else:
-            df[r.part * PART : (r.part + 1) * PART] = np.frombuffer(r.sums, np.int64)
-    return n, length / max(n, 1), df
+def corpus_statistics(docs: DataFrame, scratch: Scratch) -> tuple[int, float, np.ndarray, DataFrame]:
+    """(documents, average length, document frequency by counter, (term, df)): the counters are of a size that does not depend on the corpus."""
+    counts = docs.select(F.col("text").cast("string")).mapInArrow(_count_terms, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    counts = scratch.keep(counts, "df")
+    of = {r.term: r.df for r in counts.filter("term < 0").collect()}
+    n, df = of.get(-1, 0), np.zeros(COUNTERS, np.int64)
+    sums = counts.filter("term >= 0").groupBy(F.shiftright("term", 12).alias("counter")).agg(F.sum("df").alias("df")).toArrow()  # COUNTERS rows at most
+    df[sums.column("counter").to_numpy()] = sums.column("df").to_numpy()
+    return n, of.get(-2, 0) / max(n, 1), df, counts.filter("term >= 0")
 
 
 def idf(n: int, df: np.ndarray) -> np.ndarray:
@@ -78,7 +96,7 @@ def idf(n: int, df: np.ndarray) -> np.ndarray:
 
 
 def _index(weights):
-    """A row for each document with tokens; key: the term with the least Exp(idf) of its hash, so a pair meets by the idf-weighted overlap of its terms."""
+    """A row for each document with tokens; key: the term with the least Exp(idf) of its hash, so a pair meets by the idf-weighted overlap of its terms; second: another such sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.value
@@ -91,107 +109,299 @@ def _index(weights):
                     continue
                 start = np.searchsorted(doc, some)
                 end = np.append(start[1:], len(doc))
-                h = mix(term.astype(U))
-                rank = -np.log((h >> U(11)).astype(np.float64) * 2.0**-53 + 2.0**-54) / w[term >> 12]
-                least = np.minimum.reduceat(rank, start)
-                at = np.flatnonzero(rank == np.repeat(least, end - start))
-                at = at[np.searchsorted(at, start)]  # the first of equal ones
+                h, own = mix(term.astype(U)), w[term >> 12]
+                keys = []
+                for g in (h, mix(h)):
+                    rank = -np.log((g >> U(11)).astype(np.float64) * 2.0**-53 + 2.0**-54) / own
+                    at = np.flatnonzero(rank == np.repeat(np.minimum.reduceat(rank, start), end - start))
+                    keys.append(mix(h[at[np.searchsorted(at, start)]]).view(np.int64))  # the first of equal ones
                 with np.errstate(over="ignore"):
                     digest = np.add.reduceat(mix(h ^ mix(count.astype(U))), start)
+                ids = batch.column("doc_id").take(pa.array(some))
+                ident = mix(digest ^ mix(ids.fill_null(0).to_numpy(zero_copy_only=False).view(U))).view(np.int64)
                 terms, counts = term.tobytes(), count.astype(np.uint32).tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(some)), pa.array(n[some]), pa.array(mix(h[at]).view(np.int64)), pa.array(digest.view(np.int64))]
+                    [batch.column("row").take(pa.array(some)), ids, pa.array(ident), pa.array(n[some]), *map(pa.array, keys), pa.array(digest.view(np.int64))]
                     + [pa.array([x[4 * a : 4 * b] for a, b in zip(start.tolist(), end.tolist(), strict=True)], pa.binary()) for x in (terms, counts)],
-                    names=["doc_id", "n_tokens", "key", "digest", "terms", "counts"],
+                    names=["row", "doc_id", "ident", "n_tokens", "key", "second", "digest", "terms", "counts"],
                 )
 
     return run
 
 
-def pack_shard(n: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], weight: np.ndarray, average: float, window: int) -> list[tuple[int, int, int, int, int, float | None]]:
-    """(window, slot, document, start, tokens, score) over the documents of one shard, which come in the order of their ties."""
-    size = np.array([len(t) for t in terms])
+def _flat(terms: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, count) of binary term lists."""
+    size = np.array([len(t) // 4 for t in terms], np.int64)
+    return np.repeat(np.arange(len(terms)), size), np.frombuffer(b"".join(terms), np.uint32), np.frombuffer(b"".join(counts), np.uint32)
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        raw = batch.column("terms").to_pylist()
+        doc, term, _ = _flat(raw, raw)
+        yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(doc)), pa.array(term.astype(np.int64))], names=["row", "term"])
+
+
+def impact(count: np.ndarray, length: np.ndarray, average: float) -> np.ndarray:
+    return count * (K1 + 1) / (count + K1 * (1 - B + B * length / average))
+
+
+class Queries:
+    """A block of queries as an inverted index: for each term, the queries that have it, and its weight."""
+
+    def __init__(self, found: pa.Table, n: int) -> None:
+        order = np.argsort(found.column("row").to_numpy())
+        found = found.take(pa.array(order))
+        self.row, self.ident = found.column("row").to_numpy(), found.column("ident").to_numpy()
+        lists = found.column("terms").combine_chunks()
+        size = np.diff(lists.offsets.to_numpy())
+        flat = lists.flatten()
+        term, df = flat.field("term").to_numpy().astype(np.uint32), flat.field("df").to_numpy()
+        query = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        order = np.argsort(term, kind="stable")
+        term, df, self.query = term[order], df[order], query[order]
+        self.first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
+        self.term, self.size = term[self.first], np.diff(np.append(self.first, len(term)))
+        self.weight = idf(n, df[self.first]).astype(np.float32)
+        self.bucket = np.searchsorted(self.term, np.arange((1 << 16) + 1, dtype=np.int64) << 16)
+        common = np.flatnonzero(df[self.first] >= n * COMMON)
+        self.column = np.full(len(self.term), -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        self.dense = np.zeros((len(self.row), len(common)), np.float32)
+        for k, t in enumerate(common):
+            self.dense[self.query[self.first[t] : self.first[t] + self.size[t]], k] = self.weight[t]
+
+    def lookup(self, term: np.ndarray) -> np.ndarray:
+        """Place of each term, -1 for those in no query."""
+        out, todo = np.full(len(term), -1, np.int64), np.arange(len(term))
+        high = term >> 16
+        at, end = self.bucket[high], self.bucket[high + 1]
+        while True:
+            left = at < end
+            todo, at, end = todo[left], at[left], end[left]
+            if not len(todo):
+                return out
+            hit = self.term[at] == term[todo]
+            out[todo[hit]] = at[hit]
+            todo, at, end = todo[~hit], at[~hit] + 1, end[~hit]
+
+    def scores(self, doc: np.ndarray, term: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
+        """Queries x documents: BM25 of every pair; own has the terms' impacts."""
+        at = self.lookup(term)
+        doc, own, at = doc[at >= 0], own[at >= 0].astype(np.float32), at[at >= 0]
+        column = self.column[at]
+        wide = column >= 0
+        block = np.zeros((self.dense.shape[1], n), np.float32)
+        block[column[wide], doc[wide]] = own[wide]
+        out = self.dense @ block
+        doc, at = doc[~wide], at[~wide]
+        own = own[~wide] * self.weight[at]
+        size = self.size[at]
+        done = np.concatenate([[0], np.cumsum(size)])
+        cuts = np.unique(np.searchsorted(done, np.arange(0, done[-1] + CELLS, CELLS), "left").clip(0, len(size)))
+        flat = out.reshape(-1)
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            many = size[lo:hi]
+            spot = np.repeat(self.first[at[lo:hi]] - (done[lo:hi] - done[lo]), many) + np.arange(many.sum())
+            np.add.at(flat, self.query[spot].astype(np.int64) * n + np.repeat(doc[lo:hi], many), np.repeat(own[lo:hi], many))
+        return out
+
+
+def _search(block, average: float, depth: int):
+    """The depth best documents of this shard (the task's rows) for every query."""
+
+    def best(found: list[tuple]) -> list[np.ndarray]:
+        query, score, *rest = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((rest[1], -score, query))  # by query, score, doc_id
+        query = query[order]
+        first = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]]))
+        place = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+        order = order[place < depth]
+        return [x[order] for x in (np.concatenate([f[0] for f in found]), score, *rest)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q: Queries = block.value
+        step = max(16, CELLS // max(1, len(q.row)))
+        least, found, held = np.zeros(len(q.row), np.float32), [], 0
+        for whole in batches:
+            for k in range(0, len(whole), step):
+                batch = whole.slice(k, step)
+                n = len(batch)
+                length = batch.column("n_tokens").to_numpy()
+                doc, term, count = _flat(batch.column("terms").to_pylist(), batch.column("counts").to_pylist())
+                s = q.scores(doc, term, impact(count, length[doc], average), n)
+                if n > depth:
+                    least = np.maximum(least, np.partition(s, n - depth, axis=1)[:, n - depth])
+                hit, d = np.nonzero((s >= least[:, None]) & (s > 0))
+                row, ident = batch.column("row").to_numpy()[d], batch.column("ident").to_numpy()[d]
+                other = (row != q.row[hit]) & (ident != q.ident[hit])
+                hit, d, row, ident = hit[other], d[other], row[other], ident[other]
+                ids = batch.column("doc_id")
+                known = ids.is_valid().to_numpy(zero_copy_only=False)[d]
+                found.append((hit, np.round(s[hit, d].astype(np.float64), 3), row, ids.fill_null(np.iinfo(np.int64).max).to_numpy()[d], known, ident, length[d]))
+                held += len(hit)
+                if held > 4 * depth * max(1 << 14, len(q.row)):
+                    found = [tuple(best(found))]
+                    held = len(found[0][0])
+        if held:
+            hit, score, row, ids, known, ident, length = best(found)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(q.row[hit]), pa.array(row), pa.array(ids, pa.int64(), mask=~known), pa.array(ident), pa.array(length), pa.array(score)], names=["seed", "row", "doc_id", "ident", "n_tokens", "score"]
+            )
+
+    return run
+
+
+def search(spark: SparkSession, rows: DataFrame, seeds: DataFrame, df: DataFrame, n: int, average: float, *, depth: int = DEPTH, queries: int = QUERIES, scratch: Scratch) -> DataFrame:
+    """(seed, row, doc_id, ident, n_tokens, score): the depth best neighbours among rows of each of the seeds, both of which are of TERMS."""
+    terms = seeds.select("row", "terms").mapInArrow(_unpack, "row long, term long").join(df.filter("df > 1"), "term")  # a term of the seed alone finds nothing
+    given = terms.groupBy("row").agg(F.collect_list(F.struct("term", "df")).alias("terms")).join(seeds.select("row", "ident"), "row")
+    given = scratch.keep(given, "queries")
+    count, postings = given.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
+    blocks = max(ceil(count / queries), ceil(postings / POSTINGS))
+    found = []
+    for k in range(blocks):
+        block = spark.sparkContext.broadcast(Queries(given.filter(F.pmod(F.xxhash64("row"), F.lit(blocks)) == k).toArrow(), n))
+        hits = rows.select("row", "doc_id", "ident", "n_tokens", "terms", "counts").mapInArrow(_search(block, average, depth), "seed long, row long, doc_id long, ident long, n_tokens long, score double")
+        found.append(scratch.keep(hits, "hits"))
+        block.destroy()
+    if not found:
+        return spark.createDataFrame([], "seed long, row long, doc_id long, ident long, n_tokens long, score double")
+    order = Window.partitionBy("seed").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "ident", "row")
+    return reduce(DataFrame.union, found).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= depth).drop("place")
+
+
+def assign(spark: SparkSession, hits: DataFrame, seeds: DataFrame, window: int, scratch: Scratch) -> DataFrame:
+    """(seed, row, ident, left, score): the documents that seeds take. A row is offered to the seed that scores it highest; a seed takes offers while they fit."""
+    space = seeds.select(F.col("row").alias("seed"), F.col("doc_id").alias("seed_id"), (window - F.col("n_tokens") % window).alias("space"))
+    one = Window.partitionBy("seed", "ident").orderBy("row")  # of equal rows a window takes one
+    pairs = hits.join(seeds.select("row"), "row", "left_anti").withColumn("left", F.col("n_tokens") % window).filter("left > 0")
+    pairs = pairs.withColumn("one", F.row_number().over(one)).filter("one = 1").join(space, "seed").filter("left <= space")
+    pairs = scratch.keep(pairs.select("seed", "seed_id", "space", "row", "doc_id", "ident", "left", "score"), "pairs")
+    taken = []
+    kind = "array<struct<down:double,doc_id:bigint,ident:bigint,row:bigint,left:bigint>>"
+    while not pairs.isEmpty():
+        best = pairs.groupBy("row").agg(F.max(F.struct("score", (-F.col("seed_id")).alias("a"), (-F.col("seed")).alias("b"), "seed", "space", "doc_id", "ident", "left")).alias("o"))
+        offers = best.groupBy("o.seed", "o.space").agg(F.array_sort(F.collect_list(F.struct((-F.col("o.score")).alias("down"), F.coalesce("o.doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "o.ident", "row", "o.left"))).alias("offers"))
+        start = F.struct(F.col("space").alias("space"), F.array().cast(kind).alias("taken"))
+        step = lambda s, x: F.when(x["left"] <= s["space"], F.struct((s["space"] - x["left"]).alias("space"), F.concat(s["taken"], F.array(x)).cast(kind).alias("taken"))).otherwise(s)
+        done = scratch.keep(offers.select("seed", F.aggregate("offers", start, step).alias("s")).select("seed", "s.space", "s.taken"), "done")
+        now = done.select("seed", F.explode("taken").alias("t")).select("seed", "t.row", "t.ident", "t.left", (-F.col("t.down")).alias("score"))
+        taken.append(now)
+        rest = pairs.join(now.select("row"), "row", "left_anti").join(done.select("seed", F.col("space").alias("now")), "seed", "left")
+        pairs = scratch.keep(rest.withColumn("space", F.coalesce("now", "space")).drop("now").filter("left <= space"), "pairs")
+    return scratch.keep(reduce(DataFrame.union, taken), "taken") if taken else spark.createDataFrame([], "seed long, row long, ident long, left long, score double")
+
+
+def pack_shard(
+    n: np.ndarray, left: np.ndarray, ident: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], weight: np.ndarray, average: float, window: int, begun: dict[int, tuple[int, int, set[int]]] | None = None
+) -> list[tuple[int, int, int, float | None]]:
+    """(seed, slot, document, score) over the documents of one shard, which come in the order of their ties; begun: (space, slots, idents) of the windows to fill up, by seed."""
+    begun, size = begun or {}, np.array([len(t) for t in terms])
     flat, tf = np.concatenate(terms), np.concatenate(counts).astype(np.float64)
     doc = np.repeat(np.arange(len(n)), size)
-    impact = weight[flat >> 12] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n[doc] / average))
+    own = weight[flat >> 12] * impact(tf, n[doc], average)
     order = np.argsort(flat, kind="stable")
-    posting_doc, posting = doc[order], impact[order]
+    posting_doc, posting = doc[order], own[order]
     vocabulary, first = np.unique(flat[order], return_index=True)
     last = np.append(first[1:], len(order))
-    rows, number = [], 0
-    left = n % window
-    for d in np.flatnonzero(n >= window):
-        for k in range(n[d] // window):
-            rows.append((number, 0, int(d), int(k * window), window, None))
-            number += 1
-    unused = left > 0
-    for seed in np.lexsort((np.arange(len(n)), -left)):
-        if not unused[seed]:
+    rows, unused = [], np.ones(len(n), bool)
+    unused[list(begun)] = False
+    for seed in [*begun, *(d for d in np.lexsort((np.arange(len(n)), -left)).tolist() if d not in begun)]:
+        if seed in begun:
+            space, slot, have = begun[seed]
+        elif unused[seed]:
+            unused[seed] = False
+            rows.append((seed, 0, seed, None))
+            space, slot, have = window - int(left[seed]), 1, {int(ident[seed])}
+        else:
             continue
-        unused[seed] = False
-        rows.append((number, 0, int(seed), int(n[seed] - left[seed]), int(left[seed]), None))
-        space, slot = window - int(left[seed]), 1
         fits = unused & (left <= space)
-        if fits.any():
-            at = np.searchsorted(vocabulary, terms[seed])
-            lo, length = first[at], last[at] - first[at]
-            spot = np.repeat(lo - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
-            score = np.bincount(posting_doc[spot], posting[spot], len(n))
-            near = np.flatnonzero(fits & (score > 0))
-            near = near[np.argsort(-score[near], kind="stable")]
-            least = int(left[near].min()) if len(near) else 0
-            for d, take in zip(near.tolist(), left[near].tolist(), strict=True):
-                if take <= space:
-                    unused[d] = False
-                    rows.append((number, slot, d, int(n[d] - take), take, float(score[d])))
-                    space, slot = space - take, slot + 1
-                    if space < least:
-                        break
-        number += 1
+        if not fits.any():
+            continue
+        at = np.searchsorted(vocabulary, terms[seed])
+        lo, length = first[at], last[at] - first[at]
+        spot = np.repeat(lo - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
+        score = np.round(np.bincount(posting_doc[spot], posting[spot], len(n)), 3)
+        near = np.flatnonzero(fits & (score > 0))
+        near = near[np.argsort(-score[near], kind="stable")]
+        least = int(left[near].min()) if len(near) else 0
+        for d, take in zip(near.tolist(), left[near].tolist(), strict=True):
+            if take <= space and int(ident[d]) not in have:
+                have.add(int(ident[d]))
+                unused[d] = False
+                rows.append((seed, slot, d, float(score[d])))
+                space, slot = space - take, slot + 1
+            if space < least:
+                break
     return rows
 
 
 def _pack(weights, average: float, window: int):
     def run(group: pa.Table) -> pa.Table:
-        ids, digest = group.column("doc_id").to_pylist(), group.column("digest").to_pylist()
-        n = group.column("n_tokens").to_numpy()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, digest[i]))
+        ids = np.array([(1 << 63) - 1 if i is None else i for i in group.column("doc_id").to_pylist()], np.int64)
+        group = group.take(pa.array(np.lexsort((group.column("row").to_numpy(), group.column("digest").to_numpy(), ids))))
+        n, left, ident, row = (group.column(c).to_numpy() for c in ("n_tokens", "left", "ident", "row"))
         terms, counts = ([np.frombuffer(x, np.uint32) for x in group.column(c).to_pylist()] for c in ("terms", "counts"))
-        rows = pack_shard(n[order], [terms[i] for i in order], [counts[i] for i in order], weights.value, average, window)
-        name = f"{group.column('shard')[0].as_py()}-{group.column('salt')[0].as_py()}-"
-        w, slot, d, start, tokens, score = zip(*rows, strict=True)
+        begun = {k: (space, len(have) + 1, {*have, int(ident[k])}) for k, (space, have) in enumerate(zip(group.column("space").to_pylist(), group.column("have").to_pylist(), strict=True)) if space is not None}
+        rows = pack_shard(n, left, ident, terms, counts, weights.value, average, window, begun)
+        seed, slot, d, score = zip(*rows, strict=True) if rows else ((), (), (), ())
+        d = np.array(d, np.int64)
         return pa.table(
             {
-                "window": pa.array([name + str(x) for x in w], pa.string()),
+                "window": pa.array([f"row-{row[s]}" for s in seed], pa.string()),
                 "slot": pa.array(slot, pa.int32()),
-                "doc_id": pa.array([ids[order[x]] for x in d], pa.int64()),
-                "start": pa.array(start, pa.int64()),
-                "n_tokens": pa.array(tokens, pa.int64()),
+                "doc_id": group.column("doc_id").take(pa.array(d)),
+                "start": pa.array(n[d] - left[d], pa.int64()),
+                "n_tokens": pa.array(left[d], pa.int64()),
                 "score": pa.array(score, pa.float64()),
+                "digest": group.column("digest").take(pa.array(d)),
             }
         )
 
     return run
 
 
-def pack(spark: SparkSession, docs: DataFrame, *, window: int = WINDOW, shard: int = SHARD, broadcast_shards: int = BROADCAST_SHARDS, scratch: Scratch | None = None) -> DataFrame:
-    """(window, slot, doc_id, start, n_tokens, score): the pieces of each window; the seed, or a whole window of one text, is in slot 0 and has no score."""
+def _split(rows: DataFrame, by: list[str], into: str, at, shard: int, few: int, scratch: Scratch) -> DataFrame:
+    """rows with the column into: which part of its group a row is in; groups of over twice the size of a shard have several."""
+    large = scratch.keep(rows.groupBy(*by).count().filter(F.col("count") > 2 * shard).select(*by, F.ceil(F.col("count") / shard).alias("parts")), "large")
+    rows = rows.join(F.broadcast(large) if large.count() <= few else large.hint("merge"), by, "left")
+    return rows.withColumn(into, F.when(F.col("parts").isNull(), 0).otherwise(at(F.col("parts"))).cast("long")).drop("parts")
+
+
+def pack(
+    spark: SparkSession, docs: DataFrame, *, window: int = WINDOW, shard: int = SHARD, every: int = EVERY, depth: int = DEPTH, queries: int = QUERIES, broadcast_shards: int = BROADCAST_SHARDS, scratch: Scratch | None = None
+) -> DataFrame:
+    """PIECES of each window; the seed, or a whole window of one text, is in slot 0 and has no score. doc_id and digest (of the text's words) name a text."""
     scratch = scratch or Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("text is not null")
-    n, average, df = corpus_statistics(docs)
+    n, average, df, by_term = corpus_statistics(docs, scratch)
     weights = spark.sparkContext.broadcast(idf(n, df))
     bits = max(0, ceil(log2(max(1, n / shard))))
-    rows = scratch.keep(docs.mapInArrow(_index(weights), SCHEMA), "terms")
-    number = F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long")
-    rows = rows.withColumn("shard", number)
-    # a shard of over twice the size, of equal keys mostly, is split further by document
-    large = scratch.keep(rows.groupBy("shard").count().filter(F.col("count") > 2 * shard).select("shard", F.ceil(F.col("count") / shard).alias("parts")), "large")
-    few = large.count() <= broadcast_shards
-    salt = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id", "digest"), "parts"))
-    rows = rows.join(F.broadcast(large) if few else large, "shard", "left").withColumn("salt", salt.cast("long")).drop("parts", "key")
-    if not few:  # else the groups would stay where the join put them, all parts of a shard in one task
-        rows = rows.repartition("shard", "salt")
-    return rows.groupBy("shard", "salt").applyInArrow(_pack(weights, average, window), "window string, slot int, doc_id long, start long, n_tokens long, score double")
+    rows = scratch.keep(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(_index(weights), TERMS), "terms")
+    left = F.col("n_tokens") % window
+    some = rows.filter(left > 0)
+    seeds = some.filter(F.col("doc_id") % every == 0)
+    hits = search(spark, some, seeds, by_term, n, average, depth=depth, queries=queries, scratch=scratch)
+    taken = assign(spark, hits, seeds, window, scratch)
+
+    whole = rows.filter(F.col("n_tokens") >= window).select("row", "doc_id", "digest", F.posexplode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n_tokens") / window) - 1)).alias("k", "at"))
+    whole = whole.select(F.concat_ws("-", F.lit("whole"), "row", "k").alias("window"), F.lit(0).alias("slot"), "doc_id", (F.col("at") * window).alias("start"), F.lit(window).cast("long").alias("n_tokens"), F.lit(None).cast("double").alias("score"), "digest")
+    name = lambda c: F.concat(F.lit("row-"), F.col(c).cast("string")).alias("window")
+    first = seeds.select(name("row"), F.lit(0).alias("slot"), "doc_id", (F.col("n_tokens") - left).alias("start"), left.alias("n_tokens"), F.lit(None).cast("double").alias("score"), "digest")
+    slot = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "ident", "row"))
+    near = rows.select("row", "doc_id", "n_tokens", "digest").join(taken.select("seed", "row", "ident", "score"), "row")
+    near = near.select(name("seed"), slot.alias("slot"), "doc_id", (F.col("n_tokens") - left).alias("start"), left.alias("n_tokens"), "score", "digest")
+
+    begun = seeds.select("row", (window - left).alias("room")).join(taken.groupBy(F.col("seed").alias("row")).agg(F.sum("left").alias("used"), F.collect_list("ident").alias("have")), "row", "left")
+    begun = begun.select("row", (F.col("room") - F.coalesce("used", F.lit(0))).alias("space"), F.coalesce("have", F.array().cast("array<bigint>")).alias("have"))
+    rest = some.join(taken.select("row"), "row", "left_anti").join(begun, "row", "left").withColumn("left", left)
+    rest = rest.withColumn("shard", F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long"))
+    high = F.shiftrightunsigned("second", 32)
+    rest = _split(rest, ["shard"], "part", lambda parts: F.floor(high * parts / F.lit(1 << 32)), shard, broadcast_shards, scratch)
+    rest = _split(rest, ["shard", "part"], "piece", lambda parts: F.pmod(F.xxhash64("digest", "row"), parts), shard, broadcast_shards, scratch)
+    rest = rest.groupBy("shard", "part", "piece").applyInArrow(_pack(weights, average, window), PIECES)
+    return whole.union(first).union(near).union(rest)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodespark.llm import bagminhash, chat, langid, mixing, packing, secrets
-from lodespark.llm.common import table
+from lodespark.llm.common import Scratch, table
 
 from .conftest import docs_of, prose, tokens
 
@@ -82,12 +83,15 @@ def test_every_document_is_in_the_mix(spark, hard, nothing):
 
 
 def test_windows_hold_every_word_once(spark, corpus, hard, nothing):
-    for docs in (corpus[0], hard):
-        rows = packing.pack(spark, docs, window=256, shard=32).collect()
-        used, pieces = Counter(), defaultdict(list)
+    again = docs_of(spark, [(i, text, "en", "a") for i, text in corpus[1].items() if i % 3 == 0])
+    for docs in (corpus[0], corpus[0].union(again).union(again), hard):
+        rows = packing.pack(spark, docs, window=256, shard=32, every=4, depth=6).collect()
+        used, pieces, keys = Counter(), defaultdict(list), defaultdict(set)
         for r in rows:
             used[r.window] += r.n_tokens
             pieces[r.doc_id].append((r.start, r.n_tokens))
+            assert (r.doc_id, r.digest) not in keys[r.window]
+            keys[r.window].add((r.doc_id, r.digest))
         assert max(used.values()) <= 256
         lengths = defaultdict(list)
         for r in docs.select("doc_id", "text").collect():
@@ -108,45 +112,102 @@ def test_windows_hold_every_word_once(spark, corpus, hard, nothing):
     assert packing.pack(spark, nothing).count() == 0
 
 
-def _plain_pack(n, terms, counts, weight, average, window):
-    """Each seed scores every unused document by BM25, term by term."""
-    left, unused, out = [x % window for x in n], [x % window > 0 for x in n], []
-    bags = [dict(zip(t.tolist(), c.tolist(), strict=True)) for t, c in zip(terms, counts, strict=True)]
-    for seed in sorted(range(len(n)), key=lambda i: (-left[i], i)):
-        if not unused[seed]:
-            continue
-        unused[seed] = False
-        space, own = window - left[seed], [seed]
-        score = lambda d: sum(weight[t >> 12] * bags[d][t] * (packing.K1 + 1) / (bags[d][t] + packing.K1 * (1 - packing.B + packing.B * n[d] / average)) for t in bags[seed] if t in bags[d])
-        scores = {d: score(d) for d in range(len(n)) if unused[d]}
-        for d in sorted((d for d in scores if scores[d] > 0), key=lambda d: (-round(scores[d], 9), d)):
-            if left[d] <= space:
-                unused[d] = False
-                space -= left[d]
-                own.append(d)
-        out.append(own)
-    return out
-
-
-def test_a_shard_matches_plain_bm25(corpus):
-    texts = list(corpus[1].values())[:60]
-    n, doc, term, count = packing._terms(texts)
-    cuts = np.searchsorted(doc, np.arange(1, len(texts)))
-    terms, counts = np.split(term, cuts), np.split(count, cuts)
-    df = np.bincount(term >> 12, minlength=packing.COUNTERS)
-    weight, average = packing.idf(len(texts), df).astype(np.float64), float(n.mean())
-    found = defaultdict(list)
-    for w, _, d, *_ in packing.pack_shard(n, terms, counts, weight, average, 512):
-        found[w].append(d)
-    assert list(found.values()) == _plain_pack(n.tolist(), terms, counts, weight, average, 512)
+class _Plain:
+    """BM25 over dicts of words, and packing by it in one shard, as the docstring says it."""
+
+    def __init__(self, texts: dict[int, str]) -> None:
+        self.bags = {i: Counter(tokens(t)) for i, t in texts.items() if tokens(t)}
+        self.n = {i: sum(b.values()) for i, b in self.bags.items()}
+        self.average = sum(self.n.values()) / len(self.n)
+        self.lists = defaultdict(list)
+        for i, bag in self.bags.items():
+            for w, c in bag.items():
+                self.lists[w].append((i, c))
+
+    def scores(self, seed: int) -> dict[int, float]:
+        out: dict[int, float] = defaultdict(float)
+        for w in self.bags[seed]:
+            weight = math.log(1 + (len(self.n) - len(self.lists[w]) + 0.5) / (len(self.lists[w]) + 0.5))
+            for i, c in self.lists[w]:
+                out[i] += weight * c * (packing.K1 + 1) / (c + packing.K1 * (1 - packing.B + packing.B * self.n[i] / self.average))
+        out.pop(seed)
+        return {i: round(s, 3) for i, s in out.items()}
+
+    def pack(self, window: int, every: int, depth: int) -> set[tuple]:
+        left = {i: n % window for i, n in self.n.items() if n % window}
+        seeds = sorted(i for i in left if i % every == 0)
+        found = {s: self.scores(s) for s in seeds}
+        ranked = {s: [d for d in sorted(found[s], key=lambda d: (-found[s][d], d)) if d in left][:depth] for s in seeds}
+        windows, space, unused = {s: [s] for s in seeds}, {s: window - left[s] for s in seeds}, set(left) - set(seeds)
+        while True:
+            offers = defaultdict(list)
+            for d in unused:
+                wanted = [s for s in seeds if d in ranked[s] and left[d] <= space[s]]
+                if wanted:
+                    offers[min(wanted, key=lambda s: (-found[s][d], s))].append(d)
+            if not offers:
+                break
+            for s, own in offers.items():
+                for d in sorted(own, key=lambda d: (-found[s][d], d)):
+                    if left[d] <= space[s]:
+                        windows[s].append(d)
+                        space[s] -= left[d]
+                        unused.discard(d)
+        for s in seeds + sorted(left, key=lambda i: (-left[i], i)):
+            if s not in windows:
+                if s not in unused:
+                    continue
+                unused.discard(s)
+                windows[s], space[s] = [s], window - left[s]
+            scores = self.scores(s)
+            for d in sorted(unused & set(scores), key=lambda d: (-scores[d], d)):
+                if left[d] <= space[s]:
+                    windows[s].append(d)
+                    space[s] -= left[d]
+                    unused.discard(d)
+        return {tuple(sorted(w)) for w in windows.values()} | {(i,) * (n // window) for i, n in self.n.items() if n >= window}
+
+
+def test_packing_matches_a_plain_model(spark, corpus):
+    texts = {i: t for i, t in corpus[1].items() if list(corpus[1].values()).index(t) == list(corpus[1]).index(i)}  # equal texts tie but for rounding
+    docs, wanted = docs_of(spark, [(i, t, "en", "a") for i, t in texts.items()]), _Plain(texts).pack(300, 4, 6)
+    for queries in (packing.QUERIES, 7):  # one block or several
+        windows, whole = defaultdict(list), defaultdict(int)
+        for r in packing.pack(spark, docs, window=300, shard=1000, every=4, depth=6, queries=queries).collect():
+            if r.window.startswith("whole"):
+                whole[r.doc_id] += 1
+            else:
+                windows[r.window].append(r.doc_id)
+        assert {tuple(sorted(w)) for w in windows.values()} | {(i,) * k for i, k in whole.items()} == wanted
+
+
+def test_neighbours_are_those_of_the_whole_corpus(spark):
+    """Recall of the ten best against plain BM25 over all documents, for every seed."""
+    docs = table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text")
+    plain = _Plain({r.doc_id: r.text for r in docs.filter("text is not null").collect()})
+    scratch = Scratch(spark)
+    n, average, df, by_term = packing.corpus_statistics(docs, scratch)
+    weights = spark.sparkContext.broadcast(packing.idf(n, df))
+    rows = scratch.keep(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(packing._index(weights), packing.TERMS), "terms")
+    hits = packing.search(spark, rows, rows.filter("doc_id % 50 = 0"), by_term, n, average, scratch=scratch)
+    found = defaultdict(set)
+    for r in hits.join(rows.select(F.col("row").alias("seed"), F.col("doc_id").alias("seed_id")), "seed").collect():
+        found[r.seed_id].add(r.doc_id)
+    recall = []
+    for seed in (i for i in plain.n if i % 50 == 0):
+        scores = plain.scores(seed)
+        best = sorted(scores, key=lambda d: (-scores[d], d))[:10]
+        recall.append(sum(d in found[seed] for d in best) / len(best))
+    assert len(recall) == 200 and np.mean(recall) >= 0.99
 
 
 def test_statistics_are_of_the_whole_corpus(spark, corpus):
     docs, texts = corpus
-    n, average, df = packing.corpus_statistics(docs)
+    n, average, df, by_term = packing.corpus_statistics(docs, Scratch(spark))
     assert n == len(texts) and abs(average - np.mean([len(tokens(t)) for t in texts.values()])) < 1e-9
     _, _, term, _ = packing._terms(list(texts.values()))
     assert (df == np.bincount(term >> 12, minlength=packing.COUNTERS)).all()
+    assert {r.term: r.df for r in by_term.collect()} == Counter(term.tolist())
 
 
 def test_split_shards_are_the_same_either_way(spark, corpus):
