@@ -39,8 +39,8 @@ WINDOW, SHARD, K1, B = 2048, 512, 1.2, 0.75
 EVERY, DEPTH = 50, 32
 #: Most queries and most of their terms in a block, which is broadcast; scores that a task holds at once.
 QUERIES, POSTINGS, CELLS = 8192, 1 << 22, 1 << 20
-#: Terms in this share of the documents are scored by a matrix product, the others through posting lists.
-COMMON = 1 / 32
+#: Terms in this share of a group are scored by a matrix product, the others through posting lists; groups of queries.
+COMMON, GROUPS = 1 / 20, 8
 BATCH, BITS = 1024, 10
 COUNTERS = 1 << 20
 #: Split shards (some 40 bytes each) up to which their list is broadcast; beyond, it is joined by shuffle.
@@ -147,102 +147,183 @@ def impact(count: np.ndarray, length: np.ndarray, average: float) -> np.ndarray:
 
 
 class Queries:
-    """A block of queries as an inverted index: for each term, the queries that have it, and its weight."""
+    """A block of queries as an inverted index, in GROUPS groups of similar queries (by their common terms).
+
+    Documents fall into the same groups. A term that many queries of group g and many of group l have is a column of the
+    matrix product of the queries of g and the documents of l; all other pairs of a term meet through posting lists.
+    Groups only decide which way a pair is scored, so every pair is, whatever the groups.
+    """
 
     def __init__(self, found: pa.Table, n: int) -> None:
         order = np.argsort(found.column("row").to_numpy())
         found = found.take(pa.array(order))
-        self.row, self.ident = found.column("row").to_numpy(), found.column("ident").to_numpy()
         lists = found.column("terms").combine_chunks()
         size = np.diff(lists.offsets.to_numpy())
         flat = lists.flatten()
         term, df = flat.field("term").to_numpy().astype(np.uint32), flat.field("df").to_numpy()
-        query = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        query = np.repeat(np.arange(len(size)), size)
         order = np.argsort(term, kind="stable")
-        term, df, self.query = term[order], df[order], query[order]
-        self.first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
-        self.term, self.size = term[self.first], np.diff(np.append(self.first, len(term)))
-        self.weight = idf(n, df[self.first]).astype(np.float32)
-        self.bucket = np.searchsorted(self.term, np.arange((1 << 16) + 1, dtype=np.int64) << 16)
-        common = np.flatnonzero(df[self.first] >= n * COMMON)
-        self.column = np.full(len(self.term), -1, np.int32)
-        self.column[common] = np.arange(len(common))
-        self.dense = np.zeros((len(self.row), len(common)), np.float32)
-        for k, t in enumerate(common):
-            self.dense[self.query[self.first[t] : self.first[t] + self.size[t]], k] = self.weight[t]
+        term, df, query = term[order], df[order], query[order]
+        first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
+        self.term, self.size = term[first], np.diff(np.append(first, len(term)))
+        self.weight, self.entry = idf(n, df[first]), np.repeat(np.arange(len(first), dtype=np.int32), self.size)
+        self.bucket = np.searchsorted(self.term, np.arange((1 << 20) + 1, dtype=np.int64) << 12).astype(np.int32)
+        common = np.flatnonzero(df[first] >= n * COMMON)
+        self.label = np.full(len(first), -1, np.int32)  # column of the terms that tell the group
+        self.label[common] = np.arange(len(common))
+        has = np.zeros((len(size), len(common)), np.float32)
+        own = self.label[self.entry]
+        has[query[own >= 0], own[own >= 0]] = 1
+        self.centres = _centres(has)
+        group = self.groups(has)
+        order = np.argsort(group, kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order))
+        self.row, self.ident = found.column("row").to_numpy()[order], found.column("ident").to_numpy()[order]
+        self.query, self.start = rank[query], np.searchsorted(group[order], np.arange(len(self.centres) + 1))
+        self.of = group[order].astype(np.int8)
+        k = len(self.centres)
+        often = np.bincount(self.entry.astype(np.int64) * k + self.of[self.query], minlength=len(first) * k).reshape(-1, k)
+        members = np.diff(self.start)
+        self.dense = (often >= np.maximum(members * COMMON, 2)).T.copy()  # group x term
+        self.plans: dict[int, tuple] = {}
+
+    def groups(self, has: np.ndarray) -> np.ndarray:
+        """Nearest centre of each row of has (which of the common terms it has)."""
+        return np.argmax(has @ self.centres.T, axis=1) if has.shape[1] else np.zeros(len(has), np.int64)
 
     def lookup(self, term: np.ndarray) -> np.ndarray:
         """Place of each term, -1 for those in no query."""
-        out, todo = np.full(len(term), -1, np.int64), np.arange(len(term))
-        high = term >> 16
+        out, todo, high = np.full(len(term), -1, np.int64), np.arange(len(term)), term >> 12
         at, end = self.bucket[high], self.bucket[high + 1]
         while True:
-            left = at < end
-            todo, at, end = todo[left], at[left], end[left]
-            if not len(todo):
+            left = np.flatnonzero(at < end)
+            if not len(left):
                 return out
+            todo, at, end = todo[left], at[left], end[left]
             hit = self.term[at] == term[todo]
             out[todo[hit]] = at[hit]
-            todo, at, end = todo[~hit], at[~hit] + 1, end[~hit]
-
-    def scores(self, doc: np.ndarray, term: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
-        """Queries x documents: BM25 of every pair; own has the terms' impacts."""
-        at = self.lookup(term)
-        doc, own, at = doc[at >= 0], own[at >= 0].astype(np.float32), at[at >= 0]
-        column = self.column[at]
-        wide = column >= 0
-        block = np.zeros((self.dense.shape[1], n), np.float32)
-        block[column[wide], doc[wide]] = own[wide]
-        out = self.dense @ block
-        doc, at = doc[~wide], at[~wide]
-        own = own[~wide] * self.weight[at]
-        size = self.size[at]
+            at = np.where(hit, end, at + 1)
+
+    def plan(self, group: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray, np.ndarray]:
+        """For documents of a group: column of each term, (columns, queries x columns) by the queries' group, and the posting lists of what is left."""
+        if group not in self.plans:
+            mine = self.dense[group]
+            column = np.full(len(self.term), -1, np.int32)
+            column[mine] = np.arange(mine.sum())
+            wide = mine[self.entry] & self.dense[self.of[self.query], self.entry]
+            parts = []
+            for g, (lo, hi) in enumerate(zip(self.start[:-1], self.start[1:], strict=True)):
+                both = np.flatnonzero(mine & self.dense[g])
+                place = np.full(len(self.term), -1, np.int32)
+                place[both] = np.arange(len(both))
+                own = np.flatnonzero(wide & (self.of[self.query] == g))
+                part = np.zeros((hi - lo, len(both)), np.float32)
+                part[self.query[own] - lo, place[self.entry[own]]] = self.weight[self.entry[own]]
+                parts.append((column[both], part))
+            size = np.bincount(self.entry[~wide], minlength=len(self.term))
+            self.plans[group] = column, parts, self.query[~wide], size, np.cumsum(size) - size
+        return self.plans[group]
+
+    def scores(self, group: int, doc: np.ndarray, at: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
+        """Queries x documents of one group: BM25 of every pair; at has the places of the documents' terms, own their impacts."""
+        column, parts, query, many, first = self.plan(group)
+        out = np.zeros((len(self.row), n), np.float32)
+        wide = np.flatnonzero(column[at] >= 0)
+        block = np.zeros((int(column.max(initial=-1)) + 1, n), np.float32)
+        block[column[at[wide]], doc[wide]] = own[wide]
+        for g, (columns, part) in enumerate(parts):
+            if len(columns) and len(part):
+                out[self.start[g] : self.start[g + 1]] = part @ (block if len(columns) == len(block) else block[columns])
+        size = many[at]
+        some = np.flatnonzero(size)
+        size, doc, at = size[some], doc[some], at[some]
+        own = own[some] * self.weight[at]
         done = np.concatenate([[0], np.cumsum(size)])
         cuts = np.unique(np.searchsorted(done, np.arange(0, done[-1] + CELLS, CELLS), "left").clip(0, len(size)))
         flat = out.reshape(-1)
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            many = size[lo:hi]
-            spot = np.repeat(self.first[at[lo:hi]] - (done[lo:hi] - done[lo]), many) + np.arange(many.sum())
-            np.add.at(flat, self.query[spot].astype(np.int64) * n + np.repeat(doc[lo:hi], many), np.repeat(own[lo:hi], many))
+            length = size[lo:hi]
+            spot = np.repeat(first[at[lo:hi]] - (done[lo:hi] - done[lo]), length) + np.arange(length.sum())
+            np.add.at(flat, query[spot].astype(np.int64) * n + np.repeat(doc[lo:hi], length), np.repeat(own[lo:hi], length))
         return out
 
 
+def _centres(has: np.ndarray) -> np.ndarray:
+    """Unit vectors of GROUPS groups at most: farthest-first beginnings, then a few steps of spherical k-means."""
+    norm = np.maximum(np.sqrt(has.sum(axis=1, keepdims=True)), 1)
+    x = has / norm
+    if not len(x) or not x.shape[1]:
+        return np.zeros((1, has.shape[1]), np.float32)
+    pick, near = [int(np.argmax(has.sum(axis=1)))], np.full(len(x), -1.0, np.float32)
+    while len(pick) < min(GROUPS, len(x)):
+        near = np.where(norm[:, 0] > 1, np.maximum(near, x @ x[pick[-1]]), 2)
+        if near.min() >= 1 - 1e-6:
+            break
+        pick.append(int(np.argmin(near)))
+    centres = x[pick]
+    for _ in range(6):
+        group = np.argmax(x @ centres.T, axis=1)
+        sums = np.stack([x[group == g].sum(axis=0) for g in range(len(centres))])
+        size = np.sqrt((sums**2).sum(axis=1, keepdims=True))
+        centres = np.where(size > 0, sums / np.maximum(size, 1e-9), centres)
+    return centres.astype(np.float32)
+
+
 def _search(block, average: float, depth: int):
     """The depth best documents of this shard (the task's rows) for every query."""
 
     def best(found: list[tuple]) -> list[np.ndarray]:
+        """The depth best of each query, and what ties with the last of them."""
         query, score, *rest = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((rest[1], -score, query))  # by query, score, doc_id
-        query = query[order]
-        first = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]]))
-        place = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
-        order = order[place < depth]
-        return [x[order] for x in (np.concatenate([f[0] for f in found]), score, *rest)]
+        key = (query.astype(np.int64) << 42) | ((1 << 42) - 1 - np.round(score * 1000).astype(np.int64).clip(0, (1 << 42) - 1))
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], (key[1:] >> 42) != (key[:-1] >> 42)]))
+        size = np.diff(np.append(first, len(key)))
+        order = order[key <= np.repeat(key[first + np.minimum(size, depth) - 1], size)]
+        return [x[order] for x in (query, score, *rest)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q: Queries = block.value
         step = max(16, CELLS // max(1, len(q.row)))
-        least, found, held = np.zeros(len(q.row), np.float32), [], 0
+        least, found, held = np.full(len(q.row), 1e-6, np.float32), [], 0
         for whole in batches:
-            for k in range(0, len(whole), step):
-                batch = whole.slice(k, step)
-                n = len(batch)
-                length = batch.column("n_tokens").to_numpy()
-                doc, term, count = _flat(batch.column("terms").to_pylist(), batch.column("counts").to_pylist())
-                s = q.scores(doc, term, impact(count, length[doc], average), n)
-                if n > depth:
-                    least = np.maximum(least, np.partition(s, n - depth, axis=1)[:, n - depth])
-                hit, d = np.nonzero((s >= least[:, None]) & (s > 0))
-                row, ident = batch.column("row").to_numpy()[d], batch.column("ident").to_numpy()[d]
-                other = (row != q.row[hit]) & (ident != q.ident[hit])
-                hit, d, row, ident = hit[other], d[other], row[other], ident[other]
+            for k in range(0, len(whole), 8 * step):
+                batch = whole.slice(k, 8 * step)
+                length, row, ident = (batch.column(c).to_numpy() for c in ("n_tokens", "row", "ident"))
                 ids = batch.column("doc_id")
-                known = ids.is_valid().to_numpy(zero_copy_only=False)[d]
-                found.append((hit, np.round(s[hit, d].astype(np.float64), 3), row, ids.fill_null(np.iinfo(np.int64).max).to_numpy()[d], known, ident, length[d]))
-                held += len(hit)
-                if held > 4 * depth * max(1 << 14, len(q.row)):
-                    found = [tuple(best(found))]
-                    held = len(found[0][0])
+                known, ids = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(np.iinfo(np.int64).max).to_numpy()
+                doc, term, count = _flat(batch.column("terms").to_pylist(), batch.column("counts").to_pylist())
+                at = q.lookup(term)
+                own = np.flatnonzero(at >= 0)
+                doc, at, count = doc[own], at[own], count[own]
+                own = impact(count, length[doc], average).astype(np.float32)
+                has = np.zeros((len(batch), q.centres.shape[1]), np.float32)
+                told = q.label[at]
+                has[doc[told >= 0], told[told >= 0]] = 1
+                group = q.groups(has)
+                cuts = np.searchsorted(doc, np.arange(len(batch) + 1))
+                for g in np.unique(group).tolist():
+                    members = np.flatnonzero(group == g)
+                    for j in range(0, len(members), step):
+                        d = members[j : j + step]
+                        size = cuts[d + 1] - cuts[d]
+                        spot = np.repeat(cuts[d] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                        s = q.scores(g, np.repeat(np.arange(len(d)), size), at[spot], own[spot], len(d))
+                        hit, to = np.nonzero(s >= least[:, None])
+                        if len(hit) > 2 * len(least) and len(d) > depth:
+                            least = np.maximum(least, np.partition(s, len(d) - depth, axis=1)[:, len(d) - depth])
+                            high = s[hit, to] >= least[hit]
+                            hit, to = hit[high], to[high]
+                        score, to = np.round(s[hit, to].astype(np.float64), 3), d[to]
+                        other = (row[to] != q.row[hit]) & (ident[to] != q.ident[hit])
+                        hit, to = hit[other], to[other]
+                        found.append((hit, score[other], row[to], ids[to], known[to], ident[to], length[to]))
+                        held += len(hit)
+                        if held > 4 * depth * max(1 << 14, len(q.row)):
+                            found = [tuple(best(found))]
+                            held = len(found[0][0])
         if held:
             hit, score, row, ids, known, ident, length = best(found)
             yield pa.RecordBatch.from_arrays(
