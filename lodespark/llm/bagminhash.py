@@ -4,7 +4,7 @@ The features of a text are its word shingles with their counts. A signature regi
 probability J = sum(min) / sum(max) of the counts (weighted Jaccard), without bias. Defined results:
 
 * null doc_id: not looked at; it is in no group. Null, empty or wordless text: no features, in no group.
-* repeated rows (one doc_id, one text) are one document; one doc_id with several texts is in the groups of each.
+* repeated rows (one doc_id, one text) are one document; one doc_id with several texts joins the groups of each to one.
 * equal multisets are one group, whatever their number; ties for the one to keep go to the least doc_id.
 * an empty table gives an empty result; other columns are not read.
 """
@@ -26,6 +26,8 @@ SHINGLE, BANDS, ROWS, THRESHOLD = 3, 40, 4, 0.5
 BATCH, BITS = 1024, 10
 #: Members that one task compares with a leader's text.
 STAR = 256
+#: Edges (16 bytes each) up to which one task finds the components; more are contracted and go through distributed rounds first.
+LOCAL_EDGES = 4_000_000
 _LEFT, _RIGHT, _SIDE, _REGISTER = (mix(np.array([k], U))[0] for k in (11, 12, 13, 14))
 
 
@@ -139,22 +141,20 @@ def _overlap(shingle: int, threshold: float):
     """Compares a leader's text with its members' by the overlap of their multisets."""
 
     def run(group: pa.Table) -> pa.Table:
-        keep_a, keep_b, keep_j = [], [], []
-        cols = {c: group.column(c) for c in group.column_names}
-        leader = cols["leader"][0].as_py()
-        ids, los, his = (cols[c].to_numpy() for c in ("doc_id", "lo", "hi"))
-        texts, a = cols["text"], None
-        parts = []
-        for k in range(0, len(ids), BATCH):
-            doc, elem, weight = _bags(texts.slice(k, BATCH).to_pylist(), shingle)
-            n = min(BATCH, len(ids) - k)
+        keep, jaccard = [], []
+        leader = group.column("leader")[0].as_py()
+        nodes, los, his = (group.column(c).to_numpy() for c in ("node", "lo", "hi"))
+        a, parts = None, []
+        for k in range(0, len(nodes), BATCH):
+            doc, elem, weight = _bags(group.column("text").slice(k, BATCH).to_pylist(), shingle)
+            n = min(BATCH, len(nodes) - k)
             lo, hi = digests(doc, elem, weight, n)
             for i in np.flatnonzero((lo == los[k : k + n]) & (hi == his[k : k + n])):  # else another text of that doc_id
                 s, e = np.searchsorted(doc, [i, i + 1])
-                if ids[k + i] == leader and cols["is_leader"][int(k + i)].as_py():
+                if nodes[k + i] == leader:
                     a = elem[s:e], weight[s:e]
                 else:
-                    parts.append((ids[k + i], elem[s:e], weight[s:e]))
+                    parts.append((nodes[k + i], elem[s:e], weight[s:e]))
         if a is not None:
             size = a[1].sum()
             for b, elem, weight in parts:
@@ -162,78 +162,124 @@ def _overlap(shingle: int, threshold: float):
                 both = np.minimum(a[1][at], weight)[a[0][at] == elem].sum()
                 j = float(both) / float(size + weight.sum() - both)
                 if j >= threshold:
-                    keep_a.append(leader), keep_b.append(b), keep_j.append(j)
-        return pa.table({"a": pa.array(keep_a, pa.int64()), "b": pa.array(keep_b, pa.int64()), "jaccard": pa.array(keep_j, pa.float64())})
+                    keep.append(b), jaccard.append(j)
+        return pa.table({"a": pa.array([leader] * len(keep), pa.int64()), "b": pa.array(keep, pa.int64()), "jaccard": pa.array(jaccard, pa.float64())})
 
     return run
 
 
-def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """(a, b, jaccard) of the pairs (a, b) that reach the threshold; each text travels to its leaders once for STAR members."""
-    star = F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), F.ceil(F.count("*").over(Window.partitionBy("a")) / STAR)))
-    members = pairs.select("a", "b", star.alias("part"))
-    ends = members.select(F.col("a").alias("leader"), "part", F.col("b").alias("doc_id"), F.lit(False).alias("is_leader")).union(
-        members.select("a", "part").distinct().select("a", "part", "a", F.lit(True))
-    )
-    texts = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """(a, b, jaccard) of the pairs (a, b) of nodes that reach the threshold; each text travels to its leaders once for STAR members."""
+    large = pairs.groupBy("a").count().filter(F.col("count") > STAR).select("a", F.ceil(F.col("count") / STAR).alias("parts"))
+    members = pairs.join(large, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).alias("part"))
+    ends = members.select(F.col("a").alias("leader"), "part", F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")).filter("rep is not null and text is not null")
     return (
-        ends.join(reps.select("doc_id", "lo", "hi"), "doc_id")
-        .join(texts, "doc_id")
+        ends.join(classes.select("node", "rep", "lo", "hi"), "node")
+        .join(texts, "rep")
         .groupBy("leader", "part")
         .applyInArrow(_overlap(shingle, threshold), "a long, b long, jaccard double")
         .distinct()
     )
 
 
-def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
-    """(node, root): root is the least node of the component. Alternating large-star and small-star steps until nothing changes."""
-    now = scratch.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "star")
+def roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, least node of each one's component) of the edges (u, v)."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    x, y = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        a, b = root[x], root[y]
+        open_ = a != b
+        if not open_.any():
+            return nodes, nodes[root]
+        x, y, a, b = x[open_], y[open_], a[open_], b[open_]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a partition as stars around the least node of each of their components."""
+    u, v, held = [], [], 0
+
+    def star() -> tuple[np.ndarray, np.ndarray]:
+        nodes, root = roots(np.concatenate(u), np.concatenate(v))
+        return nodes[nodes != root], root[nodes != root]
+
+    for batch in batches:
+        u.append(batch.column(0).to_numpy()), v.append(batch.column(1).to_numpy())
+        held += len(batch)
+        if held > LOCAL_EDGES:
+            u, v = ([x] for x in star())
+            if len(u[0]) > LOCAL_EDGES // 2:  # a forest that doesn't get smaller
+                yield pa.RecordBatch.from_arrays([pa.array(u[0]), pa.array(v[0])], names=["u", "v"])
+                u, v = [], []
+            held = sum(map(len, u))
+    if u:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in star()], names=["u", "v"])
+
+
+def components(scratch: Scratch, edges: DataFrame, *, local: int = LOCAL_EDGES) -> DataFrame:
+    """(node, root): root is the least node of the component. Edges are contracted within partitions; while more than local are left, large-star and small-star steps alternate until nothing changes."""
+    now = scratch.keep(edges.select("a", "b").filter("a <> b").mapInArrow(_contract, "u long, v long"), "star")
     last = None
     while True:
-        both = now.union(now.select("v", "u")).toDF("u", "v")
-        least = F.least(F.col("u"), F.min("v").over(Window.partitionBy("u")))
-        now = both.select("u", "v", least.alias("m")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        lower = now.withColumn("m", F.min("v").over(Window.partitionBy("u")))
-        now = lower.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
-        now = scratch.keep(now, "star")
+        size = now.count()
+        if size <= local:
+            return scratch.keep(now.coalesce(1).mapInArrow(_contract, "u long, v long").toDF("node", "root"), "roots")
         mark = tuple(now.select(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)), F.coalesce(F.sum(F.col("v").cast("decimal(38,0)")), F.lit(0))).first())
         if mark == last:
             return now.toDF("node", "root")
         last = mark
+        both = now.union(now.select("v", "u")).toDF("u", "v")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        now = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        lower = now.join(now.groupBy("u").agg(F.min("v").alias("m")), "u")
+        now = lower.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
+        now = scratch.keep(now, "star")
 
 
 def near_duplicates(
-    spark: SparkSession, docs: DataFrame, *, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, scratch: Scratch | None = None
+    spark: SparkSession, docs: DataFrame, *, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, local: int = LOCAL_EDGES, scratch: Scratch | None = None
 ) -> DataFrame:
     """(doc_id, keeper): each document that has a near duplicate of a lesser doc_id in its group, and the least doc_id of the group.
 
-    Groups are the connected components of the pairs that share a band and reach the threshold. Within a bucket first all
-    members are verified against the least one; then every pair still in different groups is, so that no pair that could
-    join two groups is left out, while pairs inside a group that is already joined cost nothing.
+    Equal multisets are one node. Groups are the connected components of the nodes that share a band and reach the threshold,
+    or a doc_id. Within a bucket first all members are verified against the least one; then every pair still in different
+    groups is, so that no pair that could join two groups is left out, while pairs inside a group that is already joined cost nothing.
     """
     scratch = scratch or Scratch(spark)
     signed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null").mapInArrow(_sign(shingle, bands, rows), "doc_id long, lo long, hi long, bands array<long>")
     signed = scratch.keep(signed, "signed")
-    equal = Window.partitionBy("lo", "hi")
-    ranked = scratch.keep(signed.select("doc_id", "lo", "hi", F.min("doc_id").over(equal).alias("rep")).distinct(), "ranked")
-    reps = ranked.filter("doc_id = rep").select("doc_id", "lo", "hi")
-    bucket = signed.join(reps, ["doc_id", "lo", "hi"], "left_semi").select("doc_id", F.explode("bands").alias("bucket")).distinct()
-    bucket = bucket.withColumns({"least": F.min("doc_id").over(Window.partitionBy("bucket")), "size": F.count("*").over(Window.partitionBy("bucket"))})
-    bucket = scratch.keep(bucket.filter("size > 1").select("doc_id", "bucket", "least"), "bucket")
-    stars = scratch.keep(bucket.filter("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
-    edges = scratch.keep(verified(docs, reps, stars, shingle, threshold).select("a", "b"), "edges")
-    groups = components(scratch, edges)
-    named = bucket.join(groups, bucket["doc_id"] == groups["node"], "left").select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    mixed = named.withColumns({"lo": F.min("root").over(Window.partitionBy("bucket")), "hi": F.max("root").over(Window.partitionBy("bucket"))}).filter("lo < hi").select("bucket", "doc_id", "root")
-    mixed = scratch.keep(mixed, "mixed")
+    classes = signed.groupBy("lo", "hi").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")).select(F.monotonically_increasing_id().alias("node"), "lo", "hi", "rep", "size")
+    classes = scratch.keep(classes, "classes")
+    # the bands come from the row of the representative; one doc_id may have several rows of a class
+    named = signed.join(classes.select("node", "lo", "hi", F.col("rep").alias("doc_id")), ["lo", "hi", "doc_id"])
+    bucket = scratch.keep(named.select("node", F.explode("bands").alias("bucket")), "rows")
+    shared = bucket.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("bucket", "least")
+    bucket = scratch.keep(bucket.join(shared, "bucket"), "bucket")
+    stars = scratch.keep(bucket.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    edges = scratch.keep(verified(docs, classes, stars, shingle, threshold).select("a", "b"), "edges")
+    # nodes of a doc_id that has several texts; a class of one row takes part in this too
+    members = signed.select("doc_id", "lo", "hi").join(classes.select("node", "lo", "hi", "rep"), ["lo", "hi"]).select("doc_id", "node")
+    members = scratch.keep(members, "members")
+    several = members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("most")).filter("a < most").select("doc_id", "a")
+    same = scratch.keep(members.join(several, "doc_id").select("a", F.col("node").alias("b")).filter("a <> b"), "same")
+    edges = edges.union(same)
+    groups = components(scratch, edges, local=local)
+    rooted = bucket.join(groups, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    open_ = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
+    mixed = scratch.keep(rooted.join(open_, "bucket").distinct(), "mixed")
     x, y = mixed.alias("x"), mixed.alias("y")
-    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root")))
-    rest = rest.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    rest = scratch.keep(verified(docs, reps, scratch.keep(rest, "pairs"), shingle, threshold).select("a", "b"), "edges")
-    same = ranked.filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    final = components(scratch, edges.union(rest).union(same))
-    result = scratch.keep(final.select(F.col("node").alias("doc_id"), F.col("root").alias("keeper")), "near")
-    scratch.drop("signed", "ranked", "bucket", "pairs", "edges", "mixed", "star")
+    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")))
+    rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    rest = scratch.keep(verified(docs, classes, scratch.keep(rest, "pairs"), shingle, threshold).select("a", "b"), "edges")
+    final = components(scratch, edges.union(rest), local=local)
+    placed = members.join(final, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    keeper = placed.groupBy("root").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("most")).filter("keeper < most").select("root", "keeper")
+    result = scratch.keep(placed.join(keeper, "root").filter("doc_id <> keeper").select("doc_id", "keeper").distinct(), "near")
+    scratch.drop("signed", "classes", "rows", "bucket", "pairs", "edges", "members", "same", "mixed", "star", "roots")
     return result
 
 
