@@ -2,14 +2,14 @@
 
 A blob is a text under its SHA-256. The ledger has the rule versions that each blob was scanned for; only pairs of
 blob and rule version that are not in it are scanned, once per blob however many paths hold it, and the findings are
-joined back to all paths. Secrets leave as their SHA-256 only.
+joined back to all paths. The ledger is asked by blob ids, before any text moves: a scan with nothing new moves none,
+one with few new blobs only theirs. Secrets leave as their SHA-256 only.
 
 * null text: no blob. Null doc_id: its findings have a null doc_id. Repeated rows give each finding once.
 * an empty text is a blob without findings. An empty table gives an empty result; other columns are not read by scan().
 * a scan that dies between its two writes leaves findings without their ledger rows: the next scans those blobs again
   and the findings, equal to the old ones, count once.
-* redaction takes a private key from its BEGIN line through its END line, or to the end of a text that has none; a
-  finding of one has the SHA-256 of its BEGIN line, as in the SQL.
+* a private key is a match from its BEGIN line through its END line, or to the end of a text that has none.
 """
 
 from __future__ import annotations
@@ -41,14 +41,14 @@ RULES = (
     Rule("aws_access_key", 1, "AKIA[0-9A-Z]{16}"),
     Rule("assigned_token", 1, "(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Aa]pi_?[Kk]ey|API_?KEY)[ \t]*[=:][ \t]*[\"']?[0-9A-Za-z_/+-]{16,}"),
     Rule("password", 1, "(?:[Pp]assword|PASSWORD|[Pp]asswd)[ \t]*[=:][ \t]*[\"']?[^ \t\r\n\"']{8,}"),
-    Rule("private_key", 1, "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", 2, "-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?s:.)*?-----END [A-Z ]*PRIVATE KEY-----|(?s:.)*)"),
     Rule("github_token", 1, "gh[pousr]_[0-9A-Za-z]{36}"),
     Rule("slack_token", 1, "xox[abprs]-[0-9A-Za-z-]{10,}"),
     Rule("google_key", 1, "AIza[0-9A-Za-z_-]{35}"),
     Rule("jwt", 1, "eyJ[0-9A-Za-z_-]{8,}[.][0-9A-Za-z_-]{8,}[.][0-9A-Za-z_-]{8,}"),
 )
-#: What goes in redaction, by rule, where that is more than the match that identifies the secret: a key's whole block.
-WHOLE = {"private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?s:.)*?-----END [A-Z ]*PRIVATE KEY-----|(?s:.)*)"}
+#: New blobs (some 150 bytes each) up to which their ids are broadcast, so that only their texts move; with more, all texts do.
+BROADCAST_BLOBS = 100_000
 FINDINGS = "blob_id string, rule string, rule_version int, secret_sha256 string, occurrences long"
 _MATCHES = "array<struct<rule:string,rule_version:int,secret_sha256:string>>"
 LEDGER = "blob_id string, rules array<string>"
@@ -80,31 +80,37 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return blobs.select("blob_id", F.explode(found).alias("f")).groupBy("blob_id", "f.rule", "f.rule_version", "f.secret_sha256").agg(F.count("*").alias("occurrences"))
 
 
-def scan(spark: SparkSession, versions: DataFrame, *, rules: tuple[Rule, ...] = RULES, ledger: str | None = None, scratch: Scratch | None = None) -> DataFrame:
+def scan(spark: SparkSession, versions: DataFrame, *, rules: tuple[Rule, ...] = RULES, ledger: str | None = None, broadcast_blobs: int = BROADCAST_BLOBS, scratch: Scratch | None = None) -> DataFrame:
     """FINDINGS of the blobs of versions (of which it reads the column text), new ones and those of earlier scans.
 
     ledger: a folder that keeps the scans' findings and the ledger; without one, nothing counts as seen.
     """
     scratch = scratch or Scratch(spark)
     keys = F.array(*[F.lit(r.key) for r in rules])
-    blobs = versions.select(F.col("text").cast("string")).filter("text is not null").select(blob_id(F.col("text")).alias("blob_id"), "text")
-    blobs = blobs.repartition("blob_id").dropDuplicates(["blob_id"])
-    seen, old = _read(spark, ledger and f"{ledger}/seen", LEDGER), _read(spark, ledger and f"{ledger}/findings", FINDINGS)
-    if seen is not None:
-        had = seen.groupBy("blob_id").agg(F.flatten(F.collect_list("rules")).alias("had"))
-        blobs = blobs.join(had, "blob_id", "left").withColumn("todo", F.array_except(keys, F.coalesce("had", F.array().cast("array<string>")))).filter(F.size("todo") > 0)
-    else:
-        blobs = blobs.withColumn("todo", keys)
-    new = scan_blobs(blobs, rules)
+    texts = versions.select(F.col("text").cast("string")).filter("text is not null").select(blob_id(F.col("text")).alias("blob_id"), "text")
+    once = lambda df: df.repartition("blob_id").dropDuplicates(["blob_id"])
     if ledger is None:
-        return new
-    new = scratch.keep(new, "new")
-    marks = scratch.keep(blobs.select("blob_id", F.col("todo").alias("rules")), "marks")
-    new.write.mode("append").parquet(f"{ledger}/findings")
-    marks.write.mode("append").parquet(f"{ledger}/seen")
-    wanted = spark.createDataFrame([(r.name, r.version) for r in rules], "rule string, rule_version int")
-    known = new if old is None else spark.read.schema(FINDINGS).parquet(f"{ledger}/findings").join(F.broadcast(wanted), ["rule", "rule_version"]).distinct()
-    return known.join(versions.filter("text is not null").select(blob_id(F.col("text").cast("string")).alias("blob_id")).distinct(), "blob_id", "left_semi").select(*new.columns)
+        return scan_blobs(once(texts).withColumn("todo", keys), rules)
+    ids = scratch.keep(texts.select("blob_id").distinct(), "ids")
+    seen, old = _read(spark, f"{ledger}/seen", LEDGER), _read(spark, f"{ledger}/findings", FINDINGS)
+    todo = ids.withColumn("todo", keys)
+    if seen is not None:
+        had = seen.join(ids, "blob_id", "left_semi").groupBy("blob_id").agg(F.flatten(F.collect_list("rules")).alias("had"))
+        todo = ids.join(had, "blob_id", "left").select("blob_id", F.array_except(keys, F.coalesce("had", F.array().cast("array<string>"))).alias("todo")).filter(F.size("todo") > 0)
+    todo = scratch.keep(todo, "todo")
+    many = todo.count()
+    if many:
+        blobs = once(texts.join(F.broadcast(todo), "blob_id")) if many <= broadcast_blobs else once(texts).join(todo, "blob_id")
+        new = scratch.keep(scan_blobs(blobs, rules), "new")
+        new.write.mode("append").parquet(f"{ledger}/findings")
+        todo.select("blob_id", F.col("todo").alias("rules")).write.mode("append").parquet(f"{ledger}/seen")
+        if old is None:
+            return new
+    elif old is None:
+        return spark.createDataFrame([], FINDINGS)
+    wanted = F.broadcast(spark.createDataFrame([(r.name, r.version) for r in rules], "rule string, rule_version int"))  # a row per rule
+    known = spark.read.schema(FINDINGS).parquet(f"{ledger}/findings").join(wanted, ["rule", "rule_version"]).join(ids, "blob_id", "left_semi")
+    return known.select("blob_id", "rule", "rule_version", "secret_sha256", "occurrences").distinct()
 
 
 def findings_by_path(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
@@ -115,7 +121,7 @@ def findings_by_path(spark: SparkSession, docs: DataFrame, **options) -> DataFra
 
 def redacted(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """All rules' matches in the original text replaced; those that overlap go as one, under the name of the rule that starts first."""
-    patterns = [(r.name, re.compile(WHOLE.get(r.name, r.pattern))) for r in rules]
+    patterns = [(r.name, re.compile(r.pattern)) for r in rules]
 
     def one(value: str) -> str:
         spans = sorted((m.start(), -m.end(), k) for k, (_, p) in enumerate(patterns) for m in p.finditer(value))
@@ -144,7 +150,11 @@ def redact(spark: SparkSession, docs: DataFrame, *, rules: tuple[Rule, ...] = RU
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings_by_path(spark, table(spark, sf_dir, "documents"))
+    """Two scans through one ledger: the first fills it, the second, of the same versions, finds nothing new and answers from it."""
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
+    ledger = f"{scratch.base}/ledger"
+    scan(spark, docs, ledger=ledger, scratch=scratch)
+    return findings_by_path(spark, docs, ledger=ledger, scratch=scratch)
 
 
 def _sql(pattern: str) -> str:

@@ -215,6 +215,25 @@ def test_the_ledger_scans_only_what_is_new(spark, tmp_path):
     assert every == {tuple(r) for r in secrets.findings_by_path(spark, more, rules=rules).collect()}
     scanned = spark.read.parquet(f"{ledger}/seen").filter(F.array_contains("rules", rules[0].key)).count()
     assert scanned == seen + 1  # the first rule met the one new blob only
+    shuffled = f"file://{tmp_path}/shuffled"
+    for docs_, rules_ in ((docs, rules[:1]), (more, rules), (more, rules)):
+        last = {tuple(r) for r in secrets.findings_by_path(spark, docs_, rules=rules_, ledger=shuffled, broadcast_blobs=0).collect()}
+    assert last == every and spark.read.parquet(f"{shuffled}/seen").count() == spark.read.parquet(f"{ledger}/seen").count()
+
+
+def test_a_scan_with_nothing_new_reads_no_text(spark, tmp_path, monkeypatch):
+    docs, ledger = _secret_docs(spark), f"file://{tmp_path}/ledger"
+    first = {tuple(r) for r in secrets.scan(spark, docs, ledger=ledger).collect()}
+
+    def none(*_):
+        raise AssertionError("a text is scanned again")
+
+    monkeypatch.setattr(secrets, "scan_blobs", none)
+    assert {tuple(r) for r in secrets.scan(spark, docs, ledger=ledger).collect()} == first
+    empty = f"file://{tmp_path}/empty"
+    monkeypatch.undo()
+    for _ in range(2):
+        assert secrets.scan(spark, docs.filter("doc_id = 4"), ledger=empty).count() == 0 == secrets.scan(spark, docs.limit(0), ledger=empty).count()
 
 
 def test_secrets_are_redacted(spark, hard, nothing):
