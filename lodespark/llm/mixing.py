@@ -92,7 +92,8 @@ def place(spark: SparkSession, docs: DataFrame, *, weights: dict[str, int] | Non
     turns = turns.filter(F.col("slot") < end).select("slot", "source", F.pmod("turn", "blocks").alias("block"), F.floor(F.col("turn") / F.col("blocks")).alias("epoch"))
     late = sizes.select("source").join(turns.select("source").distinct(), "source", "left_anti")
     late = late.select((F.row_number().over(Window.orderBy("source")) + (end - 1)).cast("long").alias("slot"), "source", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("epoch"))
-    return turns.union(late).join(cut, ["source", "block"]).select("slot", "epoch", "source", "block", "doc_id", "n_tokens", "key")
+    # a row per slot: its files are small enough for a broadcast long after the rows aren't
+    return turns.union(late).join(cut.hint("merge"), ["source", "block"]).select("slot", "epoch", "source", "block", "doc_id", "n_tokens", "key")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, *, weights: dict[str, int] | None = None, block: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
