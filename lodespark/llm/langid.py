@@ -1,7 +1,7 @@
 """Language by compression: the language whose raw-content dictionary makes a text's zstandard frame smallest.
 
 Texts are lower-cased. A dictionary is the whole texts of a bounded number of labelled documents (PER_LANGUAGE of at most LONGEST
-characters, by the hash of their doc_id), up to DICTIONARY bytes. A text is rejected when the runner-up's frame is not
+characters, by the hash of their doc_id), in the order of their ids; one that would exceed DICTIONARY bytes is left out. A text is rejected when the runner-up's frame is not
 larger than the best by MARGIN of its own size and by MARGIN_BYTES. A dictionary saves a bounded number of bytes only, so a
 text of over PIECE bytes is compressed in pieces of so many that together cover it, each with the dictionary anew; a
 frame's size is then the sum over the pieces, and the margin doesn't depend on the text's length.
@@ -40,8 +40,10 @@ def dictionaries(docs: DataFrame, *, per_language: int = PER_LANGUAGE, dictionar
     wanted, content = set(ids), {}
     for r in sorted(rows, key=lambda r: (str(r.lang), r.doc_id, r.text or "")):
         if (r.doc_id, r.lang) in wanted and r.text:
-            content[r.lang] = content.get(r.lang, b"") + r.text.lower().encode() + b"\n"
-    return {lang: content[lang][:dictionary] for lang in sorted(content)}
+            raw = r.text.lower().encode("utf-8", "replace") + b"\n"
+            if not content.get(r.lang) or len(content[r.lang]) + len(raw) <= dictionary:
+                content[r.lang] = content.get(r.lang, b"") + raw
+    return {lang: content[lang] for lang in sorted(content)}
 
 
 class Classifier:
