@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lodespark.llm import langid, quality, secrets, toxicity, urls
-from lodespark.llm.common import table
+from lodespark.llm.common import Scratch, table
 
 from .conftest import docs_of, prose
 
@@ -167,21 +167,45 @@ def test_exact_binomial_bound():
 
 
 def test_cutoffs_reject_few_good_documents(spark):
-    docs, labels = table(spark, SMALL, "documents"), table(spark, SMALL, "labels")
+    docs, labels = quality.placed(table(spark, SMALL, "documents"), Scratch(spark)), table(spark, SMALL, "labels")
     chosen = quality.cutoffs(docs, labels, risk=0.3)
     judged = quality.judge(spark, docs, chosen).join(labels, "doc_id").filter("quality = 1 and stratum <> ''")
     rates = judged.groupBy("stratum").agg(F.avg((~F.col("keep")).cast("double")).alias("rate")).collect()
     assert rates and all(r.rate <= 0.3 for r in rates)
 
 
+def test_quality_matches_sql(spark, corpus, hard, nothing):
+    labels = [(i, i % 7 > 0, 0) for i in range(120)] + [(1, 1, 0), (None, 1, 0), (9999, 1, 0), (12, None, None)]
+    junk = [(1000 + i, "".join(c) * 3, lang, "a") for i, (c, lang) in enumerate([("#$%", "en"), ("AB CD ", "fr"), ("12 34 ", None), ("\n same\n", "en"), ("é" * 70, "en")])]
+    many = [(2000 + i, f"{prose(random.Random(i), 40)} line {i}", f"l{i % 40}", "a") for i in range(200)]  # many strata, of few labels
+    con = duckdb.connect()
+    for docs in (corpus[0].union(docs_of(spark, junk + many)), hard, nothing):
+        con.execute("create or replace table documents (doc_id bigint, text varchar, lang varchar)")
+        rows = [tuple(r) for r in docs.select("doc_id", "text", "lang").collect()]
+        con.executemany("insert into documents values (?, ?, ?)", rows) if rows else None
+        con.execute("create or replace table labels (doc_id bigint, quality int, toxic int)")
+        con.executemany("insert into labels values (?, ?, ?)", labels)
+        placed = quality.placed(docs, Scratch(spark))
+        given = spark.createDataFrame([(a, None if b is None else int(b), c) for a, b, c in labels], "doc_id long, quality int, toxic int")
+        for risk, delta in ((2.0, 0.9), (quality.RISK, quality.DELTA)):
+            found = quality.judge(spark, placed, quality.cutoffs(placed, given, risk=risk, delta=delta))
+            wanted = con.execute(quality.oracle(risk, delta))
+            names = [c[0] for c in wanted.description]
+            rows = wanted.fetchall()
+            assert sorted(map(str, rows)) == sorted(str(tuple(r)) for r in found.select(*names).collect())
+            assert risk < 1 or docs is nothing or len({r[names.index("failed")] for r in rows}) > 1
+
+
 def test_quality_of_hard_cases(spark, hard, nothing):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert quality.cutoffs(hard, none) == {} == quality.cutoffs(nothing, none)
-    rows = quality.judge(spark, hard, {}).collect()
+    placed = lambda docs: quality.placed(docs, Scratch(spark))
+    assert quality.cutoffs(placed(hard), none) == {} == quality.cutoffs(placed(nothing), none)
+    rows = quality.judge(spark, placed(hard), {}).collect()
     assert len(rows) == hard.count() and {r.doc_id for r in rows if not r.keep} == {None, 3, 4, 5}
-    assert quality.judge(spark, nothing, {"en": {"digits": 0.1}}).count() == 0
-    tie = quality.judge(spark, docs_of(spark, [(1, "abcd1", "en", "a")]), {"en": {"digits": 0.2}}).collect()
-    assert tie[0].keep  # a value at the cutoff is spared
+    assert quality.judge(spark, placed(nothing), {"en": {"digits": 51}}).count() == 0
+    (digits,) = [r for r in quality.RULES if r.name == "digits"]
+    judged = lambda text, cut: quality.judge(spark, placed(docs_of(spark, [(1, text, "en", "a")])), {"en": {"digits": digits.grid.index(cut) + 1}}).first()
+    assert judged("abcd1", 0.2).keep and judged("abcd1", 0.19).failed == "digits"  # a value at the cutoff is spared
 
 
 _KEY = "AKIA" + "A1B2C3D4E5F6G7H8"
@@ -295,9 +319,9 @@ def test_the_bloom_filter_misses_nothing_and_passes_little(spark):
 
 def test_sql_agrees_on_the_small_tables(spark):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels"):
         con.execute(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
-    for sql, query in ((secrets.ORACLE, secrets.op5_secrets), (urls.ORACLE, urls.op10_urls)):
+    for sql, query in ((secrets.ORACLE, secrets.op5_secrets), (urls.ORACLE, urls.op10_urls), (quality.ORACLE, quality.op7_quality)):
         wanted = con.execute(sql)
         names = [c[0] for c in wanted.description]
         rows = sorted(map(str, wanted.fetchall()))
