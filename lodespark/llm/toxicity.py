@@ -15,7 +15,7 @@ more reach a score. A document is toxic if P = 1 - exp(-that), of its best segme
 most LEVEL; each of its segments that is itself significant is returned.
 
 * null doc_id, null, empty or wordless text: no row. Labels that are null or of unknown documents don't count; a
-  doc_id labelled both ways counts as toxic. Repeated rows (doc_id, text) are scored once.
+  doc_id labelled both ways counts as toxic. Repeated rows (doc_id, text) count once, in the fit too.
 * all labels are used, however many; over BROADCAST_LABELS they are joined by shuffle. No toxic label, or an empty table: nothing is toxic, the result is empty. Other columns are not read.
 """
 
@@ -32,7 +32,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
-from .common import words as words_in
 from .textkeys import U, mix, word_hashes
 
 ALPHA, Z, MIN_CONTEXTS, DRIFT, LEVEL, HELD = 0.01, 3.0, 3, 0.5, 0.005, 5
@@ -40,6 +39,10 @@ ALPHA, Z, MIN_CONTEXTS, DRIFT, LEVEL, HELD = 0.01, 3.0, 3, 0.5, 0.005, 5
 BROADCAST_LABELS = 200_000
 #: Classes of a score of 1, in the fit of K.
 CLASSES = 8
+#: Candidates of lambda in one pass.
+RATES = 32
+#: Repeated (doc_id)s up to which they are broadcast to be looked at; with more, the whole table is shuffled.
+BROADCAST_REPEATS = 100_000
 #: Words of a model that is broadcast (16 bytes each); a larger one is joined with the tokens.
 BROADCAST_WORDS = 1_000_000
 BATCH = 1024
@@ -110,14 +113,14 @@ def log_odds(docs: DataFrame, *, alpha: float = ALPHA, z: float = Z, min_context
     m1, m0 = (float(x or 0) for x in model.agg(F.sum("p1"), F.sum("p0")).first())
     other = log(max(1 - m1, 1e-9) / max(1 - m0, 1e-9)) - drift
     # sum of p0 exp(rate (odds - drift)) is 1 at 0 and at lambda, which is 1 at least, as the drift is not negative
-    low, high = 1.0, 1.0
-    value = lambda r: float(model.agg(F.sum(F.col("p0") * F.exp(r * (F.col("odds") - drift)))).first()[0] or 0) + (1 - m0) * exp(r * other)
-    if m1 > 0:
-        while value(high) < 1 and high < 64:
-            low, high = high, high * 2
-        for _ in range(12):
-            middle = (low + high) / 2
-            low, high = (middle, high) if value(middle) < 1 else (low, middle)
+    low, high = 1.0, 64.0
+    for _ in range(3 if m1 > 0 else 0):  # each pass over the model sums up RATES candidates at once
+        rates = [low + (high - low) * (k / RATES) ** 2 for k in range(RATES + 1)]
+        sums = model.agg(*[F.sum(F.col("p0") * F.exp(F.lit(r) * (F.col("odds") - drift))) for r in rates]).first()
+        below = [k for k, (r, v) in enumerate(zip(rates, sums, strict=True)) if float(v or 0) + (1 - m0) * exp(r * other) < 1]
+        k = min(below[-1] if below else 0, RATES - 1)
+        low, high = rates[k], rates[k + 1]
+    low = low if m1 > 0 else 1.0
     return model.select("word", (F.col("odds") - drift).alias("score")), other, low
 
 
@@ -233,12 +236,31 @@ def segments(spark: SparkSession, docs: DataFrame, words: DataFrame, other: floa
     return docs.join(scored, "doc_id").select("doc_id", "text", "own").mapInArrow(run, SEGMENTS)
 
 
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for k in range(0, len(whole), BATCH):
+            offsets, _ = word_hashes(whole.slice(k, BATCH).column("text").to_pylist())
+            yield pa.RecordBatch.from_pydict({"tokens": pa.array([int(offsets[-1])], pa.int64()), "docs": pa.array([len(offsets) - 1], pa.int64())})
+
+
+def once(docs: DataFrame, scratch: Scratch, *, broadcast_repeats: int = BROADCAST_REPEATS) -> DataFrame:
+    """docs (doc_id, text) without repeated rows; only the rows of repeated ids move."""
+    again = scratch.keep(docs.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
+    n = again.count()
+    if n > broadcast_repeats:
+        return docs.repartition("doc_id").dropDuplicates(["doc_id", "text"])
+    if not n:
+        return docs
+    return docs.join(F.broadcast(again), "doc_id", "left_anti").union(docs.join(F.broadcast(again), "doc_id", "left_semi").repartition("doc_id").dropDuplicates(["doc_id", "text"]))
+
+
 def toxic_passages(
-    spark: SparkSession, docs: DataFrame, labels: DataFrame, *, level: float = LEVEL, alpha: float = ALPHA, z: float = Z, drift: float = DRIFT, broadcast_labels: int = BROADCAST_LABELS, broadcast_words: int = BROADCAST_WORDS, scratch: Scratch | None = None
+    spark: SparkSession, docs: DataFrame, labels: DataFrame, *, level: float = LEVEL, alpha: float = ALPHA, z: float = Z, drift: float = DRIFT, broadcast_labels: int = BROADCAST_LABELS, broadcast_words: int = BROADCAST_WORDS, broadcast_repeats: int = BROADCAST_REPEATS, scratch: Scratch | None = None
 ) -> DataFrame:
     """(doc_id, start_token, end_token, score, expected, p_value, passage): the significant passages of toxic documents, p_value being the document's."""
     scratch = scratch or Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null and text is not null")
+    docs = once(docs, scratch, broadcast_repeats=broadcast_repeats)
     labels = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     labels = scratch.keep(labels, "labels")
     small = F.broadcast if labels.count() <= broadcast_labels else lambda df: df
@@ -246,7 +268,8 @@ def toxic_passages(
     words, other, rate = log_odds(docs.join(small(labels.filter(~held)), "doc_id", "left").select("text", (F.col("toxic") > 0).alias("toxic")), alpha=alpha, z=z, drift=drift, scratch=scratch)
     found = scratch.keep(segments(spark, docs, words, other, broadcast_words=broadcast_words).distinct(), "segments")
     clean = small(labels.filter(held).select("doc_id"))
-    tokens, size = docs.join(clean, "doc_id").agg(F.coalesce(F.sum(words_in("text")), F.lit(0)), F.count("*")).first()
+    sizes = docs.join(clean, "doc_id").select("text").mapInArrow(_sizes, "tokens long, docs long")  # tokens as in n_tokens
+    tokens, size = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("docs"), F.lit(0))).first()
     # documents by the class of their best score, of width 1 / CLASSES: a bounded number of rows
     best = found.join(clean, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("score").alias("score"))
     k, above, least = 0.0, 0, words.agg(F.min("score")).first()[0] or 0.0
@@ -260,7 +283,7 @@ def toxic_passages(
     best = F.min("expected").over(Window.partitionBy("doc_id"))
     result = found.withColumn("p_value", -F.expm1(-best)).filter((F.col("p_value") <= level) & (F.col("expected") <= level))
     result = scratch.keep(result.select("doc_id", "start_token", "end_token", "score", "expected", "p_value", "passage"), "toxic")
-    scratch.drop("counts", "model", "segments", "labels")
+    scratch.drop("counts", "model", "segments", "labels", "again")
     return result
 
 

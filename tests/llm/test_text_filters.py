@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 from fractions import Fraction
 from math import comb
 
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from lodespark.llm import langid, quality, secrets, toxicity, urls
 from lodespark.llm.common import Scratch, table
 
-from .conftest import docs_of, prose
+from .conftest import docs_of, prose, tokens
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -143,12 +145,65 @@ def test_a_run_of_one_word_adds_little():
     assert np.nansum(scores) < 5 * sum(1 / k for k in range(1, 20))
 
 
+def test_repeated_rows_and_separators_change_nothing(spark):
+    docs, labels = _toxic_corpus(spark)
+    rows = lambda d, **o: sorted(tuple(r) for r in toxicity.toxic_passages(spark, d, labels, **o).collect())
+    wanted = rows(docs)
+    assert wanted and rows(docs.union(docs).union(docs)) == wanted == rows(docs.union(docs.filter("doc_id % 9 = 0")), broadcast_repeats=3)
+    joined = rows(docs.withColumn("text", F.replace("text", F.lit(" "), F.lit("-"))))
+    assert [r[:6] for r in joined] == [r[:6] for r in wanted]
+
+
+def test_the_fit_matches_plain_sums(spark):
+    """Scores, lambda, K and p-values from dicts of words."""
+    docs, labels = _toxic_corpus(spark)
+    held = {r.doc_id for r in labels.filter((F.col("toxic") == 0) & (F.pmod(F.xxhash64("doc_id"), F.lit(toxicity.HELD)) == 0)).collect()}
+    toxic = {r.doc_id: r.toxic for r in labels.filter("doc_id < 7000 and toxic is not null").collect()}
+    texts = {r.doc_id: tokens(r.text) for r in docs.collect()}
+    corpus, clean, contexts = Counter(), Counter(), set()
+    for i, w in texts.items():
+        corpus.update(w)
+        if i in toxic and toxic[i] == 0 and i not in held:
+            clean.update(w)
+        if toxic.get(i) == 1:
+            for k, x in enumerate(w):
+                near = (w[k - 1] if k else None, w[k + 1] if k + 1 < len(w) else None)
+                contexts.add((x, None if x in near else near))
+    bad, inner = Counter(x for x, _ in contexts), Counter(x for x, c in contexts if c)
+    n0, n1 = sum(clean.values()), sum(bad.values())
+    alpha = toxicity.ALPHA * (n0 + n1)
+    model, m0, m1 = {}, 0.0, 0.0
+    for x, t in bad.items():
+        prior = alpha * corpus[x] / sum(corpus.values())
+        p1, p0 = (t + prior) / (n1 + alpha), (clean[x] + prior) / (n0 + alpha)
+        odds = math.log(p1 / p0)
+        if inner[x] >= toxicity.MIN_CONTEXTS and odds / math.sqrt(1 / (t + prior) + 1 / (clean[x] + prior)) >= toxicity.Z and odds > toxicity.DRIFT:
+            model[x], m0, m1 = (odds - toxicity.DRIFT, p0), m0 + p0, m1 + p1
+    other = math.log((1 - m1) / (1 - m0)) - toxicity.DRIFT
+    value = lambda r: sum(p0 * math.exp(r * s) for s, p0 in model.values()) + (1 - m0) * math.exp(r * other)
+    low, high = 1.0, 64.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if value(middle) < 1 else (low, middle)
+    used = labels.filter("doc_id is not null and toxic is not null").filter(~F.col("doc_id").isin(sorted(held)))
+    fitted, rest, rate = toxicity.log_odds(docs.join(used, "doc_id", "left").select("text", (F.col("toxic") > 0).alias("toxic")), scratch=Scratch(spark))
+    assert set(model) == {"blarg", "snorf", "grulk", "vlimp"} and np.allclose(sorted(r.score for r in fitted.collect()), sorted(s for s, _ in model.values()))
+    assert abs(rest - other) < 1e-9 and abs(rate - low) < 1e-3 * low
+    found = toxicity.toxic_passages(spark, docs, labels).collect()
+    k = {round(r.expected * math.exp(rate * r.score) / len(texts[r.doc_id]) / 1e-12) for r in found}
+    assert max(k) - min(k) <= 1e-6 * max(k) + 1  # one K for all
+    for i in {r.doc_id for r in found}:
+        least = min(r.expected for r in found if r.doc_id == i)
+        assert all(abs(r.p_value - (1 - math.exp(-least))) < 1e-9 for r in found if r.doc_id == i)
+
+
 def test_toxicity_of_hard_cases(spark, hard, nothing):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     some = spark.createDataFrame([(1, 1, 1), (7, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int")
     for docs in (hard, nothing):
         assert toxicity.toxic_passages(spark, docs, none).count() == 0
-        toxicity.toxic_passages(spark, docs, some).count()
+        # the toxic label's words have a context each, under MIN_CONTEXTS, so the model is empty
+        assert toxicity.toxic_passages(spark, docs, some).count() == 0
 
 
 def test_exact_binomial_bound():
