@@ -321,7 +321,7 @@ def _search(block, average: float, depth: int):
                         hit, to = hit[other], to[other]
                         found.append((hit, score[other], row[to], ids[to], known[to], ident[to], length[to]))
                         held += len(hit)
-                        if held > 4 * depth * max(1 << 14, len(q.row)):
+                        if held > max(CELLS // 2, 2 * depth * len(q.row)):
                             found = [tuple(best(found))]
                             held = len(found[0][0])
         if held:
