@@ -89,6 +89,7 @@ def placed(docs: DataFrame, scratch: Scratch) -> DataFrame:
     blank = ~F.coalesce("text", F.lit("")).rlike(WORD_RE)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("lang"), F.col("text").cast("string"))
     rows = rows.select("doc_id", stratum, blank.alias("blank"), F.xxhash64("text").alias("text"), *[values[r.name].alias(r.name) for r in RULES])
+    rows = scratch.keep(rows, "features")  # else the features would be computed anew for each cutoff
     return scratch.keep(rows.select("doc_id", "stratum", "blank", "text", F.array(*[position(r, F.col(r.name)).cast("int") for r in RULES]).alias("at")), "placed")
 
 
