@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from . import graphs
+from . import graphs, lineage
 from .links import globs, listed
 
 ROW = ["id", "rule", "ord", "text"]
@@ -48,7 +48,7 @@ def scoped_classes(claims: DataFrame, modules: DataFrame, classes: DataFrame) ->
 def forbidden_references(claims: DataFrame, scoped: DataFrame, column: str, label: str, rule: int) -> DataFrame:
     """Imports that start with a forbidden prefix."""
     imports = scoped.select("id", "name", "path", F.col("ord").alias("fact"), F.posexplode(listed("imports")).alias("nth", "import"))
-    hits = imports.join(F.broadcast(_rules(claims, column)), "id").filter("startswith(import, wanted)")
+    hits = imports.join(_rules(claims, column), "id").filter("startswith(import, wanted)")
     text = F.concat(F.lit(f"{label}:"), "wanted", F.lit(" in "), "name", F.lit(" ("), "path", F.lit(")"))
     return hits.select("id", F.lit(rule).alias("rule"), _place("fact", "nth", "at").alias("ord"), text.alias("text"))
 
@@ -59,7 +59,7 @@ def _dependencies(scoped: DataFrame, column: str) -> DataFrame:
 
 def forbidden_dependencies(claims: DataFrame, scoped: DataFrame) -> DataFrame:
     both = scoped.withColumn("deps", F.concat(listed("externalDependencies"), listed("projectDependencies")))
-    hits = _dependencies(both, "deps").join(F.broadcast(_rules(claims, "forbiddenDependencies")), "id").filter("contains(dep, wanted)")
+    hits = _dependencies(both, "deps").join(_rules(claims, "forbiddenDependencies"), "id").filter("contains(dep, wanted)")
     text = F.concat(F.lit("forbidden-dependency:"), "wanted", F.lit(" in module:"), "name", F.lit(" ("), "dep", F.lit(")"))
     return hits.select("id", F.lit(3).alias("rule"), _place("fact", "nth", "at").alias("ord"), text.alias("text"))
 
@@ -67,7 +67,7 @@ def forbidden_dependencies(claims: DataFrame, scoped: DataFrame) -> DataFrame:
 def disallowed_dependencies(claims: DataFrame, scoped: DataFrame) -> DataFrame:
     """External dependencies that contain none of the allowed strings."""
     allowed = claims.filter("allowedDependencies is not null").select("id", "allowedDependencies")
-    bad = _dependencies(scoped, "externalDependencies").join(F.broadcast(allowed), "id").filter(~F.exists("allowedDependencies", lambda a: F.contains(F.col("dep"), a)))
+    bad = _dependencies(scoped, "externalDependencies").join(allowed, "id").filter(~F.exists("allowedDependencies", lambda a: F.contains(F.col("dep"), a)))
     text = F.concat(F.lit("disallowed-dependency:"), "dep", F.lit(" in module:"), "name")
     return bad.select("id", F.lit(4).alias("rule"), _place("fact", "nth").alias("ord"), text.alias("text"))
 
@@ -80,7 +80,7 @@ def project_name(notation: Column) -> Column:
 def disallowed_targets(claims: DataFrame, scoped: DataFrame) -> DataFrame:
     allowed = claims.filter("allowedTargetModules is not null").select("id", "allowedTargetModules")
     deps = _dependencies(scoped, "projectDependencies").withColumn("target", project_name(F.col("dep"))).filter("target is not null")
-    bad = deps.join(F.broadcast(allowed), "id").filter("not array_contains(allowedTargetModules, target)")
+    bad = deps.join(allowed, "id").filter("not array_contains(allowedTargetModules, target)")
     text = F.concat(F.lit("disallowed-target-module:"), "target", F.lit(" from module:"), "name")
     return bad.select("id", F.lit(5).alias("rule"), _place("fact", "nth").alias("ord"), text.alias("text"))
 
@@ -120,7 +120,8 @@ def test_names(tests: DataFrame) -> DataFrame:
 def verified(claims: DataFrame, modules: DataFrame, classes: DataFrame, tests: DataFrame, docs: DataFrame, evidence: DataFrame) -> DataFrame:
     """The claims with status, violations, verificationEvidence and matchedVerifiedBy. Without rules a claim keeps its status, or is unverified."""
     ruled = claims.filter(has_rules())
-    in_modules, in_classes = scoped_modules(ruled, modules), scoped_classes(ruled, modules, classes)
+    in_modules = lineage.cut(scoped_modules(ruled, modules))  # every rule reads the scopes
+    in_classes = lineage.cut(scoped_classes(ruled, modules, classes).select("id", "name", "path", "ord", listed("imports").alias("imports")))
     names = test_names(tests)
     missing_verifiers, verifiers = required(ruled, "verifiedBy", names, 6, "missing-verifier-test", "test")
     missing_tests, found_tests = required(ruled, "requiredTests", names, 7, "missing-required-test", "test")

@@ -226,7 +226,7 @@ def unpivot(row: DataFrame, value: str) -> DataFrame:
 
 def deltas(baseline: DataFrame, current: DataFrame) -> DataFrame:
     """(metric, baseline, current, absolute, percent, ord)."""
-    both = unpivot(current, "current").join(F.broadcast(unpivot(baseline, "baseline").drop("ord")), "metric")
+    both = unpivot(current, "current").join(unpivot(baseline, "baseline").drop("ord"), "metric")
     return both.select("metric", "baseline", "current", (F.col("current") - F.col("baseline")).alias("absolute"), X.percent_delta(F.col("baseline"), F.col("current")).alias("percent"), "ord")
 
 

@@ -300,6 +300,7 @@ _CLAIM = (R.CLAIMS.sql, R.MODULES.sql, R.DEPENDENCIES.sql, R.CLASSES, R.TESTS, R
 _SCOPED = """scoped as (select k.id, m.name, m.ord, d."projectDependencies" as p, d."externalDependencies" as e from claims k join modules m on len(k."scopeModules") = 0 or list_contains(k."scopeModules", m.name) join dependencies d on d.name = m.name),
   inside as (select k.id, c.name, c.path from claims k join classes c on len(k."scopeModules") = 0 or exists (select 1 from scopes s where list_contains(k."scopeModules", s.name) and s.package = c.package))"""
 _FORBIDDEN = """select i.id, 'forbidden-reference:' || w || ' in ' || i.name || ' (' || i.path || ')' as text from inside i join refs r on r.name = i.name join (select id, unnest("forbiddenReferences") as w from claims) k on k.id = i.id where starts_with(r.target, w)"""
+_FORBIDDEN_IMPORTS = _FORBIDDEN.replace("forbidden-reference:", "forbidden-import:")
 _FORBIDDEN_DEPS = """select s.id, 'forbidden-dependency:' || w || ' in module:' || s.name || ' (' || s.dep || ')' as text from (select id, name, unnest(list_concat(e, p)) as dep from scoped) s join (select id, unnest("forbiddenDependencies") as w from claims) k on k.id = s.id where contains(dep, w)"""
 _ALLOW = """select s.id, 'disallowed-dependency:' || dep || ' in module:' || name as text from (select id, name, unnest(e) as dep from scoped) s join claims k on k.id = s.id where "allowedDependencies" is not null and not list_bool_or(list_transform("allowedDependencies", lambda a: contains(dep, a))) is true"""
 _TARGETS = """select s.id, 'disallowed-target-module:' || target || ' from module:' || name as text from (select id, name, regexp_extract(unnest(p), 'project\\([''"]:([^''"]*)[''"]\\)', 1) as target from scoped) s join claims k on k.id = s.id where "allowedTargetModules" is not null and target <> '' and not list_contains("allowedTargetModules", target)"""
@@ -313,11 +314,11 @@ def _required_sql(column: str, known: str, missing: str) -> str:
 _DOC_ROWS = [(r[0], g) for r in R.CLAIMS.rows for g in r[13]]
 _MISSING_DOCS = " union all ".join(f"select '{i}' as id, 'missing-required-doc:{g}' as text where not exists (select 1 from docs where {_glob_sql(g).format('path')})" for i, g in _DOC_ROWS)
 _REQUIRED = " union all ".join([_required_sql("verifiedBy", "known", "missing-verifier-test"), _required_sql("requiredTests", "known", "missing-required-test"), _required_sql("requiredEvidenceTypes", "types", "missing-evidence-type"), _MISSING_DOCS])
-_BAD = f"bad as ({' union all '.join([_FORBIDDEN, _FORBIDDEN_DEPS, _ALLOW, _TARGETS, _REQUIRED])})"
+_BAD = f"bad as ({' union all '.join([_FORBIDDEN, _FORBIDDEN_IMPORTS, _FORBIDDEN_DEPS, _ALLOW, _TARGETS, _REQUIRED])})"
 
 
 def _claims(spark: SparkSession) -> DataFrame:
-    return R.CLAIMS.df(spark).withColumns({"forbiddenImports": F.array().cast("array<string>"), "mustBeAcyclic": F.lit(False)})
+    return R.CLAIMS.df(spark).withColumns({"forbiddenImports": F.col("forbiddenReferences"), "mustBeAcyclic": F.lit(False)})
 
 
 def _verified(spark: SparkSession, d: str) -> DataFrame:
