@@ -2,7 +2,10 @@
 
 The seeds are the documents whose doc_id is divisible by EVERY. Their queries (every distinct term of the text) go in
 blocks of a bounded size to all shards of an inverted index over the whole corpus, and the DEPTH best neighbours of
-all shards come back: exact BM25, no candidate is left out before it is scored. A document is offered to the seed
+all shards come back: exact BM25, no candidate is left out before it is scored. The documents are searched in parts, each
+STEP times as large as all before it; the DEPTH-th best score of a seed so far bounds the score of what the next part has to
+send for it, so a seed gets some STEP * DEPTH rows from a part, in however many tasks it is searched. Rows equal in doc_id
+and text are scored once, as queries and within a batch as documents. A document is offered to the seed
 that scores it highest, and a seed takes its offers in order of score while they fit; what is refused goes to the next
 seed that has it in its list, until nothing moves. What the seeds don't take is packed within topical shards of about SHARD
 documents, each with an index of its own: first the seeds' windows are filled up, then the longest unused document is
@@ -24,7 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from math import ceil, log2
+from math import ceil, log, log2
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +42,12 @@ WINDOW, SHARD, K1, B = 2048, 512, 1.2, 0.75
 EVERY, DEPTH = 50, 32
 #: Most queries and most of their terms in a block, which is broadcast; scores that a task holds at once.
 QUERIES, POSTINGS, CELLS = 8192, 1 << 22, 1 << 20
+#: Documents of the first part of a search at most, and of a task of it; how much larger each further part is than all before it.
+FIRST, FIRST_TASK, STEP = 1 << 14, 2048, 16
+#: Postings (12 bytes each) that a task of the search holds until it scores the candidates in double precision.
+KEPT = 1 << 22
+#: What rounding to three decimals, and sums of float32 in another order, may change of a score: absolute, and as a share of it.
+SLACK = 1e-3, 2e-6
 #: Terms in this share of a group are scored by a matrix product, the others through posting lists; groups of queries.
 COMMON, GROUPS = 1 / 20, 8
 BATCH, BITS = 1024, 10
@@ -46,6 +55,7 @@ COUNTERS = 1 << 20
 #: Split shards (some 40 bytes each) up to which their list is broadcast; beyond, it is joined by shuffle.
 BROADCAST_SHARDS = 100_000
 TERMS = "row long, doc_id long, ident long, n_tokens long, key long, second long, digest long, terms binary, counts binary"
+HITS = "seed long, row long, doc_id long, ident long, n_tokens long, score double"
 PIECES = "window string, slot int, doc_id long, start long, n_tokens long, score double, digest long"
 
 
@@ -90,9 +100,13 @@ def corpus_statistics(docs: DataFrame, scratch: Scratch) -> tuple[int, float, np
     return n, of.get(-2, 0) / max(n, 1), df, counts.filter("term >= 0")
 
 
-def idf(n: int, df: np.ndarray) -> np.ndarray:
+def _idf(n: int, df: np.ndarray) -> np.ndarray:
     df = np.minimum(df, n)
-    return np.log(1 + (n - df + 0.5) / (df + 0.5)).astype(np.float32)
+    return np.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
+def idf(n: int, df: np.ndarray) -> np.ndarray:
+    return _idf(n, df).astype(np.float32)
 
 
 def _index(weights):
@@ -179,7 +193,7 @@ class Queries:
         order = np.argsort(group, kind="stable")
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order))
-        self.row, self.ident = found.column("row").to_numpy()[order], found.column("ident").to_numpy()[order]
+        self.ident = found.column("ident").to_numpy()[order]
         self.query, self.start = rank[query], np.searchsorted(group[order], np.arange(len(self.centres) + 1))
         self.of = group[order].astype(np.int8)
         k = len(self.centres)
@@ -187,6 +201,9 @@ class Queries:
         members = np.diff(self.start)
         self.dense = (often >= np.maximum(members * COMMON, 2)).T.copy()  # group x term
         self.plans: dict[int, tuple] = {}
+        order = np.argsort(self.query, kind="stable")
+        self.listed = self.entry[order]  # the terms of each query, and their idf
+        self.fine, self.begin = _idf(n, df[first])[self.listed], np.searchsorted(self.query[order], np.arange(len(self.ident) + 1))
 
     def groups(self, has: np.ndarray) -> np.ndarray:
         """Nearest centre of each row of has (which of the common terms it has)."""
@@ -228,7 +245,7 @@ class Queries:
     def scores(self, group: int, doc: np.ndarray, at: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
         """Queries x documents of one group: BM25 of every pair; at has the places of the documents' terms, own their impacts."""
         column, parts, query, many, first = self.plan(group)
-        out = np.zeros((len(self.row), n), np.float32)
+        out = np.zeros((len(self.ident), n), np.float32)
         wide = np.flatnonzero(column[at] >= 0)
         block = np.zeros((int(column.max(initial=-1)) + 1, n), np.float32)
         block[column[at[wide]], doc[wide]] = own[wide]
@@ -248,6 +265,22 @@ class Queries:
             np.add.at(flat, query[spot].astype(np.int64) * n + np.repeat(doc[lo:hi], length), np.repeat(own[lo:hi], length))
         return out
 
+    def exact(self, hit: np.ndarray, to: np.ndarray, at: np.ndarray, own: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """The scores of pairs (query, document) in double precision, so that they don't depend on what else was scored with them; document d has the terms cuts[d] to cuts[d + 1]."""
+        out, has = np.zeros(len(hit)), np.zeros(len(self.term))
+        order = np.argsort(to, kind="stable")
+        hit, to = hit[order], to[order]
+        edge = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])).tolist()
+        first, size = self.begin[hit], self.begin[hit + 1] - self.begin[hit]
+        for lo, hi in zip(edge, [*edge[1:], len(hit)], strict=True):
+            mine = slice(cuts[to[lo]], cuts[to[lo] + 1])
+            has[at[mine]] = own[mine]
+            done = np.cumsum(size[lo:hi]) - size[lo:hi]
+            spot = np.repeat(first[lo:hi] - done, size[lo:hi]) + np.arange(done[-1] + size[hi - 1])
+            out[order[lo:hi]] = np.add.reduceat(has[self.listed[spot]] * self.fine[spot], done)
+            has[at[mine]] = 0
+        return out
+
 
 def _centres(has: np.ndarray) -> np.ndarray:
     """Unit vectors of GROUPS groups at most: farthest-first beginnings, then a few steps of spherical k-means."""
@@ -270,35 +303,62 @@ def _centres(has: np.ndarray) -> np.ndarray:
     return centres.astype(np.float32)
 
 
-def _search(block, average: float, depth: int):
-    """The depth best documents of this shard (the task's rows) for every query."""
+def _lowered(score: np.ndarray) -> np.ndarray:
+    """A bound that no score equal to this one when rounded is below."""
+    return (score - np.maximum(SLACK[0], SLACK[1] * score)).astype(np.float32)
+
+
+def _search(block, known_least: np.ndarray, average: float, depth: int):
+    """The depth best documents of this shard (the task's rows) for every query, of those that reach the query's known_least."""
 
-    def best(found: list[tuple]) -> list[np.ndarray]:
-        """The depth best of each query, and what ties with the last of them."""
+    def best(found: list[tuple], spare: bool = False) -> list[np.ndarray]:
+        """The depth best of each query, and what ties with the last of them; with spare also what may be as good if scored exactly."""
         query, score, *rest = (np.concatenate(x) for x in zip(*found, strict=True))
-        key = (query.astype(np.int64) << 42) | ((1 << 42) - 1 - np.round(score * 1000).astype(np.int64).clip(0, (1 << 42) - 1))
-        order = np.argsort(key)
-        key = key[order]
-        first = np.flatnonzero(np.concatenate([[True], (key[1:] >> 42) != (key[:-1] >> 42)]))
-        size = np.diff(np.append(first, len(key)))
-        order = order[key <= np.repeat(key[first + np.minimum(size, depth) - 1], size)]
-        return [x[order] for x in (query, score, *rest)]
+        order = np.argsort((query.astype(np.int64) << 42) | ((1 << 42) - 1 - np.round(score * 1000.0).astype(np.int64).clip(0, (1 << 42) - 1)))
+        query, score = query[order], score[order]
+        first = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]]))
+        size = np.diff(np.append(first, len(query)))
+        last = score[first + np.minimum(size, depth) - 1]
+        good = score >= np.repeat(_lowered(_lowered(last)) if spare else last, size)
+        return [query[good], score[good], *(x[order[good]] for x in rest)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q: Queries = block.value
-        step = max(16, CELLS // max(1, len(q.row)))
-        least, found, held = np.full(len(q.row), 1e-6, np.float32), [], 0
+        step = max(16, CELLS // max(1, len(q.ident)))
+        least, rough, held, settled = known_least.copy(), [], 0, []
+        docs: list[tuple] = []  # what rough points into
+        seen = postings = 0
+
+        def settle() -> None:
+            """Scores in double precision what is left of rough."""
+            nonlocal rough, held, settled, docs, seen, postings
+            if held:
+                hit, _, to = best(rough, True)
+                at, own, size, ids, known, ident, length, many, every = (np.concatenate(x) for x in zip(*docs, strict=True))
+                score = np.round(q.exact(hit, to, at, own, np.concatenate([[0], np.cumsum(size)])), 3)
+                start, size = np.cumsum(many) - many, np.minimum(many, depth)[to]  # of equal rows the first by row come first
+                row = every[np.repeat(start[to] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+                hit, to, score = np.repeat(hit, size), np.repeat(to, size), np.repeat(score, size)
+                settled = [tuple(best([*settled, (hit, score, row, ids[to], known[to], ident[to], length[to])]))]
+            rough, held, docs, seen, postings = [], 0, [], 0, 0
+
         for whole in batches:
             for k in range(0, len(whole), 8 * step):
                 batch = whole.slice(k, 8 * step)
-                length, row, ident = (batch.column(c).to_numpy() for c in ("n_tokens", "row", "ident"))
+                every = batch.column("row").to_numpy()
+                _, first, same = np.unique(batch.column("ident").to_numpy(), return_index=True, return_inverse=True)
+                every = every[np.lexsort((every, same))]  # rows of each ident, one after the other
+                batch = batch.take(pa.array(first))
+                length, ident = (batch.column(c).to_numpy() for c in ("n_tokens", "ident"))
                 ids = batch.column("doc_id")
                 known, ids = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(np.iinfo(np.int64).max).to_numpy()
                 doc, term, count = _flat(batch.column("terms").to_pylist(), batch.column("counts").to_pylist())
                 at = q.lookup(term)
                 own = np.flatnonzero(at >= 0)
                 doc, at, count = doc[own], at[own], count[own]
-                own = impact(count, length[doc], average).astype(np.float32)
+                own = impact(count, length[doc], average)
+                docs.append((at.astype(np.int32), own, np.bincount(doc, minlength=len(batch)), ids, known, ident, length, np.bincount(same, minlength=len(first)), every))
+                own = own.astype(np.float32)
                 has = np.zeros((len(batch), q.centres.shape[1]), np.float32)
                 told = q.label[at]
                 has[doc[told >= 0], told[told >= 0]] = 1
@@ -312,44 +372,71 @@ def _search(block, average: float, depth: int):
                         spot = np.repeat(cuts[d] - (np.cumsum(size) - size), size) + np.arange(size.sum())
                         s = q.scores(g, np.repeat(np.arange(len(d)), size), at[spot], own[spot], len(d))
                         hit, to = np.nonzero(s >= least[:, None])
-                        if len(hit) > 2 * len(least) and len(d) > depth:
-                            least = np.maximum(least, np.partition(s, len(d) - depth, axis=1)[:, len(d) - depth])
+                        other = ident[d[to]] != q.ident[hit]
+                        hit, to = hit[other], to[other]
+                        if len(hit) > 2 * len(least) and len(d) > depth + 1:  # one may be the query itself
+                            least = np.maximum(least, _lowered(np.partition(s, len(d) - depth - 1, axis=1)[:, len(d) - depth - 1]))
                             high = s[hit, to] >= least[hit]
                             hit, to = hit[high], to[high]
-                        score, to = np.round(s[hit, to].astype(np.float64), 3), d[to]
-                        other = (row[to] != q.row[hit]) & (ident[to] != q.ident[hit])
-                        hit, to = hit[other], to[other]
-                        found.append((hit, score[other], row[to], ids[to], known[to], ident[to], length[to]))
+                        rough.append((hit, s[hit, to], seen + d[to]))
                         held += len(hit)
-                        if held > max(CELLS // 2, 2 * depth * len(q.row)):
-                            found = [tuple(best(found))]
-                            held = len(found[0][0])
-        if held:
-            hit, score, row, ids, known, ident, length = best(found)
+                        if held > max(CELLS // 2, 4 * depth * len(q.ident)):
+                            rough = [tuple(best(rough, True))]
+                            held = len(rough[0][0])
+                seen, postings = seen + len(batch), postings + len(at)
+                if postings > KEPT:
+                    settle()
+        settle()
+        if settled:
+            hit, score, row, ids, known, ident, length = settled[0]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(q.row[hit]), pa.array(row), pa.array(ids, pa.int64(), mask=~known), pa.array(ident), pa.array(length), pa.array(score)], names=["seed", "row", "doc_id", "ident", "n_tokens", "score"]
+                [pa.array(q.ident[hit]), pa.array(row), pa.array(ids, pa.int64(), mask=~known), pa.array(ident), pa.array(length), pa.array(score)], names=["seed", "row", "doc_id", "ident", "n_tokens", "score"]
             )
 
     return run
 
 
+def _parts(rows: DataFrame, n: int, scratch: Scratch) -> list[DataFrame]:
+    """rows in parts that don't overlap: some FIRST rows at most, then each part STEP times as large as all before it; the samples are by hash of the row."""
+    steps = max(0, ceil(log(max(1, n / FIRST), STEP)))
+    parts = []
+    for k in range(1, steps + 1):
+        inside = F.pmod(F.xxhash64("row"), F.lit(STEP**k)) == 0
+        parts.append(rows.filter(~inside))
+        rows = scratch.keep(rows.filter(inside), "sample")
+    return [rows.coalesce(max(1, ceil(n / STEP**steps / FIRST_TASK))), *reversed(parts)]
+
+
 def search(spark: SparkSession, rows: DataFrame, seeds: DataFrame, df: DataFrame, n: int, average: float, *, depth: int = DEPTH, queries: int = QUERIES, scratch: Scratch) -> DataFrame:
     """(seed, row, doc_id, ident, n_tokens, score): the depth best neighbours among rows of each of the seeds, both of which are of TERMS."""
-    terms = seeds.select("row", "terms").mapInArrow(_unpack, "row long, term long").join(df.filter("df > 1"), "term")  # a term of the seed alone finds nothing
+    one = seeds.groupBy("ident").agg(F.min("row").alias("row"), F.min_by("terms", "row").alias("terms"))
+    terms = one.select("row", "terms").mapInArrow(_unpack, "row long, term long").join(df.filter("df > 1"), "term")  # a term of the seed alone finds nothing
     given = terms.groupBy("row").agg(F.collect_list(F.struct("term", "df")).alias("terms")).join(seeds.select("row", "ident"), "row")
     given = scratch.keep(given, "queries")
     count, postings = given.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
     blocks = max(ceil(count / queries), ceil(postings / POSTINGS))
-    found = []
+    if not blocks:
+        return spark.createDataFrame([], HITS)
+    parts, found = _parts(rows.select("row", "doc_id", "ident", "n_tokens", "terms", "counts"), n, scratch), []
+    order = Window.partitionBy("seed").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "ident", "row")
     for k in range(blocks):
-        block = spark.sparkContext.broadcast(Queries(given.filter(F.pmod(F.xxhash64("row"), F.lit(blocks)) == k).toArrow(), n))
-        hits = rows.select("row", "doc_id", "ident", "n_tokens", "terms", "counts").mapInArrow(_search(block, average, depth), "seed long, row long, doc_id long, ident long, n_tokens long, score double")
-        found.append(scratch.keep(hits, "hits"))
+        q = Queries(given.filter(F.pmod(F.xxhash64("row"), F.lit(blocks)) == k).toArrow(), n)
+        block, least, best = spark.sparkContext.broadcast(q), np.full(len(q.ident), 1e-6, np.float32), None
+        by_ident = np.argsort(q.ident)
+        for part in parts:
+            hits = scratch.keep(part.mapInArrow(_search(block, least, average, depth), HITS), "hits")
+            hits = hits if best is None else best.union(hits)
+            best = scratch.keep(hits.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= depth).drop("place"), "best")
+            scratch.drop("hits")
+            if part is not parts[-1]:
+                full = best.groupBy("seed").agg(F.count("*").alias("n"), F.min("score").alias("score")).filter(F.col("n") == depth).select("seed", "score").toArrow()
+                at = by_ident[np.searchsorted(q.ident, full.column("seed").to_numpy(), sorter=by_ident)]
+                least[at] = np.maximum(least[at], _lowered(full.column("score").to_numpy()))
         block.destroy()
-    if not found:
-        return spark.createDataFrame([], "seed long, row long, doc_id long, ident long, n_tokens long, score double")
-    order = Window.partitionBy("seed").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "ident", "row")
-    return reduce(DataFrame.union, found).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= depth).drop("place")
+        found.append(best)
+    scratch.drop("sample")
+    of = seeds.select(F.col("row").alias("own"), F.col("ident").alias("seed"))
+    return reduce(DataFrame.union, found).join(of, "seed").select(F.col("own").alias("seed"), "row", "doc_id", "ident", "n_tokens", "score")
 
 
 def assign(spark: SparkSession, hits: DataFrame, seeds: DataFrame, window: int, scratch: Scratch) -> DataFrame:

@@ -201,6 +201,63 @@ def test_neighbours_are_those_of_the_whole_corpus(spark):
     assert len(recall) == 200 and np.mean(recall) >= 0.99
 
 
+def _searched(spark, docs, monkeypatch, depth=4):
+    """Seeds' neighbours, and the rows that the tasks of the search sent."""
+    sent, keep = [], Scratch.keep
+
+    def spy(self, df, name):
+        out = keep(self, df, name)
+        if name == "hits":
+            sent.append(out.count())
+        return out
+
+    with monkeypatch.context() as m:
+        m.setattr(Scratch, "keep", spy)
+        scratch = Scratch(spark)
+        n, average, df, by_term = packing.corpus_statistics(docs, scratch)
+        weights = spark.sparkContext.broadcast(packing.idf(n, df))
+        rows = scratch.keep(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(packing._index(weights), packing.TERMS), "terms")
+        hits = packing.search(spark, rows, rows.filter("doc_id % 50 = 0"), by_term, n, average, depth=depth, scratch=scratch)
+        ids = rows.select(F.col("row").alias("seed"), F.col("doc_id").alias("seed_id"))
+        return sorted((r.seed_id, r.doc_id, r.score) for r in hits.join(ids, "seed").collect()), sum(sent)
+
+
+def test_what_a_search_sends_does_not_grow_with_its_tasks(spark, monkeypatch):
+    """Every task used to send depth rows for each seed, which made hits grow as tasks x seeds: 16 x 32 x 4 rows here."""
+    rng = random.Random(31)
+    docs = docs_of(spark, [(i, prose(rng, rng.randrange(20, 60)), "en", "a") for i in range(800)]).select("doc_id", "text")
+    wanted, _ = _searched(spark, docs.coalesce(1), monkeypatch)  # in one part, of one task
+    monkeypatch.setattr(packing, "FIRST", 20, raising=False)
+    monkeypatch.setattr(packing, "STEP", 4, raising=False)
+    docs.repartition(32).write.parquet(path := f"{Scratch(spark).base}/many")
+    was, cost = 16 * 32 * 4, spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")  # a task for each file
+    try:
+        found, sent = _searched(spark, spark.read.parquet(path), monkeypatch)
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+    assert len(found) == 16 * 4 and found == wanted
+    assert sent < was / 2
+
+
+def test_copies_of_a_row_are_neighbours_each(spark, monkeypatch):
+    rng = random.Random(32)
+    rows = [(i, prose(rng, 40), "en", "a") for i in range(1, 301)]
+    rows += [r for r in rows if r[0] % 3 == 0 for _ in range(2)]
+    docs = docs_of(spark, rows).select("doc_id", "text").coalesce(1)
+    plain = _Plain(dict(enumerate(t for _, t, *_ in rows)))
+    wanted = []
+    for k, (seed, *_) in enumerate(rows):
+        if seed % 50 == 0:
+            scores = {d: s for d, s in plain.scores(k).items() if rows[d][0] != seed}
+            best = sorted(scores, key=lambda d: (-scores[d], rows[d][0], d))[:8]
+            wanted += [(seed, rows[d][0]) for d in best]
+    for first in (packing.FIRST, 100):
+        monkeypatch.setattr(packing, "FIRST", first)
+        found, _ = _searched(spark, docs, monkeypatch, depth=8)
+        assert [(a, b) for a, b, _ in found] == sorted(wanted)
+
+
 def test_statistics_are_of_the_whole_corpus(spark, corpus):
     docs, texts = corpus
     n, average, df, by_term = packing.corpus_statistics(docs, Scratch(spark))
