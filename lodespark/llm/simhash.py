@@ -5,6 +5,9 @@ radius r the bits are cut into r + FREE blocks; two fingerprints within r differ
 agree on FREE at least, and one of the C(r + FREE, FREE) tables, each keyed by FREE blocks, brings them together: none
 is missed. Within a key all pairs are compared in numpy.
 
+The pairs grow with the square of the corpus, so the query returns a row for each document: its class, which are the
+documents of one fingerprint, and its links, which are all other fingerprints within the radius. within_radius() has the pairs.
+
 The radius is chosen by the distances of near copies, which are pairs whose multisets of 3-word shingles overlap by 0.5
 or more: on sf0.01 it has 94 of the 99 that are not equal (3 bits had 6), and no other pair.
 
@@ -94,48 +97,91 @@ def _close(doc: np.ndarray, fp: np.ndarray, table: int, keep: np.ndarray, radius
         yield np.minimum(a, b), np.maximum(a, b), np.bitwise_count(d[mine]).astype(np.int32)
 
 
-def _compare(radius: int):
-    keep = np.array(masks(radius), np.int64).view(U)
-
-    def rows(key: np.ndarray, doc: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-        many = np.flatnonzero(np.diff(edge) > 1)
-        for start, end in zip(edge[many].tolist(), edge[many + 1].tolist(), strict=True):
-            for a, b, d in _close(doc[start:end], fp[start:end], int(key[start]) & ((1 << TABLE_BITS) - 1), keep, radius):
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d)], names=["doc_a", "doc_b", "distance"])
+def _by_key(columns: list[str], rows):
+    """Gives rows() the columns of whole keys; the first is the key, by which the rows come sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: list[list[np.ndarray]] = []  # rows of the key that may go on in the next batch
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = [batch.column(c).to_numpy() for c in ("key", "doc_id", "fingerprint")]
+            new = [batch.column(c).to_numpy() for c in columns]
             last = int(np.searchsorted(new[0], new[0][-1]))
             if last or (open_ and open_[0][0][0] != new[0][0]):
-                done = [np.concatenate(c) for c in zip(*open_, [x[:last] for x in new], strict=True)]
-                yield from rows(done[0], done[1], done[2].view(U))
+                yield from rows(*[np.concatenate(c) for c in zip(*open_, [x[:last] for x in new], strict=True)])
                 open_ = []
             open_.append([x[last:] for x in new])
         if open_:
-            done = [np.concatenate(c) for c in zip(*open_, strict=True)]
-            yield from rows(done[0], done[1], done[2].view(U))
+            yield from rows(*[np.concatenate(c) for c in zip(*open_, strict=True)])
 
     return run
 
 
+def _keys(key: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(start, end, table) of each key of several rows."""
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    many = np.flatnonzero(np.diff(edge) > 1)
+    for start, end in zip(edge[many].tolist(), edge[many + 1].tolist(), strict=True):
+        yield start, end, int(key[start]) & ((1 << TABLE_BITS) - 1)
+
+
+def _compare(radius: int):
+    keep = np.array(masks(radius), np.int64).view(U)
+
+    def rows(key: np.ndarray, doc: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for start, end, table in _keys(key):
+            for a, b, d in _close(doc[start:end], fp[start:end].view(U), table, keep, radius):
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d)], names=["doc_a", "doc_b", "distance"])
+
+    return _by_key(["key", "doc_id", "fingerprint"], rows)
+
+
+def _count(radius: int):
+    """(fingerprint, links) of the keys that a task has: what their pairs add to each fingerprint."""
+    keep = np.array(masks(radius), np.int64).view(U)
+
+    def rows(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        links = np.zeros(len(key), np.int64)
+        for start, end, table in _keys(key):
+            for a, b, _ in _close(np.arange(end - start), fp[start:end].view(U), table, keep, radius):
+                links[start:end] += np.bincount(np.concatenate([a, b]), minlength=end - start)
+        some = np.flatnonzero(links)
+        yield pa.RecordBatch.from_arrays([pa.array(fp[some]), pa.array(links[some])], names=["fingerprint", "links"])
+
+    return _by_key(["key", "fingerprint"], rows)
+
+
+def _entries(prints: DataFrame, radius: int) -> DataFrame:
+    """The columns of prints with the key of each table; a key's rows come together."""
+    keys = F.array(*[F.shiftleft(F.xxhash64(F.lit(i), F.col("fingerprint").bitwiseAND(F.lit(m))), TABLE_BITS).bitwiseOR(F.lit(i).cast("long")) for i, m in enumerate(masks(radius))])
+    return prints.select(F.explode(keys).alias("key"), *prints.columns).repartition("key").sortWithinPartitions("key")
+
+
+def _ranked(docs: DataFrame, shingle: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, fingerprint, rep): rep is the least doc_id of the fingerprint."""
+    return scratch.keep(simhash(docs, shingle=shingle).distinct().withColumn("rep", F.min("doc_id").over(Window.partitionBy("fingerprint"))), "ranked")
+
+
+def linked(spark: SparkSession, docs: DataFrame, *, radius: int = RADIUS, shingle: int = SHINGLE, scratch: Scratch | None = None) -> DataFrame:
+    """(doc_id, fingerprint, class_id, links) of every document that has a fingerprint: the least doc_id with that fingerprint, and how many other fingerprints are within the radius.
+
+    One doc_id with several fingerprints has a row for each; a class is told by its fingerprint, as a doc_id may be the least of several.
+    """
+    ranked = _ranked(docs, shingle, scratch or Scratch(spark))
+    entry = _entries(ranked.filter("doc_id = rep").select("fingerprint"), radius)
+    links = entry.mapInArrow(_count(radius), "fingerprint long, links long").groupBy("fingerprint").agg(F.sum("links").alias("links"))
+    return ranked.join(links, "fingerprint", "left").select("doc_id", "fingerprint", F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+
+
 def within_radius(spark: SparkSession, docs: DataFrame, *, radius: int = RADIUS, shingle: int = SHINGLE, scratch: Scratch | None = None) -> DataFrame:
     """(doc_a, doc_b, distance): every document with its fingerprint's least doc_id (distance 0), and all pairs of those within the radius."""
-    scratch = scratch or Scratch(spark)
-    ranked = simhash(docs, shingle=shingle).distinct().withColumn("rep", F.min("doc_id").over(Window.partitionBy("fingerprint")))
-    ranked = scratch.keep(ranked, "ranked")
-    reps = ranked.filter("doc_id = rep").select("doc_id", "fingerprint")
-    keys = F.array(*[F.shiftleft(F.xxhash64(F.lit(i), F.col("fingerprint").bitwiseAND(F.lit(m))), TABLE_BITS).bitwiseOR(F.lit(i).cast("long")) for i, m in enumerate(masks(radius))])
-    entry = reps.select(F.explode(keys).alias("key"), "doc_id", "fingerprint").repartition("key").sortWithinPartitions("key")
+    ranked = _ranked(docs, shingle, scratch or Scratch(spark))
+    entry = _entries(ranked.filter("doc_id = rep").select("doc_id", "fingerprint"), radius)
     pairs = entry.mapInArrow(_compare(radius), "doc_a long, doc_b long, distance int").filter("doc_a <> doc_b")  # one doc_id may have several fingerprints
     same = ranked.filter("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(0).cast("int").alias("distance"))
     return pairs.union(same)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return within_radius(spark, table(spark, sf_dir, "documents"))
+    return linked(spark, table(spark, sf_dir, "documents"))

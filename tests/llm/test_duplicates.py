@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from lodespark.llm import bagminhash, simhash
+from lodespark.llm.common import table
 from lodespark.llm.textkeys import word_hashes
 
 from .conftest import docs_of, jaccard, prose, shingles, tokens
@@ -117,6 +118,39 @@ def test_fingerprints_within_the_radius(spark, corpus, radius):
     assert len(found) == len(set(found)) and set(found) == wanted
 
 
+@pytest.mark.parametrize("radius", [3, 12])
+def test_links_of_every_document(spark, corpus, hard, nothing, radius):
+    """A row for each document, so that rows grow as the documents do and not as their pairs."""
+    for docs in (corpus[0], hard):
+        prints = {(r.doc_id, r.fingerprint & (2**64 - 1)) for r in simhash.simhash(docs).collect()}
+        fps = {p for _, p in prints}
+        wanted = {(i, p, min(j for j, o in prints if o == p), sum(o != p and (o ^ p).bit_count() <= radius for o in fps)) for i, p in prints}
+        found = [(r.doc_id, r.fingerprint & (2**64 - 1), r.class_id, r.links) for r in simhash.linked(spark, docs, radius=radius).collect()]
+        assert len(found) == len(wanted) and set(found) == wanted
+        assert docs is hard or any(r[3] for r in found)
+    assert simhash.linked(spark, nothing, radius=radius).count() == 0
+
+
+def test_texts_of_one_id_are_linked(spark):
+    """Classes of one least doc_id: the pairs of representatives had no link between them."""
+    words = prose(random.Random(13), 200).split()
+    one, two = " ".join(words), " ".join(["changed", *words[1:]])
+    rows = [(1, one, "en", "a"), (1, two, "en", "a"), (2, one, "en", "a"), (3, two, "en", "a")]
+    found = sorted((r.doc_id, r.class_id, r.links) for r in simhash.linked(spark, docs_of(spark, rows)).collect())
+    assert found == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+
+
+def test_the_query_has_a_row_for_each_document(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = table(spark, folder, "documents")
+    found = simhash.op8_simhash(spark, folder).collect()
+    assert len(found) == simhash.simhash(docs).distinct().count()
+    fps, classes = {r.fingerprint for r in found}, {(r.fingerprint, r.class_id) for r in found}
+    assert len(fps) == len(classes)
+    links = {r.fingerprint: r.links for r in found}
+    assert sum(links.values()) == 2 * sum(r.distance > 0 for r in simhash.within_radius(spark, docs).collect())
+
+
 def test_edited_copies_are_found(spark):
     """One word in 50 changed: most of the copies' fingerprints differ by more than 3 bits."""
     rng = random.Random(12)
