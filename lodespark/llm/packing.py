@@ -54,6 +54,7 @@ BATCH, BITS = 1024, 10
 COUNTERS = 1 << 20
 #: Split shards (some 40 bytes each) up to which their list is broadcast; beyond, it is joined by shuffle.
 BROADCAST_SHARDS = 100_000
+BAGS = "row long, doc_id long, ident long, n_tokens long, digest long, terms binary, counts binary"
 TERMS = "row long, doc_id long, ident long, n_tokens long, key long, second long, digest long, terms binary, counts binary"
 HITS = "seed long, row long, doc_id long, ident long, n_tokens long, score double"
 PIECES = "window string, slot int, doc_id long, start long, n_tokens long, score double, digest long"
@@ -66,37 +67,58 @@ def _terms(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return np.diff(offsets), doc, (term >> U(32 - BITS)).astype(np.uint32), count
 
 
+def _sorted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, x in it) of a stable sort of 32-bit x; sorting 64-bit keys is several times faster than a stable argsort."""
+    keys = np.sort((x.astype(U) << U(32)) | np.arange(len(x), dtype=U))
+    return (keys & U((1 << 32) - 1)).astype(np.int64), (keys >> U(32)).astype(np.uint32)
+
+
 def _summed(term: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(term, kind="stable")
-    term, count = term[order], count[order]
+    order, term = _sorted(term)
     first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
-    return term[first], np.add.reduceat(count, first) if len(first) else count
+    return term[first], np.add.reduceat(count[order], first) if len(first) else count
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, df) of a partition; terms -1 and -2 have its documents and words."""
+    """(part, terms, df) of a partition: a row for each part of the terms, by their first 8 bits; part -1 has its documents and words as df."""
     term, df, fresh, docs, length = np.zeros(0, np.uint32), np.zeros(0, np.int64), [], 0, 0
     for whole in batches:
-        for k in range(0, len(whole), BATCH):
-            n, _, own, _ = _terms(whole.slice(k, BATCH).column("text").to_pylist())
-            docs, length = docs + int((n > 0).sum()), length + int(n.sum())
-            fresh.append(own)
-            if sum(map(len, fresh)) > 1 << 21:
-                term, df = _summed(np.concatenate([term, *fresh]), np.concatenate([df, np.ones(sum(map(len, fresh)), np.int64)]))
-                fresh = []
+        docs, length = docs + len(whole), length + int(whole.column("n_tokens").to_numpy().sum())
+        fresh.append(np.frombuffer(b"".join(whole.column("terms").to_pylist()), np.uint32))
+        if sum(map(len, fresh)) > 1 << 21:
+            term, df = _summed(np.concatenate([term, *fresh]), np.concatenate([df, np.ones(sum(map(len, fresh)), np.int64)]))
+            fresh = []
     term, df = _summed(np.concatenate([term, *fresh]), np.concatenate([df, np.ones(sum(map(len, fresh)), np.int64)]))
     if docs:
-        yield pa.RecordBatch.from_pydict({"term": pa.array(np.concatenate([[-1, -2], term]).astype(np.int64)), "df": pa.array(np.concatenate([[docs, length], df]))})
+        cuts = np.searchsorted(term, np.arange(257, dtype=np.int64) << 24)
+        cuts = [(k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if a < b]
+        terms, dfs = ([x[a:b].tobytes() for _, a, b in cuts] for x in (term, df))
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *(k for k, _, _ in cuts)], pa.int32()), pa.array([b"", *terms], pa.binary()), pa.array([np.array([docs, length], np.int64).tobytes(), *dfs], pa.binary())], names=["part", "terms", "df"])
+
+
+def _merge_counts(group: pa.Table) -> pa.Table:
+    """(term, df) of a part; terms -1 and -2 have the documents and words, term -3 - c the sum of counter c."""
+    df = np.frombuffer(b"".join(group.column("df").to_pylist()), np.int64)
+    if group.column("part")[0].as_py() < 0:
+        term, df = np.array([-1, -2]), df.reshape(-1, 2).sum(axis=0)
+    else:
+        term, df = _summed(np.frombuffer(b"".join(group.column("terms").to_pylist()), np.uint32), df)
+        first = np.flatnonzero(np.concatenate([[True], term[1:] >> 12 != term[:-1] >> 12]))
+        term = term.astype(np.int64)
+        term, df = np.concatenate([-3 - (term[first] >> 12), term]), np.concatenate([np.add.reduceat(df, first), df])
+    return pa.table({"term": term, "df": df})
 
 
 def corpus_statistics(docs: DataFrame, scratch: Scratch) -> tuple[int, float, np.ndarray, DataFrame]:
-    """(documents, average length, document frequency by counter, (term, df)): the counters are of a size that does not depend on the corpus."""
-    counts = docs.select(F.col("text").cast("string")).mapInArrow(_count_terms, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
-    counts = scratch.keep(counts, "df")
-    of = {r.term: r.df for r in counts.filter("term < 0").collect()}
+    """(documents, average length, document frequency by counter, (term, df)) of texts, or of their BAGS: the counters are of a size that does not depend on the corpus."""
+    if "terms" not in docs.columns:
+        docs = docs.select(F.lit(0).cast("long").alias("row"), F.lit(0).cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(_bags, BAGS)
+    counts = docs.select("n_tokens", "terms").mapInArrow(_count_terms, "part int, terms binary, df binary")
+    counts = scratch.keep(counts.groupBy("part").applyInArrow(_merge_counts, "term long, df long"), "df")
+    of = {r.term: r.df for r in counts.filter("term in (-1, -2)").collect()}
     n, df = of.get(-1, 0), np.zeros(COUNTERS, np.int64)
-    sums = counts.filter("term >= 0").groupBy(F.shiftright("term", 12).alias("counter")).agg(F.sum("df").alias("df")).toArrow()  # COUNTERS rows at most
-    df[sums.column("counter").to_numpy()] = sums.column("df").to_numpy()
+    sums = counts.filter("term < -2").toArrow()  # COUNTERS rows at most
+    df[-3 - sums.column("term").to_numpy()] = sums.column("df").to_numpy()
     return n, of.get(-2, 0) / max(n, 1), df, counts.filter("term >= 0")
 
 
@@ -109,36 +131,58 @@ def idf(n: int, df: np.ndarray) -> np.ndarray:
     return _idf(n, df).astype(np.float32)
 
 
-def _index(weights):
-    """A row for each document with tokens; key: the term with the least Exp(idf) of its hash, so a pair meets by the idf-weighted overlap of its terms; second: another such sample."""
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row of BAGS for each document with tokens."""
+    for whole in batches:
+        for k in range(0, len(whole), BATCH):
+            batch = whole.slice(k, BATCH)
+            n, doc, term, count = _terms(batch.column("text").to_pylist())
+            some = np.flatnonzero(n)
+            if not len(some):
+                continue
+            start = np.searchsorted(doc, some)
+            end = np.append(start[1:], len(doc))
+            with np.errstate(over="ignore"):
+                digest = np.add.reduceat(mix(mix(term.astype(U)) ^ mix(count.astype(U))), start)
+            ids = batch.column("doc_id").take(pa.array(some))
+            ident = mix(digest ^ mix(ids.fill_null(0).to_numpy(zero_copy_only=False).view(U))).view(np.int64)
+            terms, counts = term.tobytes(), count.astype(np.uint32).tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row").take(pa.array(some)), ids, pa.array(ident), pa.array(n[some]), pa.array(digest.view(np.int64))]
+                + [pa.array([x[4 * a : 4 * b] for a, b in zip(start.tolist(), end.tolist(), strict=True)], pa.binary()) for x in (terms, counts)],
+                names=["row", "doc_id", "ident", "n_tokens", "digest", "terms", "counts"],
+            )
+
+
+def _keys(weights):
+    """Bags with key and second. key: the term with the least Exp(idf) of its hash, so a pair meets by the idf-weighted overlap of its terms; second: another such sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.value
         for whole in batches:
             for k in range(0, len(whole), BATCH):
                 batch = whole.slice(k, BATCH)
-                n, doc, term, count = _terms(batch.column("text").to_pylist())
-                some = np.flatnonzero(n)
-                if not len(some):
-                    continue
-                start = np.searchsorted(doc, some)
-                end = np.append(start[1:], len(doc))
+                raw = batch.column("terms").to_pylist()
+                term, size = np.frombuffer(b"".join(raw), np.uint32), np.array([len(t) // 4 for t in raw], np.int64)
+                start = np.cumsum(size) - size
                 h, own = mix(term.astype(U)), w[term >> 12]
                 keys = []
                 for g in (h, mix(h)):
                     rank = -np.log((g >> U(11)).astype(np.float64) * 2.0**-53 + 2.0**-54) / own
-                    at = np.flatnonzero(rank == np.repeat(np.minimum.reduceat(rank, start), end - start))
+                    at = np.flatnonzero(rank == np.repeat(np.minimum.reduceat(rank, start), size))
                     keys.append(mix(h[at[np.searchsorted(at, start)]]).view(np.int64))  # the first of equal ones
-                with np.errstate(over="ignore"):
-                    digest = np.add.reduceat(mix(h ^ mix(count.astype(U))), start)
-                ids = batch.column("doc_id").take(pa.array(some))
-                ident = mix(digest ^ mix(ids.fill_null(0).to_numpy(zero_copy_only=False).view(U))).view(np.int64)
-                terms, counts = term.tobytes(), count.astype(np.uint32).tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("row").take(pa.array(some)), ids, pa.array(ident), pa.array(n[some]), *map(pa.array, keys), pa.array(digest.view(np.int64))]
-                    + [pa.array([x[4 * a : 4 * b] for a, b in zip(start.tolist(), end.tolist(), strict=True)], pa.binary()) for x in (terms, counts)],
-                    names=["row", "doc_id", "ident", "n_tokens", "key", "second", "digest", "terms", "counts"],
-                )
+                names = [c for c in batch.schema.names if c != "terms" or "counts" in batch.schema.names]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *map(pa.array, keys)], names=[*names, "key", "second"])
+
+    return run
+
+
+def _index(weights):
+    """A row of TERMS for each document with tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _keys(weights)(_bags(batches)):
+            yield batch.select(["row", "doc_id", "ident", "n_tokens", "key", "second", "digest", "terms", "counts"])
 
     return run
 
@@ -202,8 +246,11 @@ class Queries:
         self.dense = (often >= np.maximum(members * COMMON, 2)).T.copy()  # group x term
         self.plans: dict[int, tuple] = {}
         order = np.argsort(self.query, kind="stable")
-        self.listed = self.entry[order]  # the terms of each query, and their idf
-        self.fine, self.begin = _idf(n, df[first])[self.listed], np.searchsorted(self.query[order], np.arange(len(self.ident) + 1))
+        self.rank, self.fine = np.empty(len(first), np.int64), _idf(n, df[first])  # frequent terms have neighbouring ranks, for the cache's sake
+        self.rank[np.argsort(-self.size, kind="stable")] = np.arange(len(first))
+        self.listed = self.rank[self.entry[order]]  # the terms of each query
+        self.begin = np.searchsorted(self.query[order], np.arange(len(self.ident) + 1))
+        self.lists: list[np.ndarray] = []
 
     def groups(self, has: np.ndarray) -> np.ndarray:
         """Nearest centre of each row of has (which of the common terms it has)."""
@@ -267,18 +314,20 @@ class Queries:
 
     def exact(self, hit: np.ndarray, to: np.ndarray, at: np.ndarray, own: np.ndarray, cuts: np.ndarray) -> np.ndarray:
         """The scores of pairs (query, document) in double precision, so that they don't depend on what else was scored with them; document d has the terms cuts[d] to cuts[d + 1]."""
-        out, has = np.zeros(len(hit)), np.zeros(len(self.term))
+        out, score = np.zeros(len(hit)), np.zeros(len(self.term))
         order = np.argsort(to, kind="stable")
         hit, to = hit[order], to[order]
         edge = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])).tolist()
-        first, size = self.begin[hit], self.begin[hit + 1] - self.begin[hit]
+        size, hits = self.begin[hit + 1] - self.begin[hit], hit.tolist()
+        if not self.lists:
+            self.lists = np.split(self.listed, self.begin[1:-1])
         for lo, hi in zip(edge, [*edge[1:], len(hit)], strict=True):
-            mine = slice(cuts[to[lo]], cuts[to[lo] + 1])
-            has[at[mine]] = own[mine]
-            done = np.cumsum(size[lo:hi]) - size[lo:hi]
-            spot = np.repeat(first[lo:hi] - done, size[lo:hi]) + np.arange(done[-1] + size[hi - 1])
-            out[order[lo:hi]] = np.add.reduceat(has[self.listed[spot]] * self.fine[spot], done)
-            has[at[mine]] = 0
+            mine = at[cuts[to[lo]] : cuts[to[lo] + 1]]
+            mine, fine = self.rank[mine], self.fine[mine]
+            score[mine] = own[cuts[to[lo]] : cuts[to[lo] + 1]] * fine
+            spot = np.concatenate([self.lists[h] for h in hits[lo:hi]])
+            out[order[lo:hi]] = np.add.reduceat(score[spot], np.cumsum(size[lo:hi]) - size[lo:hi])
+            score[mine] = 0
         return out
 
 
@@ -469,10 +518,10 @@ def pack_shard(
     flat, tf = np.concatenate(terms), np.concatenate(counts).astype(np.float64)
     doc = np.repeat(np.arange(len(n)), size)
     own = weight[flat >> 12] * impact(tf, n[doc], average)
-    order = np.argsort(flat, kind="stable")
+    order, ordered = _sorted(flat)
     posting_doc, posting = doc[order], own[order]
-    vocabulary, first = np.unique(flat[order], return_index=True)
-    last = np.append(first[1:], len(order))
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    vocabulary, last = ordered[first], np.append(first[1:], len(order))
     rows, unused = [], np.ones(len(n), bool)
     unused[list(begun)] = False
     for seed in [*begun, *(d for d in np.lexsort((np.arange(len(n)), -left)).tolist() if d not in begun)]:
@@ -543,10 +592,10 @@ def pack(
     """PIECES of each window; the seed, or a whole window of one text, is in slot 0 and has no score. doc_id and digest (of the text's words) name a text."""
     scratch = scratch or Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("text is not null")
-    n, average, df, by_term = corpus_statistics(docs, scratch)
+    rows = scratch.keep(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(_bags, BAGS), "terms")
+    n, average, df, by_term = corpus_statistics(rows, scratch)
     weights = spark.sparkContext.broadcast(idf(n, df))
     bits = max(0, ceil(log2(max(1, n / shard))))
-    rows = scratch.keep(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(_index(weights), TERMS), "terms")
     left = F.col("n_tokens") % window
     some = rows.filter(left > 0)
     seeds = some.filter(F.col("doc_id") % every == 0)
@@ -563,11 +612,13 @@ def pack(
 
     begun = seeds.select("row", (window - left).alias("room")).join(taken.groupBy(F.col("seed").alias("row")).agg(F.sum("left").alias("used"), F.collect_list("ident").alias("have")), "row", "left")
     begun = begun.select("row", (F.col("room") - F.coalesce("used", F.lit(0))).alias("space"), F.coalesce("have", F.array().cast("array<bigint>")).alias("have"))
-    rest = some.join(taken.select("row"), "row", "left_anti").join(begun, "row", "left").withColumn("left", left)
-    rest = rest.withColumn("shard", F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long"))
+    keys = scratch.keep(some.select("row", "digest", "terms").mapInArrow(_keys(weights), "row long, digest long, key long, second long"), "keys")
+    place = keys.join(taken.select("row"), "row", "left_anti").withColumn("shard", F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long"))
     high = F.shiftrightunsigned("second", 32)
-    rest = _split(rest, ["shard"], "part", lambda parts: F.floor(high * parts / F.lit(1 << 32)), shard, broadcast_shards, scratch)
-    rest = _split(rest, ["shard", "part"], "piece", lambda parts: F.pmod(F.xxhash64("digest", "row"), parts), shard, broadcast_shards, scratch)
+    place = _split(place, ["shard"], "part", lambda parts: F.floor(high * parts / F.lit(1 << 32)), shard, broadcast_shards, scratch)
+    place = _split(place, ["shard", "part"], "piece", lambda parts: F.pmod(F.xxhash64("digest", "row"), parts), shard, broadcast_shards, scratch)
+    place = scratch.keep(place.select("row", "shard", "part", "piece"), "place")
+    rest = some.join(place, "row").join(begun, "row", "left").withColumn("left", left)
     rest = rest.groupBy("shard", "part", "piece").applyInArrow(_pack(weights, average, window), PIECES)
     return whole.union(first).union(near).union(rest)
 

@@ -267,6 +267,28 @@ def test_statistics_are_of_the_whole_corpus(spark, corpus):
     assert {r.term: r.df for r in by_term.collect()} == Counter(term.tolist())
 
 
+def test_packing_reads_each_text_once(spark, corpus):
+    """Texts used to be split into words twice, for the document frequencies and for the index."""
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    docs = corpus[0].select("doc_id", "text").mapInArrow(count, "doc_id long, text string")
+    assert packing.pack(spark, docs, window=256, shard=32, every=4, depth=6).count() >= len(corpus[1])
+    assert read.value == len(corpus[1])
+
+
+def test_statistics_of_bags_are_those_of_their_texts(spark, corpus, hard):
+    for docs in (corpus[0], hard):
+        scratch = Scratch(spark)
+        bags = docs.filter("text is not null").withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text").mapInArrow(packing._bags, packing.BAGS)
+        one, two = (packing.corpus_statistics(x, scratch) for x in (docs, bags))
+        assert one[:2] == two[:2] and (one[2] == two[2]).all() and sorted(one[3].collect()) == sorted(two[3].collect())
+
+
 def test_split_shards_are_the_same_either_way(spark, corpus):
     sets = [sorted(map(str, packing.pack(spark, corpus[0], shard=4, broadcast_shards=n).collect())) for n in (0, 1000)]
     assert sets[0] == sets[1]
