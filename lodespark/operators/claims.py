@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from . import graphs, lineage
+from . import graphs, lineage, sizes
 from .links import globs, listed
 
 ROW = ["id", "rule", "ord", "text"]
@@ -37,20 +37,32 @@ def scoped_modules(claims: DataFrame, modules: DataFrame) -> DataFrame:
 
 
 def scoped_classes(claims: DataFrame, modules: DataFrame, classes: DataFrame) -> DataFrame:
-    """(id, class columns): the classes in a main package of the scope's modules, all of them for an empty scope."""
+    """(class columns, ids): the classes in a main package of some claim's modules, and the ids of those claims; all classes for a claim with an empty scope."""
     named = claims.filter(F.size(listed("scopeModules")) > 0)
-    packages = scoped_modules(named, modules).select("id", F.explode("mainPackages").alias("package")).distinct()
-    columns = ["id", *[c for c in classes.columns]]
-    everywhere = claims.filter(F.size(listed("scopeModules")) == 0).select("id")
-    return classes.join(packages, "package").select(*columns).union(everywhere.crossJoin(classes).select(*columns))
+    packages = scoped_modules(named, modules).select("id", F.explode("mainPackages").alias("package")).groupBy("package").agg(F.collect_set("id").alias("named"))
+    everywhere = claims.filter(F.size(listed("scopeModules")) == 0).agg(F.collect_set("id").alias("everywhere"))
+    both = classes.join(sizes.small(packages), "package", "left").crossJoin(F.broadcast(everywhere))
+    return both.select(*[classes[c] for c in classes.columns], F.concat(listed("named"), "everywhere").alias("ids")).filter("size(ids) > 0")
+
+
+#: The lists of forbidden prefixes, with the labels of their violations, in order.
+PREFIXES = {"forbiddenReferences": "forbidden-reference", "forbiddenImports": "forbidden-import"}
+
 
+def with_prefixes(claims: DataFrame, *columns: str) -> DataFrame:
+    return claims.filter(X.any_of([F.size(listed(c)) > 0 for c in columns]))
 
-def forbidden_references(claims: DataFrame, scoped: DataFrame, column: str, label: str, rule: int) -> DataFrame:
-    """Imports that start with a forbidden prefix."""
-    imports = scoped.select("id", "name", "path", F.col("ord").alias("fact"), F.posexplode(listed("imports")).alias("nth", "import"))
-    hits = imports.join(_rules(claims, column), "id").filter("startswith(import, wanted)")
-    text = F.concat(F.lit(f"{label}:"), "wanted", F.lit(" in "), "name", F.lit(" ("), "path", F.lit(")"))
-    return hits.select("id", F.lit(rule).alias("rule"), _place("fact", "nth", "at").alias("ord"), text.alias("text"))
+
+def forbidden_references(claims: DataFrame, modules: DataFrame, classes: DataFrame, *columns: str) -> DataFrame:
+    """Imports that start with a forbidden prefix of one of the columns. The imports are read once, and only prefixes that match are set against the scopes."""
+    wanted = None
+    for n, column in enumerate(columns):
+        one = _rules(claims, column).withColumns({"label": F.lit(PREFIXES[column]), "last": F.array(*[F.lit(i).cast("long") for i in range(1, n + 1)]).cast("array<bigint>")})
+        wanted = one if wanted is None else wanted.union(one)
+    imports = scoped_classes(with_prefixes(claims, *columns), modules, classes).select("ids", "name", "path", F.col("ord").alias("fact"), F.posexplode(listed("imports")).alias("nth", "import"))
+    hits = imports.join(sizes.small(wanted), F.expr("startswith(import, wanted) and array_contains(ids, id)"))
+    text = F.concat("label", F.lit(":"), "wanted", F.lit(" in "), "name", F.lit(" ("), "path", F.lit(")"))
+    return hits.select("id", F.lit(1).alias("rule"), F.concat(_place("fact", "nth", "at"), "last").alias("ord"), text.alias("text"))
 
 
 def _dependencies(scoped: DataFrame, column: str) -> DataFrame:
@@ -101,8 +113,8 @@ def required_docs(claims: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFr
     return row(rows.filter("path is null"), F.concat(F.lit("missing-required-doc:"), "wanted")), row(rows.filter("path is not null"), F.concat(F.lit("doc:"), "path"))
 
 
-def import_cycles(claims: DataFrame, scoped: DataFrame) -> DataFrame:
-    rows = scoped.join(claims.filter("mustBeAcyclic").select("id"), "id", "left_semi").select(F.col("id").alias("group"), "ord", F.col("name").alias("node"), listed("imports").alias("targets"))
+def import_cycles(claims: DataFrame, modules: DataFrame, classes: DataFrame) -> DataFrame:
+    rows = scoped_classes(claims.filter("mustBeAcyclic"), modules, classes).select(F.explode("ids").alias("group"), "ord", F.col("name").alias("node"), listed("imports").alias("targets"))
     return graphs.back_edges(rows).select(F.col("group").alias("id"), F.lit(10).alias("rule"), F.array("ord").alias("ord"), F.concat(F.lit("import-cycle:"), "cycle").alias("text"))
 
 
@@ -117,33 +129,50 @@ def test_names(tests: DataFrame) -> DataFrame:
     return names.select(F.col("name").alias("value")).union(names.select(X.simple_name(F.col("name")))).distinct()
 
 
-def verified(claims: DataFrame, modules: DataFrame, classes: DataFrame, tests: DataFrame, docs: DataFrame, evidence: DataFrame) -> DataFrame:
-    """The claims with status, violations, verificationEvidence and matchedVerifiedBy. Without rules a claim keeps its status, or is unverified."""
-    ruled = claims.filter(has_rules())
+def _found(ruled: DataFrame, modules: DataFrame, classes: DataFrame, tests: DataFrame, docs: DataFrame, evidence: DataFrame) -> tuple[list[DataFrame], list[DataFrame], DataFrame]:
+    """(violations, evidence, verifiers), rows as ROW. Rules about imports that no claim has don't read the classes."""
     in_modules = lineage.cut(scoped_modules(ruled, modules))  # every rule reads the scopes
-    in_classes = lineage.cut(scoped_classes(ruled, modules, classes).select("id", "name", "path", "ord", listed("imports").alias("imports")))
     names = test_names(tests)
     missing_verifiers, verifiers = required(ruled, "verifiedBy", names, 6, "missing-verifier-test", "test")
     missing_tests, found_tests = required(ruled, "requiredTests", names, 7, "missing-required-test", "test")
     missing_types, found_types = required(ruled, "requiredEvidenceTypes", evidence.select(F.col("type").alias("value")), 8, "missing-evidence-type", "evidence-type")
     missing_docs, found_docs = required_docs(ruled, docs)
-    bad = [
-        forbidden_references(ruled, in_classes, "forbiddenReferences", "forbidden-reference", 1), forbidden_references(ruled, in_classes, "forbiddenImports", "forbidden-import", 1).withColumn("ord", F.concat("ord", F.array(F.lit(1).cast("long")))),
-        forbidden_dependencies(ruled, in_modules), disallowed_dependencies(ruled, in_modules), disallowed_targets(ruled, in_modules), missing_verifiers, missing_tests, missing_types, missing_docs, import_cycles(ruled, in_classes),
-    ]
+    bad = [forbidden_dependencies(ruled, in_modules), disallowed_dependencies(ruled, in_modules), disallowed_targets(ruled, in_modules), missing_verifiers, missing_tests, missing_types, missing_docs]
+    if not with_prefixes(ruled, *PREFIXES).isEmpty():
+        bad.append(forbidden_references(ruled, modules, classes, *PREFIXES))
+    if not ruled.filter("mustBeAcyclic").isEmpty():
+        bad.append(import_cycles(ruled, modules, classes))
     scope = in_modules.filter("trim(name) <> ''").select("id", F.lit(0).alias("rule"), F.array(F.col("ord").cast("long")).alias("ord"), F.concat(F.lit("module:"), "name").alias("text"))
-    good = [scope, verifiers, found_tests, found_types, found_docs]
+    return bad, [scope, verifiers, found_tests, found_types, found_docs], verifiers
+
+
+def _every(rows: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, [r.select(*ROW) for r in rows])
+
+
+def _status(violated: Column) -> Column:
+    return F.when(~has_rules(), F.coalesce("status", F.lit("unverified"))).when(violated, "failed").otherwise("passed")
+
+
+def verified(claims: DataFrame, modules: DataFrame, classes: DataFrame, tests: DataFrame, docs: DataFrame, evidence: DataFrame) -> DataFrame:
+    """The claims with status, violations, verificationEvidence and matchedVerifiedBy. Without rules a claim keeps its status, or is unverified. A claim's lists are one row; see judged."""
+    bad, good, verifiers = _found(claims.filter(has_rules()), modules, classes, tests, docs, evidence)
 
     def lists(rows: list[DataFrame], name: str) -> DataFrame:
-        every = reduce(DataFrame.union, [r.select(*ROW) for r in rows])
-        return every.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rule", "ord", "text"))), lambda x: x["text"]).alias(name))
+        return _every(rows).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rule", "ord", "text"))), lambda x: x["text"]).alias(name))
 
     by = verifiers.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: F.substring(x["text"], 6, 1 << 30)).alias("matchedVerifiedBy"))
-    rows = claims.drop("violations", "verificationEvidence", "matchedVerifiedBy").withColumn("ruled", has_rules())
+    rows = claims.drop("violations", "verificationEvidence", "matchedVerifiedBy")
     for part in (lists(bad, "violations"), lists(good, "verificationEvidence"), by):
         rows = rows.join(part, "id", "left")
-    status = F.when(~F.col("ruled"), F.coalesce("status", F.lit("unverified"))).when(F.col("violations").isNull(), "passed").otherwise("failed")
-    return rows.withColumn("status", status).drop("ruled")
+    return rows.withColumn("status", _status(F.col("violations").isNotNull()))
+
+
+def judged(claims: DataFrame, modules: DataFrame, classes: DataFrame, tests: DataFrame, docs: DataFrame, evidence: DataFrame) -> DataFrame:
+    """The claims with status, as verified gives it, and violations, how many there are. They are counted where they are found; no list of them is made."""
+    bad, _, _ = _found(claims.filter(has_rules()), modules, classes, tests, docs, evidence)
+    rows = claims.drop("violations").join(_every(bad).groupBy("id").agg(F.count("*").alias("violations")), "id", "left").withColumn("violations", F.coalesce("violations", F.lit(0)))
+    return rows.withColumn("status", _status(F.col("violations") > 0))
 
 
 def error_failures(claims: DataFrame) -> DataFrame:
