@@ -55,3 +55,10 @@ def test_claim_failures_are_counted_without_lists(spark):
     facts = {k: spark.createDataFrame(*v) for k, v in FACTS.items()}
     assert C.error_failures(C.judged(_claims(spark), **facts)).first()[0] == C.error_failures(C.verified(_claims(spark), **facts)).first()[0] == 6
     assert "collect_list" not in _plan(__spark_entry__.queries()["claim_failures"](spark, __spark_entry__.SMOKE))
+
+
+def test_claim_status_counts_what_the_lists_hold(spark):
+    facts = {k: spark.createDataFrame(*v) for k, v in FACTS.items()}
+    lists = {r.id: (r.status, len(r.violations or [])) for r in C.verified(_claims(spark), **facts).collect()}
+    assert {r.id: (r.status, r.violations) for r in C.judged(_claims(spark), **facts).collect()} == lists and lists["c0"] == ("failed", 4)
+    assert "collect_list" not in _plan(__spark_entry__.queries()["claim_status"](spark, __spark_entry__.SMOKE))
