@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import exprs as X
+from ..operators import sizes
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -137,11 +138,19 @@ def evidence(spark: SparkSession, d: str) -> DataFrame:
 EVIDENCE = "evidence as (select type, 'events/' || type || '/' || user_id as path, ord from (select event_type as type, user_id, min(event_id) as ord from events group by 1, 2))"
 
 
+def _ordered(spark: SparkSession, d: str) -> DataFrame:
+    """(l_partkey, l_suppkey) of the line items, a part's in one partition; as keys they move once."""
+    pairs = table(spark, d, "lineitem").select("l_partkey", "l_suppkey")
+    return pairs.repartition(sizes.partitions(pairs), "l_partkey")
+
+
+_SUPPLIER = lambda key: F.concat(F.lit("supply.Supplier"), key.cast("string"))
+
+
 def references(spark: SparkSession, d: str) -> DataFrame:
     """(name, target): a part refers to the suppliers that it was ordered from."""
-    pairs = table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
     named = classes(spark, d).select(F.col("ord").alias("l_partkey"), "name")
-    return pairs.join(named, "l_partkey").select("name", F.concat(F.lit("supply.Supplier"), F.col("l_suppkey").cast("string")).alias("target"))
+    return _ordered(spark, d).distinct().join(named.hint("merge"), "l_partkey").select("name", _SUPPLIER(F.col("l_suppkey")).alias("target"))
 
 
 REFERENCES = "refs as (select c.name, 'supply.Supplier' || l_suppkey as target from (select distinct l_partkey, l_suppkey from lineitem) join classes c on c.ord = l_partkey)"
@@ -149,17 +158,18 @@ REFERENCES = "refs as (select c.name, 'supply.Supplier' || l_suppkey as target f
 
 def importing_classes(spark: SparkSession, d: str) -> DataFrame:
     """The classes with imports, sorted."""
-    imports = references(spark, d).groupBy("name").agg(F.array_sort(F.collect_list("target")).alias("imports"))
-    return classes(spark, d).join(imports, "name", "left")
+    keys = _ordered(spark, d).groupBy(F.col("l_partkey").alias("ord")).agg(F.collect_set("l_suppkey").alias("keys"))
+    rows = classes(spark, d).join(keys.hint("merge"), "ord", "left").withColumn("rows", F.count("*").over(Window.partitionBy("ord", "name")).cast("int"))
+    imports = F.flatten(F.array_repeat(F.transform("keys", _SUPPLIER), F.col("rows")))  # as the join of a repeated part with its references has them
+    return rows.select("name", "simple", "package", "module", "path", "lines", "ord", F.sort_array(imports).alias("imports"))
 
 
 def claim_modules(spark: SparkSession, d: str) -> DataFrame:
     """(name, ord, mainPackages, projectDependencies, externalDependencies); the packages are those with a class below the module's path."""
-    path = X.normal_path(F.col("path"))
-    modules = MODULES.df(spark).withColumn("at", path)
-    packages = classes(spark, d).select(F.explode(X.ancestors(F.col("path"), "/")).alias("at"), "package").distinct()
-    anywhere = packages.select(F.lit("").alias("at"), "package").distinct()
-    own = modules.join(packages.union(anywhere), "at").groupBy("name").agg(F.array_sort(F.collect_set("package")).alias("mainPackages"))
+    modules = MODULES.df(spark).withColumn("at", X.normal_path(F.col("path")))
+    folders = classes(spark, d).select("package", F.regexp_replace("path", "/?[^/]*$", "").alias("folder")).distinct()
+    packages = folders.select(F.explode(F.array_union(F.array(F.lit("")), X.ancestors(F.col("folder"), "/"))).alias("at"), "package").distinct()
+    own = packages.join(sizes.small(modules.select("name", "at")), "at").groupBy("name").agg(F.array_sort(F.collect_set("package")).alias("mainPackages"))
     return modules.join(own, "name", "left").join(DEPENDENCIES.df(spark), "name", "left").select("name", "ord", F.coalesce("mainPackages", F.array().cast("array<string>")).alias("mainPackages"), "projectDependencies", "externalDependencies")
 
 

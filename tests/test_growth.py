@@ -62,3 +62,10 @@ def test_claim_status_counts_what_the_lists_hold(spark):
     lists = {r.id: (r.status, len(r.violations or [])) for r in C.verified(_claims(spark), **facts).collect()}
     assert {r.id: (r.status, r.violations) for r in C.judged(_claims(spark), **facts).collect()} == lists and lists["c0"] == ("failed", 4)
     assert "collect_list" not in _plan(__spark_entry__.queries()["claim_status"](spark, __spark_entry__.SMOKE))
+
+
+def test_forbidden_references_read_the_line_items_once(spark, small_tables):
+    df = __spark_entry__.queries()["forbidden_references"](spark, small_tables)
+    assert Counter(tuple(r) for r in df.collect()) == _sql(small_tables, "forbidden_references")
+    plan = _plan(df)
+    assert len(re.findall(r"Relation \[l_partkey", plan)) == 1 and not re.search(r"Join Inner, \(id#\d+ = id#\d+\)", plan)
