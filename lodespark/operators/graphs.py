@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import lineage
+from . import lineage, sizes
 
 
 def mutual(edges: DataFrame) -> DataFrame:
@@ -18,10 +18,12 @@ def mutual(edges: DataFrame) -> DataFrame:
 
 def inverse(edges: DataFrame) -> DataFrame:
     """(node, referenced_by, references): how many distinct others point to a node, and whither it points."""
-    e = edges.filter("src <> dst").select("src", "dst").distinct()
-    to = e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("referenced_by"), F.array_join(F.array_sort(F.collect_list(F.col("src").cast("string"))), ",").alias("sources"))
+    n = sizes.partitions(edges)
+    e = edges.filter("src <> dst").select("src", "dst").repartition(n, "src").distinct()
+    inward = e.select(F.col("dst").alias("node"), F.col("src").cast("string").alias("source")).repartition(n, "node")
+    to = inward.groupBy("node").agg(F.count("*").alias("referenced_by"), F.array_join(F.sort_array(F.collect_list("source")), ",").alias("sources"))
     frm = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("references"))
-    return to.join(frm, "node", "full").select("node", F.coalesce("referenced_by", F.lit(0)).alias("referenced_by"), F.coalesce("references", F.lit(0)).alias("references"), F.coalesce("sources", F.lit("")).alias("sources"))
+    return to.join(frm.hint("merge"), "node", "full").select("node", F.coalesce("referenced_by", F.lit(0)).alias("referenced_by"), F.coalesce("references", F.lit(0)).alias("references"), F.coalesce("sources", F.lit("")).alias("sources"))
 
 
 def closure(edges: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ import pytest
 
 import __spark_entry__
 from lodespark.operators import claims as C
+from lodespark.operators import sizes
 from tests.test_operators import FACTS, RULES
 
 PARTS = [(1, "a b", "Brand#1", "ECONOMY", 3), (2, "c d", "Brand#2", "SMALL", 5), (2, "c d", "Brand#2", "SMALL", 5), (3, "e f", "Brand#1", "LARGE", 7), (4, "g h", "Brand#3", "STANDARD", 9), (5, "i j", "Brand#3", "MEDIUM", 0)]
@@ -69,3 +70,11 @@ def test_forbidden_references_read_the_line_items_once(spark, small_tables):
     assert Counter(tuple(r) for r in df.collect()) == _sql(small_tables, "forbidden_references")
     plan = _plan(df)
     assert len(re.findall(r"Relation \[l_partkey", plan)) == 1 and not re.search(r"Join Inner, \(id#\d+ = id#\d+\)", plan)
+
+
+def test_inverse_references_shuffle_in_more_parts_as_the_input_grows(spark, small_tables, monkeypatch):
+    monkeypatch.setattr(sizes, "PARTITION", 100)
+    df = __spark_entry__.queries()["inverse_references"](spark, small_tables)
+    parts = [int(n) for n in re.findall(r"RepartitionByExpression \[.*\], (\d+)", _plan(df))]
+    assert parts and min(parts) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert Counter(tuple(r) for r in df.collect()) == _sql(small_tables, "inverse_references")
