@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from . import sizes
 
 
 def sized(facts: DataFrame, kind: str) -> DataFrame:
@@ -33,35 +34,36 @@ def outside(classes: DataFrame, modules: DataFrame) -> DataFrame:
     """The classes that lie in no module but the root; modules without a name or path don't count."""
     nested = modules.filter("name <> ''").select(X.normal_path(F.col("path")).alias("nested")).filter("nested <> ''").distinct()
     paths = classes.select("path", F.explode(X.ancestors(F.col("path"), "/")).alias("key"))
-    return classes.join(paths.join(nested, F.col("key") == F.col("nested"), "left_semi").select("path").distinct(), "path", "left_anti")
+    inside = paths.join(sizes.small(nested), F.col("key") == F.col("nested"), "left_semi").select("path")
+    return classes.join(inside.hint("merge"), "path", "left_anti")  # files of facts are small, their rows are not: no broadcast
 
 
 def matches(classes: DataFrame, wanted: DataFrame, modules: DataFrame) -> DataFrame:
     """(capability, tier, kind, selector, name, tokens): every class that a selector matches. Prefix rules are equi-joins on the ancestors of a class's package and path."""
     facts = classes.select("name", "package", "module", "path", "tokens")
-    latest = Window.partitionBy("name").orderBy(F.desc("ord"))
-    by_name = classes.withColumn("__last", F.row_number().over(latest)).filter("__last = 1").select(F.col("name").alias("key"), "name", "tokens")
     pick = ["capability", "tier", "kind", "selector", "name", "tokens"]
-    types = wanted.filter("kind = 'type'").join(by_name, F.col("selector") == F.col("key")).select(*pick)
+    by_type = sizes.small(wanted.filter("kind = 'type'"))
+    latest = Window.partitionBy("capability", "tier", "selector").orderBy(F.desc("ord"))
+    types = classes.select("name", "tokens", "ord").join(by_type, F.col("selector") == F.col("name")).withColumn("__last", F.row_number().over(latest)).filter("__last = 1").select(*pick)
 
     packages = facts.filter("package <> ''").select("name", "tokens", F.explode(X.ancestors(F.col("package"), ".")).alias("key"))
-    packages = wanted.filter("kind = 'package'").join(packages, F.trim("selector") == F.col("key")).select(*pick)
+    packages = packages.join(sizes.small(wanted.filter("kind = 'package'")), F.trim("selector") == F.col("key")).select(*pick)
 
     known = modules.filter("name <> ''").groupBy(F.col("name").alias("module_name")).agg(F.max_by(X.normal_path(F.col("path")), "ord").alias("module_path"))
     by_module = wanted.filter("kind = 'module'").withColumn("trimmed", F.trim("selector"))
-    named = by_module.join(facts, F.col("trimmed") == F.col("module")).select(*pick)
+    named = facts.join(sizes.small(by_module), F.col("trimmed") == F.col("module")).select(*pick)
     placed = by_module.join(known, F.col("trimmed") == F.col("module_name"), "left").withColumn("at", F.when(F.col("module_name").isNull(), X.normal_path(F.col("trimmed"))).otherwise(F.col("module_path")))
     paths = facts.select("name", "tokens", "path", F.explode(X.ancestors(F.col("path"), "/")).alias("key"))
-    below = placed.filter("at <> ''").join(paths, F.col("at") == F.col("key")).select(*pick)
-    root = placed.filter("at = '' and module_name is not null").crossJoin(outside(facts, modules).select("name", "tokens")).select(*pick)
+    below = paths.join(sizes.small(placed.filter("at <> ''")), F.col("at") == F.col("key")).select(*pick)
+    root = outside(facts, modules).select("name", "tokens").crossJoin(sizes.small(placed.filter("at = '' and module_name is not null"))).select(*pick)
     return types.unionByName(packages).unionByName(named).unionByName(below).unionByName(root)
 
 
 def working_sets(found: DataFrame) -> DataFrame:
     """(capability, tier, tokens, classes): the classes of the first tier that matches any, each counted once."""
-    first = F.min("tier").over(Window.partitionBy("capability"))
-    chosen = found.withColumn("first", first).filter("tier = first").groupBy("capability", "tier", "name").agg(F.max("tokens").alias("tokens"))
-    return chosen.groupBy("capability", "tier").agg(F.sum("tokens").cast("long").alias("tokens"), F.count("*").alias("classes"))
+    once = found.groupBy("capability", "tier", "name").agg(F.max("tokens").alias("tokens"))
+    tiers = once.groupBy("capability", "tier").agg(F.sum("tokens").cast("long").alias("tokens"), F.count("*").alias("classes"))
+    return tiers.withColumn("first", F.min("tier").over(Window.partitionBy("capability"))).filter("tier = first").drop("first")
 
 
 def unresolved(wanted: DataFrame, found: DataFrame) -> DataFrame:

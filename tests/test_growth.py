@@ -78,3 +78,25 @@ def test_inverse_references_shuffle_in_more_parts_as_the_input_grows(spark, smal
     parts = [int(n) for n in re.findall(r"RepartitionByExpression \[.*\], (\d+)", _plan(df))]
     assert parts and min(parts) > int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert Counter(tuple(r) for r in df.collect()) == _sql(small_tables, "inverse_references")
+
+
+def _broadcast_facts(df) -> list[str]:
+    """Scans of tables below a broadcast, but for those that are aggregated in between."""
+    found, at, aggregate = [], None, None
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :+-*()0123456789"))
+        if at is not None and depth <= at:
+            at = None
+        if aggregate is not None and depth <= aggregate:
+            aggregate = None
+        if "BroadcastExchange" in line and at is None:
+            at, aggregate = depth, None
+        elif at is not None and "Aggregate(" in line and aggregate is None:
+            aggregate = depth
+        elif at is not None and aggregate is None and "FileScan" in line:
+            found.append(line)
+    return found
+
+
+def test_working_sets_broadcast_no_facts(spark):
+    assert _broadcast_facts(__spark_entry__.queries()["working_sets"](spark, __spark_entry__.SMOKE)) == []
