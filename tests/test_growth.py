@@ -100,3 +100,7 @@ def _broadcast_facts(df) -> list[str]:
 
 def test_working_sets_broadcast_no_facts(spark):
     assert _broadcast_facts(__spark_entry__.queries()["working_sets"](spark, __spark_entry__.SMOKE)) == []
+
+
+def test_context_footprint_broadcasts_no_facts(spark):
+    assert _broadcast_facts(__spark_entry__.queries()["context_footprint"](spark, __spark_entry__.SMOKE)) == []
