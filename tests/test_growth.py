@@ -82,18 +82,14 @@ def test_inverse_references_shuffle_in_more_parts_as_the_input_grows(spark, smal
 
 def _broadcast_facts(df) -> list[str]:
     """Scans of tables below a broadcast, but for those that are aggregated in between."""
-    found, at, aggregate = [], None, None
+    found, above = [], []
     for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
         depth = len(line) - len(line.lstrip(" :+-*()0123456789"))
-        if at is not None and depth <= at:
-            at = None
-        if aggregate is not None and depth <= aggregate:
-            aggregate = None
-        if "BroadcastExchange" in line and at is None:
-            at, aggregate = depth, None
-        elif at is not None and "Aggregate(" in line and aggregate is None:
-            aggregate = depth
-        elif at is not None and aggregate is None and "FileScan" in line:
+        while above and above[-1][0] >= depth:
+            above.pop()
+        if "BroadcastExchange" in line or "Aggregate(" in line:
+            above.append((depth, "BroadcastExchange" in line))
+        elif "FileScan" in line and above and above[-1][1]:
             found.append(line)
     return found
 
